@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
-from lectern.llm import ngram_join
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate, ngram_join, packing, quality_hosts, shard_tree, warc
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), cap=2048)
 
 
 def op2_ngram_join(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ngram_join.jaccard_components(docs, w=4, percent=85)
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), w=4, percent=85)
+
+
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_shard_tree(spark, sf_dir):
+    return shard_tree.shard(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.digest(decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10))
+
+
+def op10_quality_hosts(spark, sf_dir):
+    return quality_hosts.judge(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
+    "op3_warc": op3_warc,
+    "op6_shard_tree": op6_shard_tree,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_quality_hosts": op10_quality_hosts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_quality_hosts": quality_hosts.ORACLE_SQL}
