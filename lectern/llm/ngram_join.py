@@ -19,7 +19,8 @@ Nothing is capped or sampled. The step that grows fastest is 4: the square of a
 blocks dealt to tasks of their own. Memory per task: a batch of texts, or two blocks of them.
 
 Defined cases: a null text is an empty one; texts without words have no shingles and link with
-nothing; rows with one id are one document; a null id is never linked (component null); columns other
+nothing; rows with one id and different texts take the component of their own text, and are one where
+both ids stand for their texts; a null id is never linked (component null); columns other
 than id and text are ignored; an empty table gives an empty result.
 """
 
@@ -36,7 +37,7 @@ from lectern.llm import words as W
 from lectern.llm.shared import components, cut, partitions
 
 #: Texts handled together in one numpy pass.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A shingle in this many documents of a batch is sent once for the batch.
 COMMON = 16
 #: Classes in one block of a tile.
@@ -114,61 +115,54 @@ _ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
 
 
 def _answers(batches):
-    """Counts the fingerprints of the buckets dealt to this task; homes get back those seen twice or more."""
-    fps, docs, homes, hot_fps, hot_ns, hot_homes, buckets, hot_buckets, order = [], [], [], [], [], [], [], [], []
-    get = lambda x, t: np.frombuffer(x.as_py(), dtype=t)
+    """Counts the fingerprints of each bucket dealt to this task; homes get back those seen twice or more.
+
+    Buckets wait as the bytes they came in (about 4.5 for a shingle) and are counted one by one.
+    """
 
     def rows(items):
         return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in items], pa.int64() if c == "home" else pa.binary()) for c in _ANSWER_NAMES], names=_ANSWER_NAMES)
 
+    waiting: dict[int, list] = {}
     for batch in batches:
-        col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
-            home, bucket = col["home"][r].as_py(), col["bucket"][r].as_py()
-            if col["ids"][r].is_valid:
-                yield rows([{"home": home, "own_tokens": col["part"][r].as_py(), "own_docs": col["counts"][r].as_py(), **{c: col[c][r].as_py() for c in ("ids", "sizes", "classes")}}])
-                continue
-            fp, raw = get(col["part"][r], np.uint32), col["counts"][r].as_py()
-            k = len(order)
-            order.append(home)
-            for wide in (np.uint8, np.uint32):
-                if len(raw) % np.dtype(wide).itemsize == 0 and int((per := np.frombuffer(raw, wide)).sum(dtype=np.int64)) == len(fp):
-                    break
-            fps.append(fp)
-            docs.append(np.repeat(np.arange(len(per), dtype=np.uint32), per))
-            homes.append(np.full(len(fp), k, np.int32))
-            buckets.append(np.full(len(fp), bucket, np.uint32))
-            hf = get(col["hot_fp"][r], np.uint32)
-            hot_fps.append(hf)
-            hot_ns.append(get(col["hot_n"][r], np.uint32))
-            hot_homes.append(np.full(len(hf), k, np.int32))
-            hot_buckets.append(np.full(len(hf), bucket, np.uint32))
-    if not order:
-        return
-    join = lambda b, f: np.concatenate(b).astype(np.uint64) << np.uint64(32) | np.concatenate(f)
-    token, hot = join(buckets, fps), join(hot_buckets, hot_fps)
-    del buckets, fps
-    both = np.concatenate([token, hot])
+            x = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names)}
+            if x["ids"] is None:
+                waiting.setdefault(x["bucket"], []).append(x)
+            else:
+                yield rows([{"home": x["home"], "own_tokens": x["part"], "own_docs": x["counts"], **{c: x[c] for c in ("ids", "sizes", "classes")}}])
+    for bucket in list(waiting):
+        items = list(_count(bucket, waiting.pop(bucket)))
+        for k in range(0, len(items), 64):
+            yield rows(items[k : k + 64])
+
+
+def _count(bucket: int, sent: list[dict]):
+    """What one bucket answers to each home."""
+    get = np.frombuffer
+    fps = [get(x["part"], np.uint32) for x in sent]
+    hot_fps = [get(x["hot_fp"], np.uint32) for x in sent]
+    n = sum(map(len, fps))
+    both = np.concatenate([*fps, *hot_fps])
     by = np.argsort(both)
-    new = np.flatnonzero(np.concatenate([[True], np.diff(both[by]) != 0])) if len(both) else np.zeros(0, int)
-    weight = np.concatenate([np.ones(len(token), np.int64), np.concatenate(hot_ns).astype(np.int64)])[by]
-    total = np.add.reduceat(weight, new) if len(new) else weight
+    new = np.flatnonzero(np.concatenate([[True], np.diff(both[by]) != 0]))
+    weight = np.ones(len(both), np.int64)
+    weight[n:] = np.concatenate([get(x["hot_n"], np.uint32) for x in sent])
+    total = np.minimum(np.add.reduceat(weight[by], new), 0xFFFFFFFF)
     times = np.empty(len(both), np.uint32)
-    times[by] = np.repeat(np.minimum(total, 0xFFFFFFFF), np.diff(np.append(new, len(both))))
-    home, doc, mine = np.concatenate(homes), np.concatenate(docs), times[: len(token)]
-    again = np.flatnonzero(mine > 1)
-    hot_home, hot_times = np.concatenate(hot_homes), times[len(token) :]
-    a, b = np.searchsorted(home[again], np.arange(len(order) + 1)), np.searchsorted(hot_home, np.arange(len(order) + 1))
-    items = []
-    for k, h in enumerate(order):
-        s, x = again[a[k] : a[k + 1]], slice(b[k], b[k + 1])
-        if len(s) or x.stop > x.start:
-            items.append({"home": h, "docs": doc[s].tobytes(), "tokens": token[s].tobytes(), "times": mine[s].tobytes(), "hot_tokens": hot[x].tobytes(), "hot_times": hot_times[x].tobytes()})
-            if len(items) == 64:
-                yield rows(items)
-                items = []
-    if items:
-        yield rows(items)
+    times[by] = np.repeat(total, np.diff(np.append(new, len(both))))
+    del by, weight, new, total
+    high, at, hot_at = np.uint64(bucket) << np.uint64(32), 0, n
+    for x, fp, hot in zip(sent, fps, hot_fps, strict=True):
+        for wide in (np.uint8, np.uint32):
+            if len(x["counts"]) % np.dtype(wide).itemsize == 0 and int((per := get(x["counts"], wide)).sum(dtype=np.int64)) == len(fp):
+                break
+        mine = times[at : at + len(fp)]
+        again = np.flatnonzero(mine > 1)
+        if len(again) or len(hot):
+            doc = np.repeat(np.arange(len(per), dtype=np.uint32), per)
+            yield {"home": x["home"], "docs": doc[again].tobytes(), "tokens": (high | fp[again]).tobytes(), "times": mine[again].tobytes(), "hot_tokens": (high | hot).tobytes(), "hot_times": times[hot_at : hot_at + len(hot)].tobytes()}
+        at, hot_at = at + len(fp), hot_at + len(hot)
 
 
 def _prefixes(percent: int, den: int):
@@ -280,9 +274,9 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)
     asked = texts.mapInArrow(_requests(w, buckets), _REQUEST)
-    told = asked.repartition(buckets, "bucket").mapInArrow(_answers, _ANSWER)
+    told = asked.repartition(partitions(spark), "bucket").mapInArrow(_answers, _ANSWER)
     told = told.repartition("home").sortWithinPartitions("home")
     table = cut(told.mapInArrow(_prefixes(percent, den), "id long, n long, c1 long, c2 long, tokens array<long>"))
 
@@ -312,13 +306,15 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     tiles = [F.transform(upto("blocks"), lambda j: row(F.col("band"), F.least(F.col("mine"), j), F.col("band"), F.greatest(F.col("mine"), j)))]
     for k in (1, 2):
-        tiles.append(F.transform(upto(f"up{k}"), lambda j, k=k: row(F.col("band"), F.col("mine"), F.col("band") + k, j)))
-        tiles.append(F.transform(upto(f"down{k}"), lambda j, k=k: row(F.col("band") - k, j, F.col("band"), F.col("mine"))))
+        other = F.col("band") + k
+        tiles.append(F.transform(upto(f"up{k}"), lambda j: row(F.col("band"), F.col("mine"), other, j)))  # noqa: B023
+        lower = F.col("band") - k
+        tiles.append(F.transform(upto(f"down{k}"), lambda j: row(lower, j, F.col("band"), F.col("mine"))))  # noqa: B023
     whole = F.array(row(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
     tiled = placed.join(plan, ["component", "band"]).withColumn("mine", mine)
     tiled = tiled.select("id", "component", F.explode(F.when(F.col("total") <= BLOCK, whole).otherwise(F.concat(*tiles))).alias("t"))
-    tiled = tiled.select("id", F.hash("component", "t").alias("spread"), F.concat_ws(",", "component", "t.lo", "t.i", "t.hi", "t.j").alias("tile"))
-    sent = tiled.join(texts, "id").repartition(buckets, "tile").sortWithinPartitions("tile")
+    tiled = tiled.select("id", F.concat_ws(",", "component", "t.lo", "t.i", "t.hi", "t.j").alias("tile"))
+    sent = tiled.join(texts, "id").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
     links = sent.select("tile", "id", "text").mapInArrow(_verify(w, percent, den), "a long, b long")
     found = components(links)
 
