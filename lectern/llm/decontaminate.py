@@ -222,7 +222,7 @@ def _scan(phrases, with_text: bool, clean: bool):
                 ends = [0, *(e[last[mine]] - offs[k]).tolist()]
                 texts[k] = b"".join(raw[a:b] for a, b in zip(ends, [*(s[first[mine]] - offs[k]).tolist(), len(raw)], strict=True)).decode()
         columns = [batch.column(0), pa.array(texts, pa.string()) if isinstance(texts, list) else (texts if texts is not None else pa.nulls(batch.num_rows, pa.string())), pa.array(np.diff(at), pa.int64()), pa.array(spans, kind), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "spans", "items"])
+        return pa.RecordBatch.from_arrays([*columns, *batch.columns[5:]], names=["doc_id", "text", "n_words", "spans", "items", *batch.schema.names[5:]])
 
     return run
 
@@ -240,27 +240,31 @@ def _blocks(benchmark: DataFrame, n: int):
         yield Phrases(held, n)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, clean: bool = False, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, spans, items) for each document.
 
     spans: merged removal spans as (first, last) word numbers; items: ids of the items with occurring
-    windows. `clean` gives the text without the spans' words; else text is null.
+    windows. `clean` gives the text without the spans' words; else text is null. `keep` adds the other
+    columns of docs.
     """
     sc = docs.sparkSession.sparkContext
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if keep else []
     out = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)").alias("spans"),
         F.expr("cast(array() as array<bigint>)").alias("items"),
+        *[F.col(c).alias(f"__{k}") for k, c in enumerate(others)],
     )
+    schema = ", ".join([_SCHEMA, *[f"`__{k}` {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others)]])
     blocks = _blocks(benchmark, n)
     now = next(blocks, None) or Phrases([], n)
     while now is not None:
         after = next(blocks, None)
-        out = out.mapInArrow(_scan(sc.broadcast(now), clean or after is not None, clean and after is None), _SCHEMA)
+        out = out.mapInArrow(_scan(sc.broadcast(now), clean or after is not None, clean and after is None), schema)
         now = after
-    return out
+    return out.select("doc_id", "text", "n_words", "spans", "items", *[F.col(f"__{k}").alias(c) for k, c in enumerate(others)])
 
 
 def digest(found: DataFrame) -> DataFrame:

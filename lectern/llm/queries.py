@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, ngram_join, packing, quality_hosts, shard_tree, warc
+from lectern.llm import attention_lm, decontaminate, license_scan, line_templates, ngram_join, packing, quality_hosts, shard_tree, token_counts, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -34,10 +34,27 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op5_line_templates(spark, sf_dir):
+    out = line_templates.drop_recurring(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_dropped")
+
+
 def op6_shard_tree(spark, sf_dir):
     return shard_tree.shard(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_attention_lm(spark, sf_dir):
+    return attention_lm.score(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10))
 
@@ -50,7 +67,11 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
+    "op4_token_counts": op4_token_counts,
+    "op5_line_templates": op5_line_templates,
     "op6_shard_tree": op6_shard_tree,
+    "op7_license_scan": op7_license_scan,
+    "op8_attention_lm": op8_attention_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_hosts": op10_quality_hosts,
 }
