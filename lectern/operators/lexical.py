@@ -1,8 +1,8 @@
 """Lexical retrieval: postings, BM25 in three variants, synonym expansion, score normalisation.
 
 Terms are distinct in a document, so a term's frequency is 1 and a document's length is its number of
-terms. Query terms are few and filter the postings before any join; document frequencies and the
-average length are single aggregates. Variants plus and l give every document a constant part for
+terms. One pass over the postings gives all statistics, as a histogram of document frequencies; a second
+one scores the documents that hold query terms, which are few and broadcast. Variants plus and l give every document a constant part for
 each query term that the corpus holds, so lengths are scored for all documents, postings added.
 """
 
@@ -22,9 +22,10 @@ DELTA = {"plus": 1.0, "l": 0.5}
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, length): one row for each distinct term of a document; documents without terms go."""
+    """(id, length, term, head): one row for each distinct term of a document, head on its first; documents without terms go."""
     terms = docs.select(F.col(id_col), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    return terms.select(id_col, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    rows = terms.select(id_col, F.size("terms").alias("length"), F.posexplode("terms").alias("__p", "term"))
+    return rows.select(id_col, "length", "term", (F.col("__p") == 0).alias("head"))
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +65,10 @@ def expand_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return terms.select("term", F.col("term").alias("expanded")).unionByName(more).distinct()
 
 
-def _idf(variant: str, n: float, df: Column, mean_idf: Column | None = None) -> Column:
-    total = F.lit(float(n))
+def _idf(variant: str, n: int, df: int) -> float:
     if variant == "okapi":
-        idf = F.ln(total - df + 0.5) - F.ln(df + 0.5)
-        return idf if mean_idf is None else F.when(idf < 0, 0.25 * mean_idf).otherwise(idf)
-    return F.ln((total + 1) / df) if variant == "plus" else F.ln(total + 1) - F.ln(df + 0.5)
+        return math.log(n - df + 0.5) - math.log(df + 0.5)
+    return math.log((n + 1) / df) if variant == "plus" else math.log(n + 1) - math.log(df + 0.5)
 
 
 def bm25(posts: DataFrame, terms: list[str] | DataFrame, variant: str = "okapi", combine: str = "sum", k1: float = K1, b: float = B, delta: float | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -83,18 +82,20 @@ def bm25(posts: DataFrame, terms: list[str] | DataFrame, variant: str = "okapi",
     spark = posts.sparkSession
     query = terms if isinstance(terms, DataFrame) else spark.createDataFrame([(t, 1.0) for t in sorted(set(terms))], "term string, weight double")
     delta = DELTA.get(variant, 0.0) if delta is None else delta
-    docs = posts.groupBy(id_col).agg(F.first("length").alias("length"))
-    n, average = docs.agg(F.count(F.lit(1)), F.avg("length")).first()
-    if not n:
+    # one pass for all statistics: terms by their document frequency, the query's terms apart
+    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("head").alias("heads"))
+    named = counts.join(F.broadcast(query.select("term", F.col("term").alias("asked"), "weight")), "term", "left")  # a query's terms are few
+    histogram = named.groupBy("df", "asked", "weight").agg(F.count(F.lit(1)).alias("terms"), F.sum("heads").alias("heads")).collect()
+    n, size = sum(r["heads"] for r in histogram), sum(r["df"] * r["terms"] for r in histogram)
+    docs = posts.where("head").select(id_col, "length")
+    found = [r for r in histogram if r["asked"] is not None]
+    if not found:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    total, mean = F.lit(float(n)), None
-    mine = posts.join(F.broadcast(query), "term")  # a query's terms are few
-    df = mine.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.first("weight").alias("weight"))
-    if variant == "okapi":
-        every = doc_freq(posts).select(_idf("okapi", n, F.col("df").cast("double")).alias("idf"))
-        mean = F.lit(every.agg(F.avg("idf")).first()[0])
-    idf = _idf(variant, n, F.col("df"), mean)
-    known = df.select("term", (idf * F.col("weight")).alias("idf"))
+    average = size / n
+    mean = sum(_idf("okapi", n, r["df"]) * r["terms"] for r in histogram) / sum(r["terms"] for r in histogram)
+    idfs = [(r["asked"], _idf(variant, n, r["df"])) + (r["weight"],) for r in found]
+    idfs = [(t, (0.25 * mean if variant == "okapi" and idf < 0 else idf) * w) for t, idf, w in idfs]
+    known = spark.createDataFrame(idfs, "term string, idf double")
     ratio = F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(float(average))
 
     def part(tf: float) -> Column:
@@ -104,15 +105,13 @@ def bm25(posts: DataFrame, terms: list[str] | DataFrame, variant: str = "okapi",
         saturated = F.lit(tf) * (k1 + 1) / (k1 * ratio + tf)
         return saturated + delta if variant == "plus" else saturated
 
-    hits = mine.drop("weight").join(F.broadcast(known), "term")
+    hits = posts.join(F.broadcast(known), "term")
     if variant == "okapi":
         scored = hits.select(id_col, (F.col("idf") * part(1.0)).alias("s"))
         how = F.sum("s") if combine == "sum" else F.max("s")
         return scored.groupBy(id_col).agg(how.alias("score")).where("score > 0")
     # what an absent term adds depends on the length at most, so present terms add only the difference
-    all_idf, top_idf = known.agg(F.sum("idf"), F.max("idf")).first()
-    if all_idf is None:
-        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    all_idf, top_idf = sum(i for _, i in idfs), max(i for _, i in idfs)
     if combine == "sum":
         more = hits.groupBy(id_col).agg(F.sum("idf").alias("present"))
         scored = docs.join(more, id_col, "left").select(id_col, (F.lit(all_idf) * part(0.0) + F.coalesce("present", F.lit(0.0)) * (part(1.0) - part(0.0))).alias("score"))
