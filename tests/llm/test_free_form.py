@@ -128,8 +128,8 @@ def test_licenses(spark, docs):
 
 def test_gradient():
     rng = np.random.default_rng(1)
-    w = {k: x.astype(np.float64) for k, x in attention_lm.first_weights(rng.integers(0, 50, (128, 128)).astype(float)).items()}
-    inputs, targets, owner = attention_lm.layout([rng.integers(0, 128, n) for n in (5, 40, 70)])
+    w = {k: x.astype(np.float64) for k, x in attention_lm.first_weights(rng.integers(0, 50, (attention_lm.CLASSES,) * 2).astype(float)).items()}
+    inputs, targets, owner = attention_lm.layout([rng.integers(0, attention_lm.CLASSES, n) for n in (5, 40, 70)])
     r = np.flatnonzero(owner >= 0)
     args = np.concatenate([inputs[r - 1], inputs[r]], axis=1), inputs[r], targets[r]
 
