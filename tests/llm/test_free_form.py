@@ -4,8 +4,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lectern.llm import attention_lm, license_scan, line_templates, queries, token_counts
@@ -150,6 +152,30 @@ def test_gradient():
             assert abs((up - down) / (2 * eps) - g[name][place]) < 1e-3 * max(1, abs(g[name][place])) + 1e-4, name
 
 
+def test_lm_trains_on_whole_texts():
+    path, rng = queries.tokenizer("byte_bpe_50k.json"), np.random.default_rng(2)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 5000, n)) for n in (0, 3, 41, 330, 5000)]
+    sub = attention_lm.Subwords.of(path)
+    end = [sub.size]
+    want = [[*end, *np.frombuffer(sub.encode([t.encode().split()])[0], np.uint16).tolist(), *end] for t in texts]
+    cls = rng.integers(0, attention_lm.CLASSES, sub.size + 1).astype(np.uint8)
+    tiles = list(attention_lm._tiles(path)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    rows = [(e, np.frombuffer(x, np.uint16).tolist()) for b in tiles for e, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert [i for e, x in rows for i in x[e:]] == [i for x in want for i in x[1:]]
+    long, block = want[-1], attention_lm.BLOCK
+    later = [r for r in rows if r[0] > 1 and r[1][-1] == sub.size][-1]
+    assert later[0] == block + 1 and later[1] == long[-len(later[1]) :]
+    pairs = next(attention_lm._bigrams(SimpleNamespace(value=cls))(iter(tiles)))
+    count = Counter(int(cls[a]) * attention_lm.CLASSES + int(cls[b]) for x in want for a, b in zip(x, x[1:]))
+    assert dict(zip(*(c.to_pylist() for c in pairs.columns), strict=True)) == count
+    # rows of tiles are those of whole texts
+    inputs, targets, owner = attention_lm.layout([cls[x[1:]].astype(np.int64) for x in want], [np.array([int(cls[sub.size])])] * len(want))
+    whole = np.concatenate([inputs[np.flatnonzero(owner >= 0) - 1], inputs[owner >= 0], targets[owner >= 0]], axis=1)
+    parts = [t for b in tiles for t in attention_lm._rows(b, cls)]
+    inputs, targets, owner = attention_lm.layout([c for _, c in parts], [e for e, _ in parts])
+    assert np.array_equal(whole, np.concatenate([inputs[np.flatnonzero(owner >= 0) - 1], inputs[owner >= 0], targets[owner >= 0]], axis=1))
+
+
 def test_lm(spark, docs):
     got = attention_lm.score(docs, queries.tokenizer("byte_bpe_50k.json"))
     rows, texts = got.collect(), docs.collect()
