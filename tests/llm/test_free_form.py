@@ -152,6 +152,17 @@ def test_gradient():
             assert abs((up - down) / (2 * eps) - g[name][place]) < 1e-3 * max(1, abs(g[name][place])) + 1e-4, name
 
 
+def test_lm_rounds_see_every_tile():
+    rng = np.random.default_rng(4)
+    cls = rng.integers(0, attention_lm.CLASSES - 1, 50).astype(np.uint8)
+    x = rng.integers(0, 50, 1 + 3 * attention_lm.BLOCK).astype(np.uint16).tobytes()
+    tiles = pa.RecordBatch.from_arrays([pa.array([1] * 5, pa.int32()), pa.array([x] * 5, pa.binary())], names=["earlier", "ids"])
+    weights = attention_lm.first_weights(np.zeros((attention_lm.CLASSES,) * 2))
+    out = next(attention_lm._train(SimpleNamespace(value=cls), SimpleNamespace(value=weights))(iter([tiles])))
+    assert out.column(1)[0].as_py() == 5 * 3  # rows trained on
+    assert attention_lm.BLOCK >= 32
+
+
 def test_lm_trains_on_whole_texts():
     path, rng = queries.tokenizer("byte_bpe_50k.json"), np.random.default_rng(2)
     texts = [" ".join(f"word{k}" for k in rng.integers(0, 5000, n)) for n in (0, 3, 41, 330, 5000)]
