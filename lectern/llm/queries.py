@@ -23,7 +23,8 @@ def _table(spark, sf_dir, name):
 
 
 def op1_best_fit_packing(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), cap=2048)
+    out = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), cap=2048, keep_ids=True)
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op2_ngram_join(spark, sf_dir):
