@@ -7,7 +7,8 @@ leading ones may also be the variable field, so that lines that differ in one na
 template too. Tree paths and templates are hashes
 made by DataFrame expressions.
 
-A template that occurs in at least `min_docs` different texts is recurring. Its lines stay in the text
+A template that occurs in at least `min_docs` different texts is recurring; one of more than PASSAGE
+tokens, a passage, in at least `passage_docs` where that is given (operator 5 and the pipeline: 2). Its lines stay in the text
 whose document has the smallest id and are dropped from all others; so nothing vanishes from the corpus
 altogether. Exact copies of a document are one text here: a whole-document copy is no boilerplate, and
 is left to near-duplicate removal.
@@ -32,6 +33,8 @@ BLANKS = " \t\n\x0b\f\r"
 #: Leading tokens on the path, and the token counts of lines with a further variable field.
 LEADING, SHORT, LONG = 2, 6, 16
 FIELD = "<*>"
+#: Lines of more tokens are passages, which are no chance in two texts.
+PASSAGE = 50
 
 
 def _tokens(line: Column) -> Column:
@@ -54,15 +57,16 @@ def _with_templates(df: DataFrame, text: str, min_tokens: int) -> DataFrame:
     def templates(x: Column) -> list[Column]:
         n = F.size(x["h"])
         path = [n, *[F.get(x["m"], k) for k in range(LEADING)]]
-        whole = F.array(F.xxhash64(*path, x["all"]))
-        free = F.transform(F.slice(x["h"], LEADING + 1, F.greatest(n - LEADING, F.lit(0))), lambda h, i: F.xxhash64(*path, i, x["all"].bitwiseXOR(h)))
+        # the lowest bit of a template says whether it is a passage's
+        whole = F.array(F.xxhash64(*path, x["all"]).bitwiseAND(F.lit(-2)) + F.when(n > PASSAGE, 1).otherwise(0))
+        free = F.transform(F.slice(x["h"], LEADING + 1, F.greatest(n - LEADING, F.lit(0))), lambda h, i: F.xxhash64(*path, i, x["all"].bitwiseXOR(h)).bitwiseAND(F.lit(-2)))
         short = (n >= SHORT) & (n <= LONG)
         return [F.when(n < min_tokens, F.array().cast("array<bigint>")).when(short, F.concat(whole, free)).otherwise(whole).alias("t")]
 
     return step(templates)
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None) -> DataFrame:
     """docs with recurring lines dropped from the text, and n_dropped, the number of them."""
     text = F.col(text_col).cast("string")
     key = [F.when(text.isNotNull(), h).alias(k) for k, h in (("__k1", F.xxhash64(text)), ("__k2", F.xxhash64(F.lit(1), text)))]  # 128 bits for a text
@@ -70,7 +74,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_c
     lined = _with_templates(slim, "__text", min_tokens)
     seen = lined.select("__k1", "__k2", "__id", F.explode(F.array_distinct(F.flatten(F.transform("__lines", lambda x: x["t"])))).alias("__t"))
     seen = cut(seen.groupBy("__t", "__k1", "__k2").agg(F.min("__id").alias("__id")))
-    often = seen.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__k1", "__k2")).alias("__first")).where(F.col("__n") >= min_docs)
+    often = seen.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__k1", "__k2")).alias("__first")).where(F.col("__n") >= F.when(F.col("__t").bitwiseAND(F.lit(1)) == 1, passage_docs or min_docs).otherwise(min_docs))
     often = often.select("__t", F.col("__first.__k1").alias("__h1"), F.col("__first.__k2").alias("__h2"))
     drops = seen.join(often, "__t").where("__k1 <> __h1 or __k2 <> __h2").groupBy("__k1", "__k2").agg(F.collect_set("__t").alias("__drop"))
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from lectern.llm import attention_lm, license_scan, line_templates, queries, token_counts
 from tests.llm import cases
 
@@ -74,6 +75,18 @@ def test_lines(spark):
     assert odd.count() == len(cases.rows()) and odd.columns[:-1] == cases.frame(spark).columns
 
 
+def test_passages_in_two_texts(spark, tmp_path):
+    passage, short = (" ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(n)) for n in (51, 50))
+    rows = [(3, f"{passage}\n{short}\nof the third"), (3, f"{passage}\n{short}\nof the third"), (1, f"first text\n{passage}\n{short}"), (5, f"{short} more\nalone")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op5_line_templates(spark, str(tmp_path)).collect())
+    stage = corpus_pipeline.line_dedup(spark, docs, None).collect()
+    assert sorted((r.doc_id, r.text) for r in stage) == [r[:2] for r in got]
+    assert got == [(1, rows[2][1], 0), (3, f"{short}\nof the third", 1), (3, f"{short}\nof the third", 1), (5, rows[3][1], 0)]
+
+
 def test_lines_against_brute_force(docs):
     rows = docs.collect()
 
