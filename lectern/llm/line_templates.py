@@ -4,7 +4,9 @@ A line descends a tree of fixed depth: its token count, then its leading tokens,
 addresses or links standing as a variable field (in lines where they are the lesser part). At the leaf
 its template is the whole line with those fields masked; for short lines each other token behind the
 leading ones may also be the variable field, so that lines that differ in one name or word share a
-template too. Tree paths and templates are hashes
+template too. With `segments`, so may each of that many equal runs of tokens of a longer line, but not in
+a text of a single line: there it would be a near copy of the document, which is left to near-duplicate
+removal. Tree paths and templates are hashes
 made by DataFrame expressions.
 
 A template that occurs in at least `min_docs` different texts is recurring; one of more than PASSAGE
@@ -41,7 +43,7 @@ def _tokens(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
 
 
-def _with_templates(df: DataFrame, text: str, min_tokens: int) -> DataFrame:
+def _with_templates(df: DataFrame, text: str, min_tokens: int, segments: int = 0) -> DataFrame:
     """Adds __lines, an array of structs: line and t, its templates (none where it has too few tokens)."""
     # steps of arrays of structs: what a lambda uses twice must be a field, else it is computed anew
     def step(fields):
@@ -54,24 +56,35 @@ def _with_templates(df: DataFrame, text: str, min_tokens: int) -> DataFrame:
     df = step(lambda x: [x["m"].alias("m"), F.transform(x["m"], lambda t, i: F.xxhash64(i, t)).alias("h")])
     df = step(lambda x: [x["m"].alias("m"), x["h"].alias("h"), F.aggregate(x["h"], F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)).alias("all")])
 
-    def templates(x: Column) -> list[Column]:
+    def templates(x: Column, segments: int = 0) -> list[Column]:
         n = F.size(x["h"])
         path = [n, *[F.get(x["m"], k) for k in range(LEADING)]]
-        # the lowest bit of a template says whether it is a passage's
+        # the lowest bit of a template says whether it is a passage's, without a further field
         whole = F.array(F.xxhash64(*path, x["all"]).bitwiseAND(F.lit(-2)) + F.when(n > PASSAGE, 1).otherwise(0))
         free = F.transform(F.slice(x["h"], LEADING + 1, F.greatest(n - LEADING, F.lit(0))), lambda h, i: F.xxhash64(*path, i, x["all"].bitwiseXOR(h)).bitwiseAND(F.lit(-2)))
         short = (n >= SHORT) & (n <= LONG)
-        return [F.when(n < min_tokens, F.array().cast("array<bigint>")).when(short, F.concat(whole, free)).otherwise(whole).alias("t")]
-
-    return step(templates)
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None) -> DataFrame:
+        out = F.when(n < min_tokens, F.array().cast("array<bigint>")).when(short, F.concat(whole, free))
+        if segments:
+            bounds = [F.floor(F.lit(LEADING) + (n - LEADING) * k / segments).cast("int") for k in range(segments + 1)]
+            runs = [F.aggregate(F.slice(x["h"], a + 1, F.greatest(b - a, F.lit(0))), x["all"], lambda s, h: s.bitwiseXOR(h)) for a, b in zip(bounds, bounds[1:])]
+            runs = [F.xxhash64(*path, F.lit(f"run {k}"), r).bitwiseAND(F.lit(-2)) for k, r in enumerate(runs)]
+            out = out.when(n > LONG, F.concat(whole, F.array(*runs)))
+        return [out.otherwise(whole).alias("t")]
+
+    if not segments:
+        return step(templates)
+    # the condition stands outside of the lambda, which would look through the text for each line
+    several = F.locate("\n", F.btrim(F.col(text), F.lit(BLANKS))) > 0
+    each = lambda k: F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), *templates(x, k)))
+    return df.withColumn("__lines", F.when(several, each(segments)).otherwise(each(0)))
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None, segments: int = 0) -> DataFrame:
     """docs with recurring lines dropped from the text, and n_dropped, the number of them."""
     text = F.col(text_col).cast("string")
     key = [F.when(text.isNotNull(), h).alias(k) for k, h in (("__k1", F.xxhash64(text)), ("__k2", F.xxhash64(F.lit(1), text)))]  # 128 bits for a text
     slim = docs.select(*key, F.col(id_col).alias("__id"), text.alias("__text")).where("__text is not null")
-    lined = _with_templates(slim, "__text", min_tokens)
+    lined = _with_templates(slim, "__text", min_tokens, segments)
     seen = lined.select("__k1", "__k2", "__id", F.explode(F.array_distinct(F.flatten(F.transform("__lines", lambda x: x["t"])))).alias("__t"))
     seen = cut(seen.groupBy("__t", "__k1", "__k2").agg(F.min("__id").alias("__id")))
     often = seen.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__k1", "__k2")).alias("__first")).where(F.col("__n") >= F.when(F.col("__t").bitwiseAND(F.lit(1)) == 1, passage_docs or min_docs).otherwise(min_docs))
@@ -80,7 +93,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_c
 
     keyed = docs.select("*", *key).join(drops.withColumnsRenamed({"__k1": "__j1", "__k2": "__j2"}), F.expr("__k1 = __j1 and __k2 = __j2"), "left")
     # only texts with something to drop are parsed again
-    lined = _with_templates(keyed.withColumn("__text", F.when(F.col("__drop").isNotNull(), F.col(text_col).cast("string"))), "__text", min_tokens)
+    lined = _with_templates(keyed.withColumn("__text", F.when(F.col("__drop").isNotNull(), F.col(text_col).cast("string"))), "__text", min_tokens, segments)
     kept = F.filter("__lines", lambda x: ~F.arrays_overlap(x["t"], F.col("__drop")))
     lined = lined.withColumn("__kept", F.transform(kept, lambda x: x["line"]))
     changed = F.col("__drop").isNotNull() & (F.size("__kept") < F.size("__lines"))

@@ -40,7 +40,7 @@ def op4_token_counts(spark, sf_dir):
 
 
 def op5_line_templates(spark, sf_dir):
-    out = line_templates.drop_recurring(_table(spark, sf_dir, "documents"), passage_docs=2)
+    out = line_templates.drop_recurring(_table(spark, sf_dir, "documents"), passage_docs=2, segments=4)
     return out.select("doc_id", "text", "n_dropped")
 
 

@@ -77,7 +77,7 @@ def test_lines(spark):
 
 def test_passages_in_two_texts(spark, tmp_path):
     passage, short = (" ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(n)) for n in (51, 50))
-    rows = [(3, f"{passage}\n{short}\nof the third"), (3, f"{passage}\n{short}\nof the third"), (1, f"first text\n{passage}\n{short}"), (5, f"{short} more\nalone")]
+    rows = [(3, f"{passage}\n{short}\nof the third"), (3, f"{passage}\n{short}\nof the third"), (1, f"first text\n{passage}\n{short}"), (5, f"more {short}\nalone")]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -87,6 +87,21 @@ def test_passages_in_two_texts(spark, tmp_path):
     assert got == [(1, rows[2][1], 0), (3, f"{short}\nof the third", 1), (3, f"{short}\nof the third", 1), (5, rows[3][1], 0)]
 
 
+def test_long_lines_with_a_free_word(spark, tmp_path):
+    notice = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)]
+    put = lambda n, at, w: " ".join([*notice[:at], w, *notice[at + 1 : n]])
+    names = ["ann", "bob", "cy"]
+    rows = [(10 * g + i, f"{put(n, at, w)}\nown{w}{g}") for g, (n, at) in enumerate([(17, 2), (17, 16), (40, 20), (60, 59)]) for i, w in enumerate(names)]
+    rows += [(90 + i, put(45, 30, w)) for i, w in enumerate(names)]  # near copies of a whole document
+    rows += [(80 + i, f"{put(30, 5 + 9 * i, 'far')} {i}\nown") for i in range(3)]  # differ in several runs
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op5_line_templates(spark, str(tmp_path)).collect()}
+    want = {i: t.split("\n")[1] if i < 80 and i % 10 else t for i, t in rows}
+    assert got == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, None).collect()} == want
+
+
 def test_lines_against_brute_force(docs):
     rows = docs.collect()
 
