@@ -7,7 +7,7 @@ bins are moved together. The plan is the one that best-fit decreasing gives piec
 depends on the sequence size, not on the corpus. Pieces then look up their place by length and rank.
 
 Work per step: tokenising is one narrow pass; the ranks of equal lengths come from counts of small
-buckets, so that no length is sorted in one task.
+buckets, so that no length is sorted in one task; the ids are shuffled once, to their places.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; repeated rows are packed
 once each; a null id is kept as null; columns other than id and text are ignored; an empty table gives
@@ -17,17 +17,17 @@ an empty result; texts of any length are tokenised whole and cut into full piece
 from __future__ import annotations
 
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import cut, partitions, ranks
+from lectern.llm import words as W
+from lectern.llm.shared import partitions, ranks, written
 
-#: Words whose ids are remembered by a worker, twice over, and the longest word remembered.
-REMEMBERED, LONGEST = 500_000, 48
+#: Bytes of text encoded together; a longer text stands alone.
+BATCH_BYTES = 2 << 20
 #: Words that are encoded in one call, and marks that may stand behind them.
 TOGETHER, MARKS = 400, ".,;:!?"
 
@@ -35,95 +35,82 @@ TOGETHER, MARKS = 400, ".,;:!?"
 class WordEncoder:
     """Token ids of texts, word by word: no token of the vocabulary spans an ASCII blank.
 
-    Words are remembered in two generations of bounded size, since the same words come again and again.
-    New words of letters, with or without marks behind them, are encoded together, as one text, and
-    told apart by the tokens that end a run of letters or marks; if these are more than expected, the
+    Different words are encoded once and remembered in bounded memory, since the same words come again
+    and again. New words of letters, with or without marks behind them, are encoded together, as one text,
+    and told apart by the tokens that end a run of letters or marks; if these are more than expected, the
     whole group is encoded word by word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def _each(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain, runs, other, known = [], [], [], self.known
-        for w in new:
-            word = w.decode()
-            letters = word.rstrip(MARKS)
-            if letters.isalpha():
-                plain.append(w)
-                runs.append(1 + (len(letters) < len(word)))
-            else:
-                other.append(w)
+        self.known = W.Remembered(self.learn, np.dtype("<u4"))
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word, one after another, and how many each has."""
+        texts, out = [w.decode() for w in words], [None] * len(words)
+        letters = [w.rstrip(MARKS) for w in texts]
+        plain = [k for k, x in enumerate(letters) if x.isalpha()]
+        other = [k for k, x in enumerate(letters) if not x.isalpha()]
+        runs = [1 + (len(letters[k]) < len(texts[k])) for k in plain]
         groups = [slice(at, at + TOGETHER) for at in range(0, len(plain), TOGETHER)]
-        for g, e in zip(groups, self.batch([b" ".join(plain[g]).decode() for g in groups], add_special_tokens=False), strict=True):
+        for g, e in zip(groups, self.batch([" ".join(texts[k] for k in plain[g]) for g in groups], add_special_tokens=False), strict=True):
             ids, last = np.array(e.ids, dtype="<u4"), np.cumsum(runs[g])
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != last[-1]:
                 other += plain[g]
                 continue
-            data, at = ids.tobytes(), 0
-            for w, to in zip(plain[g], (4 * ends[last - 1]).tolist(), strict=True):
-                known[w] = data[at:to]
+            at = 0
+            for k, to in zip(plain[g], ends[last - 1].tolist(), strict=True):
+                out[k] = ids[at:to]
                 at = to
         for at in range(0, len(other), 5000):
-            self._each(other[at : at + 5000])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for w in set().union(*split).difference(known):
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+            some = other[at : at + 5000]
+            for k, e in zip(some, self.batch([texts[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, dtype="<u4")
+        return np.concatenate([np.zeros(0, "<u4"), *out]), np.array([len(x) for x in out], np.int64)
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of all texts one after another, each with the end id behind, and how many each has."""
+        buf, offs = W.text_buffer(texts)
+        s, e, at = W.spans(buf, offs, W.BLANK_WORDS)
+        which, starts, sizes = self.known.look_up(W.hashes(buf, s, e, W.AS_IT_IS), W.speller(buf, s, e))
+        flat = np.append(self.known.flat, np.array([self.end_id], "<u4"))  # the end stands behind each text like a word
+        which = np.insert(which, at[1:], len(starts))
+        starts, sizes = np.append(starts, len(flat) - 1)[which], np.append(sizes, 1)[which]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        return W.ragged(flat, starts, sizes), np.diff(done[at + np.arange(len(at))])
 
-_encoders: dict[str, WordEncoder] = {}
 
+_encoders: dict[tuple, WordEncoder] = {}
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
 
+def encoder(path: str, end_id: int = 0) -> WordEncoder:
+    """The worker's encoder for a tokenizer file."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = WordEncoder(path, end_id)
+    return _encoders[path, end_id]
 
-def _cut_pieces(path: str, cap: int, end_id: int, keep_ids: bool):
-    end = np.array([end_id], dtype="<u4").tobytes()
 
+def _cut_pieces(path: str, cap: int, end_id: int):
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, end_id)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                some = texts.slice(at, 256).to_pylist()
-                rows = []
-                for doc, data in zip(ids[at : at + 256], enc.encode([(t or "").encode() for t in some]), strict=True):
-                    data += end
-                    for k, s in enumerate(range(0, len(data) // 4, cap)):
-                        part = data[4 * s : 4 * (s + cap)]
-                        rows.append((doc, k, s, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            _, offs = W.text_buffer(batch.column(1))
+            for i, j in W.cuts(offs, BATCH_BYTES):
+                ids, sizes = enc.encode(batch.column(1).slice(i, j - i))
+                pieces = -(-sizes // cap)
+                doc = np.repeat(np.arange(j - i), pieces)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(cap, sizes[doc] - nth * cap)
+                places = np.concatenate([[0], 4 * np.cumsum(length)])
+                data = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(places), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(nth, pa.int32()), pa.array(nth * cap), pa.array(length), data], names=["doc_id", "piece", "start", "length", "ids"])
 
     return run
 
@@ -189,22 +176,20 @@ def best_fit_plan(counts: dict[int, int], cap: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int = 0, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset) for each piece of each document.
+def pack(docs: DataFrame, tokenizer_path: str, cap: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset) for each piece of each document.
 
-    keep_ids adds the ids as little-endian unsigned 32-bit numbers; without it only their CRC-32 is
-    carried through the ranking.
+    ids are little-endian unsigned 32-bit numbers. Pieces are written once, with their ids, to the shared
+    folder; ranks and places are worked out without them, and the ids join their places by one shuffle.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = texts.mapInArrow(_cut_pieces(tokenizer_path, cap, end_id, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
-    pieces = cut(pieces if keep_ids else pieces.drop("ids"))
+    pieces = texts.mapInArrow(_cut_pieces(tokenizer_path, cap, end_id), "doc_id long, piece int, start long, length long, ids binary")
+    pieces = written(pieces.withColumn("__key", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most cap rows
     plan = spark.createDataFrame(best_fit_plan(counts, cap), "at_length long, low long, high long, per long, first long, at long")
-    ranked = ranks(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.xxhash64("doc_id", "piece"), max(256, 4 * partitions(spark)), "rank")
+    slim = pieces.select("__key", "doc_id", "piece", "length")
+    ranked = ranks(slim, ["length"], [F.col("doc_id"), F.col("piece"), F.col("__key")], F.xxhash64("__key"), max(256, 4 * partitions(spark)), "rank")
     placed = ranked.join(F.broadcast(plan), F.expr("length = at_length and rank >= low and rank < high"))  # bounded by cap
-    return placed.select(
-        *pieces.columns,
-        F.expr("first + (rank - low) div per").alias("sequence_id"),
-        F.expr("at + (rank - low) % per * length").alias("offset"),
-    )
+    placed = placed.select("__key", F.expr("first + (rank - low) div per").alias("sequence_id"), F.expr("at + (rank - low) % per * length").alias("offset"))
+    return pieces.join(placed, "__key").drop("__key")

@@ -23,7 +23,7 @@ def _table(spark, sf_dir, name):
 
 
 def op1_best_fit_packing(spark, sf_dir):
-    out = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), cap=2048, keep_ids=True)
+    out = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), cap=2048)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

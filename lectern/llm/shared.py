@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where none is (tests)."""
+    """The checkpoint folder of the session. Where none is set, a local session gets one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern"))
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written once to the shared folder, of which readers take the columns they need."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared folder, so that a lost executor costs no rerun."""
     shared_folder(df.sparkSession)

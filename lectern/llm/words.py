@@ -2,7 +2,8 @@
 
 A batch of texts is one byte buffer; words are found by a table over byte values, so UTF-8 texts
 need no decoding. Hashes are polynomial over the lower-cased (A-Z only) bytes, computed by prefix
-sums in blocks of BLOCK bytes, then mixed; equal words have equal hashes everywhere.
+sums in blocks of BLOCK bytes, then mixed; equal words have equal hashes everywhere. What a tokenizer or
+a model says of a word is learned once for each different word and remembered, in bounded memory.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ _MASK = (1 << 64) - 1
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: For hashes that tell A-Z from a-z.
+AS_IT_IS = np.arange(256, dtype=np.uint8)
 
 #: Bytes of words split by blanks (all but 0x20 and 0x09-0x0D).
 BLANK_WORDS = np.ones(256, dtype=bool)
@@ -81,8 +84,8 @@ def spans(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each word."""
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """One 64-bit hash for each word, over its bytes as `fold` maps them."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -91,7 +94,7 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = int(ends[j - 1] - s0)
         _Tables.least(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        part = LOWER[buf[s0 : s0 + n]].astype(np.uint64)
+        part = fold[buf[s0 : s0 + n]].astype(np.uint64)
         part += np.uint64(1)
         part *= _Tables.up[:n]
         np.cumsum(part, out=sums[1:])
@@ -122,3 +125,54 @@ def cuts(offs: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((i, min(j, n)))
         i = j
     return out
+
+
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size] one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Remembered:
+    """What `learn` says of words, by their hash: a run of numbers for each.
+
+    learn(words as bytes) -> (flat, sizes): the runs one after another and the length of each. Of more than
+    `most` words or `long` numbers only those of the latest batch stay, so memory is bounded by these and a batch.
+    """
+
+    def __init__(self, learn, dtype, most: int = 400_000, long: int = 8_000_000):
+        self.learn, self.most, self.long = learn, most, long
+        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def look_up(self, h: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, starts, sizes): for each hash the number of its run, and where in `flat` the runs are.
+
+        spell(places) gives the words at some places of h as bytes.
+        """
+        u, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, u)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == u if len(self.keys) else np.zeros(len(u), bool)
+        if not known.all():
+            flat, sizes = self.learn(spell(first[~known]))
+            if len(self.keys) + len(sizes) > self.most or len(self.flat) + len(flat) > self.long:
+                keep = at[known]
+                kept = ragged(self.flat, self.starts[keep], self.sizes[keep])
+                self.keys, self.sizes, self.flat = self.keys[keep], self.sizes[keep], kept
+                self.starts = np.cumsum(self.sizes) - self.sizes
+                at = np.searchsorted(self.keys, u)
+            begin = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, flat])
+            self.keys, self.starts, self.sizes = (np.insert(x, at[~known], y) for x, y in ((self.keys, u[~known]), (self.starts, begin), (self.sizes, sizes)))
+            at = np.searchsorted(self.keys, u)
+        return which, self.starts[at], self.sizes[at]
+
+
+def speller(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = AS_IT_IS):
+    """Gives words at places among these spans as bytes."""
+
+    def spell(places: np.ndarray) -> list[bytes]:
+        raw = fold[ragged(buf, starts[places], ends[places] - starts[places])].tobytes()
+        at = np.concatenate([[0], np.cumsum(ends[places] - starts[places])]).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    return spell
