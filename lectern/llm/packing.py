@@ -30,10 +30,13 @@ from lectern.llm.shared import partitions, ranks, written
 BATCH_BYTES = 2 << 20
 #: Words that are encoded in one call, and marks that may stand behind them.
 TOGETHER, MARKS = 400, ".,;:!?"
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 class WordEncoder:
-    """Token ids of texts, word by word: no token of the vocabulary spans an ASCII blank.
+    """Token ids of texts, word by word: no token of the vocabulary spans an ASCII blank, and A-Z are a-z to it.
 
     Different words are encoded once and remembered in bounded memory, since the same words come again
     and again. New words of letters, with or without marks behind them, are encoded together, as one text,
@@ -53,33 +56,43 @@ class WordEncoder:
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each word, one after another, and how many each has."""
-        texts, out = [w.decode() for w in words], [None] * len(words)
+        texts = [w.decode() for w in words]
         letters = [w.rstrip(MARKS) for w in texts]
-        plain = [k for k, x in enumerate(letters) if x.isalpha()]
-        other = [k for k, x in enumerate(letters) if not x.isalpha()]
-        runs = [1 + (len(letters[k]) < len(texts[k])) for k in plain]
-        groups = [slice(at, at + TOGETHER) for at in range(0, len(plain), TOGETHER)]
-        for g, e in zip(groups, self.batch([" ".join(texts[k] for k in plain[g]) for g in groups], add_special_tokens=False), strict=True):
+        alpha = np.array([x.isalpha() for x in letters], bool)
+        runs = 1 + np.array([len(x) < len(y) for x, y in zip(letters, texts, strict=True)], bool)
+        plain, other = np.flatnonzero(alpha), [np.flatnonzero(~alpha)]
+        order, flat, sizes = [], [], []
+        groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+        for g, e in zip(groups, self.batch([" ".join(map(texts.__getitem__, g.tolist())) for g in groups], add_special_tokens=False), strict=True):
             ids, last = np.array(e.ids, dtype="<u4"), np.cumsum(runs[g])
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != last[-1]:
-                other += plain[g]
+                other.append(g)
                 continue
-            at = 0
-            for k, to in zip(plain[g], ends[last - 1].tolist(), strict=True):
-                out[k] = ids[at:to]
-                at = to
-        for at in range(0, len(other), 5000):
-            some = other[at : at + 5000]
-            for k, e in zip(some, self.batch([texts[k] for k in some], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, dtype="<u4")
-        return np.concatenate([np.zeros(0, "<u4"), *out]), np.array([len(x) for x in out], np.int64)
+            order.append(g)
+            flat.append(ids)
+            sizes.append(np.diff(ends[last - 1], prepend=0))
+        one = np.concatenate(other)
+        for at in range(0, len(one), 5000):
+            each = [e.ids for e in self.batch([texts[k] for k in one[at : at + 5000].tolist()], add_special_tokens=False)]
+            order.append(one[at : at + 5000])
+            flat.append(np.array([i for e in each for i in e], dtype="<u4"))
+            sizes.append(np.array([len(e) for e in each], np.int64))
+        flat, sizes = np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
+        starts, back = np.cumsum(sizes) - sizes, np.argsort(np.concatenate([np.zeros(0, np.int64), *order]))
+        return W.ragged(flat, starts[back], sizes[back]), sizes[back]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes): the ids of all texts one after another, each with the end id behind, and how many each has."""
         buf, offs = W.text_buffer(texts)
         s, e, at = W.spans(buf, offs, W.BLANK_WORDS)
-        which, starts, sizes = self.known.look_up(W.hashes(buf, s, e, W.AS_IT_IS), W.speller(buf, s, e))
+        # a mark behind a letter or digit is a token of its own, so it is told from the word
+        marked = np.flatnonzero(e - s > 1)
+        marked = marked[_MARK[buf[e[marked] - 1]] & _LETTER[buf[e[marked] - 2]]]
+        s, at = np.insert(s, marked + 1, e[marked] - 1), at + np.searchsorted(marked, at)
+        e[marked] -= 1
+        e = np.insert(e, marked + 1, e[marked] + 1)
+        which, starts, sizes = self.known.look_up(W.hashes(buf, s, e), W.speller(buf, s, e))
         flat = np.append(self.known.flat, np.array([self.end_id], "<u4"))  # the end stands behind each text like a word
         which = np.insert(which, at[1:], len(starts))
         starts, sizes = np.append(starts, len(flat) - 1)[which], np.append(sizes, 1)[which]

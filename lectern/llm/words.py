@@ -140,7 +140,7 @@ class Remembered:
     `most` words or `long` numbers only those of the latest batch stay, so memory is bounded by these and a batch.
     """
 
-    def __init__(self, learn, dtype, most: int = 400_000, long: int = 8_000_000):
+    def __init__(self, learn, dtype, most: int = 1_500_000, long: int = 12_000_000):
         self.learn, self.most, self.long = learn, most, long
         self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
 

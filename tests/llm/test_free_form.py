@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from lectern.llm import attention_lm, license_scan, line_templates, queries, token_counts
+from lectern.llm import words as W
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -20,28 +21,31 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def docs(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
-    return real.unionByName(cases.frame(spark).select(*real.columns)).cache()
+    return real.unionByName(cases.frame(spark), allowMissingColumns=True).cache()  # with columns whose names clash
 
 
 def test_token_counts(docs):
     path = queries.tokenizer("piece_bpe_32k.model")
-    pieces, byte = token_counts.vocabulary(path)
+    rows, v = docs.collect(), token_counts.Vocabulary.of(path)
+    told = Counter(i for r in rows for w in (r.text or "").encode().split() for i in v.sp.encode(w.decode()))
+    assert token_counts.piece_counts(docs, path) == told
+    pieces, byte = v.log_chances(told)
+    assert abs(sum(map(math.exp, pieces.values())) + len(v.bytes) * math.exp(byte) - 1) < 1e-9
     widest = max(map(len, pieces))
 
     def best(word):
         scores = [(0.0, 0)]
         for end in range(1, len(word) + 1):
-            ways = [(scores[at][0] + pieces[word[at:end]], -scores[at][1] - 1) for at in range(max(0, end - widest), end) if word[at:end] in pieces]
+            ways = [(scores[at][0] + pieces[word[at:end]], scores[at][1] - 1) for at in range(max(0, end - widest), end) if word[at:end] in pieces]
             if word[end - 1] not in pieces:
                 n = len(word[end - 1].encode())
-                ways.append((scores[end - 1][0] + n * byte, -scores[end - 1][1] - n))
-            s, n = max(ways)
-            scores.append((s, -n))
-        return scores[-1][1]
+                ways.append((scores[end - 1][0] + n * byte, scores[end - 1][1] - n))
+            scores.append(max(ways))
+        return -scores[-1][1]
 
     memo = {}
     want = Counter()
-    for r in docs.collect():
+    for r in rows:
         words = (r.text or "").encode().split()
         want[(r.doc_id, len(words), sum(memo[w] if w in memo else memo.setdefault(w, best("▁" + w.decode())) for w in words))] += 1
     assert Counter(tuple(r) for r in token_counts.count_tokens(docs, path).collect()) == want
@@ -49,8 +53,27 @@ def test_token_counts(docs):
 
 def test_trie_shares_prefixes():
     trie = token_counts.Trie({"▁": -1.0, "a": -1.0, "b": -2.0, "ab": -1.5}, -9.0)
-    assert trie.count([b"ab", b"abab", b"ab", b"c", "é".encode()]) == [2, 3, 2, 2, 3]
-    assert len(trie.scores) == 1 + len({"▁", "▁a", "▁ab", "▁aba", "▁abab", "▁c", "▁é"})
+    words = [b"ab", b"abab", b"c", "é".encode(), b"b\0", b"a" * 100]
+    assert trie.learn(words)[0].tolist() == [2, 3, 2, 3, 3, 101]
+    assert trie.nodes == len({"▁", "▁a", "▁ab", "▁aba", "▁abab", "▁c", "▁é"})
+
+
+def test_remembered_words_are_bounded():
+    rng, learned = np.random.default_rng(0), []
+
+    def learn(words):
+        learned.extend(words)
+        return np.array([len(w) for w in words]), np.ones(len(words), np.int64)
+
+    known = W.Remembered(learn, np.int64, most=50, long=60)
+    for _ in range(30):
+        texts = [" ".join("x" * k + "yz" for k in rng.integers(0, 200, 20)) for _ in range(2)]
+        buf, offs = W.text_buffer(pa.array(texts))
+        s, e, _ = W.spans(buf, offs, W.BLANK_WORDS)
+        which, starts, sizes = known.look_up(W.hashes(buf, s, e), W.speller(buf, s, e))
+        assert known.flat[starts][which].tolist() == [len(w) for t in texts for w in t.split()] and set(sizes) == {1}
+        assert len(known.keys) <= 50 + 40 and len(known.flat) <= 60 + 40
+    assert len(learned) < 30 * 40
 
 
 def test_lines(spark):
