@@ -180,6 +180,7 @@ def _scan(phrases, with_text: bool, clean: bool):
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches):
+        W.settle()
         p = phrases.value
         for batch in batches:
             _, offs = W.text_buffer(batch.column(1))

@@ -98,6 +98,7 @@ def _requests(w: int, buckets: int):
     def run(batches):
         from pyspark import TaskContext
 
+        W.settle()
         home = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offs = W.text_buffer(batch.column(1))
@@ -245,6 +246,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, den: int)
 
 def _verify(w: int, percent: int, den: int):
     def run(batches):
+        W.settle()
         held_ids, held_sets, now = [], [], None
 
         def flush():

@@ -53,7 +53,7 @@ def op7_license_scan(spark, sf_dir):
 
 
 def op8_attention_lm(spark, sf_dir):
-    return attention_lm.score(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return attention_lm.score(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op9_decontaminate(spark, sf_dir):

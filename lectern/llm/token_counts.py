@@ -72,6 +72,7 @@ def _piece_counts(path: str):
     """(piece, count) of a task's words."""
 
     def run(batches):
+        W.settle()
         v = Vocabulary.of(path)
         total = np.zeros(v.sp.get_piece_size(), np.int64)
         for batch in batches:
@@ -97,8 +98,6 @@ def piece_counts(docs: DataFrame, vocabulary_path: str, text_col: str = "text")
 class Trie:
     """Forward scores of pre-tokens: all nodes of a depth at once."""
 
-    _BASE = np.uint64(0x9E3779B97F4A7C15)
-
     def __init__(self, pieces: dict[str, float], byte: float):
         self.pieces, self.byte, self.widest = pieces, byte, max(map(len, pieces), default=1)
         # every suffix of a piece by its hash, with the log probability where it is a piece itself
@@ -106,7 +105,7 @@ class Trie:
         for p, logp in pieces.items():
             h = 0
             for k in range(len(p) - 1, -1, -1):
-                h = self._more(h, ord(p[k]))
+                h = W.step_one(h, ord(p[k]))
                 ends.setdefault(h, -np.inf)
             ends[h] = logp
         self.ends = np.array(sorted(ends), np.uint64)
@@ -114,12 +113,6 @@ class Trie:
         self.single = np.array(sorted(ord(p) for p in pieces if len(p) == 1), np.uint32)
         self.nodes = 0
 
-    def _more(self, h: int, c: int) -> int:
-        return ((h ^ (c + 1)) * int(self._BASE) & W._MASK) ^ (h >> 29)
-
-    def _add(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return ((h ^ (c.astype(np.uint64) + np.uint64(1))) * self._BASE) ^ (h >> np.uint64(29))
-
     def insert(self, words: list[str]) -> np.ndarray:
         """The number of pieces of each of these sorted, different pre-tokens of at most LONGEST characters."""
         n, size = len(words), np.array([len(w) for w in words])
@@ -136,7 +129,7 @@ class Trie:
             best, fewest = np.full(len(node), -np.inf), np.zeros(len(node), np.int32)
             h, on = np.zeros(len(node), np.uint64), np.arange(len(node))
             for at in range(end - 1, max(0, end - self.widest) - 1, -1):
-                h = self._add(h, chars[node[on], at])
+                h = W.step(h, chars[node[on], at])
                 i = np.minimum(np.searchsorted(self.ends, h), len(self.ends) - 1)
                 go = self.ends[i] == h
                 on, h, i = on[go], h[go], i[go]
@@ -194,6 +187,7 @@ _latest: dict[str, W.Remembered] = {}
 
 def _count(shared, name: str):
     def run(batches):
+        W.settle()
         if name not in _latest:  # a worker keeps its words from task to task
             _latest.clear()
             _latest[name] = W.Remembered(Trie(*shared.value).learn, np.int32)

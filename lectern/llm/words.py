@@ -47,6 +47,40 @@ class _Tables:
             cls.up, cls.down = _powers(_BASE, cls.size), _powers(pow(_BASE, -1, 1 << 64), cls.size)
 
 
+def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one character (or byte) longer."""
+    return ((h ^ (c.astype(np.uint64) + np.uint64(1))) * np.uint64(_BASE)) ^ (h >> np.uint64(29))
+
+
+def step_one(h: int, c: int) -> int:
+    """The same for one string."""
+    return ((h ^ (c + 1)) * _BASE & _MASK) ^ (h >> 29)
+
+
+_settled: list[bool] = []
+
+
+def settle() -> None:
+    """Fits a worker to the one core of its task: matrix products start no threads, whose idle ones would spin, and large arrays reuse memory rather than map it anew."""
+    import ctypes
+    import glob
+    import os
+
+    if _settled:
+        return
+    _settled.append(True)
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 26)
+        libc.mallopt(-1, 1 << 28)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
