@@ -1,27 +1,28 @@
 """Line dedup by a log-template tree: recurring line templates across documents are dropped.
 
-A line descends a tree of fixed depth: its token count, then its leading tokens, tokens with digits,
-addresses or links standing as a variable field (in lines where they are the lesser part). At the leaf
-its template is the whole line with those fields masked; for short lines each other token behind the
-leading ones may also be the variable field, so that lines that differ in one name or word share a
-template too. With `segments`, so may each of that many equal runs of tokens of a longer line, but not in
-a text of a single line: there it would be a near copy of the document, which is left to near-duplicate
-removal. Tree paths and templates are hashes
-made by DataFrame expressions.
-
-A template that occurs in at least `min_docs` different texts is recurring; one of more than PASSAGE
-tokens, a passage, in at least `passage_docs` where that is given (operator 5 and the pipeline: 2). Its lines stay in the text
-whose document has the smallest id and are dropped from all others; so nothing vanishes from the corpus
-altogether. Exact copies of a document are one text here: a whole-document copy is no boilerplate, and
+A line descends a tree of fixed depth: its token count, then its LEADING first tokens; tokens with digits,
+addresses or links stand as a variable field (in lines where they are the lesser part). At the leaf its
+template is the whole line with those fields masked. Besides, the tokens behind the leading ones are cut
+into RUNS equal runs, and each run in turn may be variable as a whole, so that lines of any length that differ
+in one name or word share a template; a template must keep FIXED tokens at least, so lines of up to four
+tokens recur only as they are. A text of a single line has no variable runs: there they would make it a near
+copy of the document, which is left to near-duplicate removal. Paths and templates are hashes of 96 bits made by
+DataFrame expressions outside of lambdas, so they are compiled.
+
+A template that occurs in at least `min_docs` different texts is recurring; one of a whole line of more than
+PASSAGE tokens, a passage, in at least `passage_docs`. Its lines are dropped from all texts or, with
+`keep_first`, from all but the text whose document has the smallest id; so then nothing vanishes from the
+corpus altogether. Exact copies of a document are one text here: a whole-document copy is no boilerplate, and
 is left to near-duplicate removal.
 
-Scale: one row for each different template of a text; counts are summed before the shuffle, the join of
-occurrences with a hot template and of copies with a hot text are skewed joins that Spark splits, and
-texts are shuffled once.
+Scale: up to 1 + RUNS rows for each line, hashes only. Templates of at least two texts are found by least and
+greatest text key, which is summed before the shuffle; only their rows are counted further. The joins with a
+hot template and of copies with a hot text are skewed joins of plain shuffles that Spark splits; texts are
+shuffled once.
 
-Defined cases: a null text stays null; lines of fewer than `min_tokens` tokens are never dropped; texts
-without dropped lines stay as they are to the byte; rows that repeat and null ids are treated by their
-text; all other columns are kept; an empty table gives an empty result.
+Defined cases: a null text stays null; lines without tokens, or of fewer than `min_tokens`, are never dropped;
+texts without dropped lines stay as they are to the byte; rows that repeat and null ids are treated by their
+text (a null id is smallest); all other columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,70 +33,73 @@ from pyspark.sql import functions as F
 from lectern.llm.shared import cut
 
 BLANKS = " \t\n\x0b\f\r"
-#: Leading tokens on the path, and the token counts of lines with a further variable field.
-LEADING, SHORT, LONG = 2, 6, 16
+#: Leading tokens on the path, runs of the others that may vary, and the tokens that a template keeps at least.
+LEADING, RUNS, FIXED = 2, 4, 4
 FIELD = "<*>"
+#: Tokens that are variable fields by themselves: with a digit or @, or with ://.
+VARIABLE = r"(?<![^ ])(?:[^ 0-9@]*+[0-9@]|[^ :]*+:(?=//))[^ ]*+"
 #: Lines of more tokens are passages, which are no chance in two texts.
 PASSAGE = 50
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row for each line with tokens of docs (several, text, ...): its place, `n` and `m`, its tokens with fields masked."""
+    others = [c for c in docs.columns if c not in ("__several", "__text")]
+    df = docs.select(*others, "__several", F.posexplode(F.split("__text", "\n", -1)).alias("__at", "__line"))
+    df = df.select(*others, "__several", "__at", F.btrim(F.translate("__line", BLANKS, " " * len(BLANKS)), F.lit(" ")).alias("s")).where("s <> ''")
+    df = df.withColumn("s", F.when(F.col("s").contains("  "), F.regexp_replace("s", " +", " ")).otherwise(F.col("s")))
+    df = df.withColumn("m", F.when(F.col("s").rlike("[0-9@]|://"), F.regexp_replace("s", VARIABLE, FIELD)).otherwise(F.col("s")))
+    df = df.withColumn("n", F.length("s") - F.length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1)
+    # fields stand masked unless they are most of the line
+    fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(FIELD), F.lit("")))) / len(FIELD)
+    return df.select(*others, "__several", "__at", "n", F.split(F.when(2 * fields > F.col("n"), F.col("s")).otherwise(F.col("m")), " ").alias("m"))
 
 
-def _with_templates(df: DataFrame, text: str, min_tokens: int, segments: int = 0) -> DataFrame:
-    """Adds __lines, an array of structs: line and t, its templates (none where it has too few tokens)."""
-    # steps of arrays of structs: what a lambda uses twice must be a field, else it is computed anew
-    def step(fields):
-        return df.withColumn("__lines", F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), *fields(x))))
+def with_templates(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """A row (..., __at, __t, __u) for each template of each line of docs (__several, __text, ...); the lowest bit of __t tells passages."""
+    others = [c for c in docs.columns if c not in ("__several", "__text")]
+    df = _lines(docs).where(F.col("n") >= min_tokens)
+    bounds = [F.lit(LEADING) + F.floor(F.greatest(F.col("n") - LEADING, F.lit(0)) * k / RUNS).cast("int") for k in range(RUNS + 1)]
+    parts = [F.slice("m", 1, LEADING), *[F.slice("m", a + 1, b - a) for a, b in zip(bounds, bounds[1:])]]
+    sizes = [b - a for a, b in zip(bounds, bounds[1:])]
+    df = df.select(*others, "__several", "__at", "n", *[F.xxhash64(p).alias(f"h{k}") for k, p in enumerate(parts)], *[F.hash(p).alias(f"g{k}") for k, p in enumerate(parts)], *[s.alias(f"s{k + 1}") for k, s in enumerate(sizes)])
 
-    df = df.withColumn("__lines", F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _tokens(x).alias("raw"))))
-    df = step(lambda x: [x["raw"].alias("raw"), F.transform(x["raw"], lambda t: F.when(t.rlike("[0-9@]|://"), F.lit(FIELD)).otherwise(t)).alias("f")])
-    # fields stand masked unless they are most of the line
-    df = step(lambda x: [F.when(2 * F.size(F.array_remove(x["f"], FIELD)) >= F.size(x["f"]), x["f"]).otherwise(x["raw"]).alias("m")])
-    df = step(lambda x: [x["m"].alias("m"), F.transform(x["m"], lambda t, i: F.xxhash64(i, t)).alias("h")])
-    df = step(lambda x: [x["m"].alias("m"), x["h"].alias("h"), F.aggregate(x["h"], F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h)).alias("all")])
-
-    def templates(x: Column, segments: int = 0) -> list[Column]:
-        n = F.size(x["h"])
-        path = [n, *[F.get(x["m"], k) for k in range(LEADING)]]
-        # the lowest bit of a template says whether it is a passage's, without a further field
-        whole = F.array(F.xxhash64(*path, x["all"]).bitwiseAND(F.lit(-2)) + F.when(n > PASSAGE, 1).otherwise(0))
-        free = F.transform(F.slice(x["h"], LEADING + 1, F.greatest(n - LEADING, F.lit(0))), lambda h, i: F.xxhash64(*path, i, x["all"].bitwiseXOR(h)).bitwiseAND(F.lit(-2)))
-        short = (n >= SHORT) & (n <= LONG)
-        out = F.when(n < min_tokens, F.array().cast("array<bigint>")).when(short, F.concat(whole, free))
-        if segments:
-            bounds = [F.floor(F.lit(LEADING) + (n - LEADING) * k / segments).cast("int") for k in range(segments + 1)]
-            runs = [F.aggregate(F.slice(x["h"], a + 1, F.greatest(b - a, F.lit(0))), x["all"], lambda s, h: s.bitwiseXOR(h)) for a, b in zip(bounds, bounds[1:])]
-            runs = [F.xxhash64(*path, F.lit(f"run {k}"), r).bitwiseAND(F.lit(-2)) for k, r in enumerate(runs)]
-            out = out.when(n > LONG, F.concat(whole, F.array(*runs)))
-        return [out.otherwise(whole).alias("t")]
-
-    if not segments:
-        return step(templates)
-    # the condition stands outside of the lambda, which would look through the text for each line
-    several = F.locate("\n", F.btrim(F.col(text), F.lit(BLANKS))) > 0
-    each = lambda k: F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), *templates(x, k)))
-    return df.withColumn("__lines", F.when(several, each(segments)).otherwise(each(0)))
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id", text_col: str = "text", passage_docs: int | None = None, segments: int = 0) -> DataFrame:
+    def template(free: int | None) -> Column:
+        names = lambda c: [F.lit(-free if free == k and c == "h" else free) if free == k else F.col(f"{c}{k}") for k in range(RUNS + 1)]
+        kind = F.lit(free or 0)
+        passage = F.lit(0) if free else F.when(F.col("n") > PASSAGE, 1).otherwise(0)
+        both = F.struct((F.xxhash64("n", kind, *names("h")).bitwiseAND(F.lit(-2)) + passage).alias("t"), F.hash("n", kind, *names("g")).alias("u"))
+        return F.when(F.col("__several") & (F.col(f"s{free}") > 0) & (F.col("n") - F.col(f"s{free}") >= FIXED), both) if free else both
+
+    df = df.select(*others, "__at", F.explode(F.array(*map(template, [None, *range(1, RUNS + 1)]))).alias("x")).where("x is not null")
+    return df.select(*others, "__at", F.col("x.t").alias("__t"), F.col("x.u").alias("__u"))
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = 3, passage_docs: int = 2, min_tokens: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with recurring lines dropped from the text, and n_dropped, the number of them."""
     text = F.col(text_col).cast("string")
-    key = [F.when(text.isNotNull(), h).alias(k) for k, h in (("__k1", F.xxhash64(text)), ("__k2", F.xxhash64(F.lit(1), text)))]  # 128 bits for a text
-    slim = docs.select(*key, F.col(id_col).alias("__id"), text.alias("__text")).where("__text is not null")
-    lined = _with_templates(slim, "__text", min_tokens, segments)
-    seen = lined.select("__k1", "__k2", "__id", F.explode(F.array_distinct(F.flatten(F.transform("__lines", lambda x: x["t"])))).alias("__t"))
-    seen = cut(seen.groupBy("__t", "__k1", "__k2").agg(F.min("__id").alias("__id")))
-    often = seen.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("__id", "__k1", "__k2")).alias("__first")).where(F.col("__n") >= F.when(F.col("__t").bitwiseAND(F.lit(1)) == 1, passage_docs or min_docs).otherwise(min_docs))
-    often = often.select("__t", F.col("__first.__k1").alias("__h1"), F.col("__first.__k2").alias("__h2"))
-    drops = seen.join(often, "__t").where("__k1 <> __h1 or __k2 <> __h2").groupBy("__k1", "__k2").agg(F.collect_set("__t").alias("__drop"))
-
-    keyed = docs.select("*", *key).join(drops.withColumnsRenamed({"__k1": "__j1", "__k2": "__j2"}), F.expr("__k1 = __j1 and __k2 = __j2"), "left")
-    # only texts with something to drop are parsed again
-    lined = _with_templates(keyed.withColumn("__text", F.when(F.col("__drop").isNotNull(), F.col(text_col).cast("string"))), "__text", min_tokens, segments)
-    kept = F.filter("__lines", lambda x: ~F.arrays_overlap(x["t"], F.col("__drop")))
-    lined = lined.withColumn("__kept", F.transform(kept, lambda x: x["line"]))
-    changed = F.col("__drop").isNotNull() & (F.size("__kept") < F.size("__lines"))
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col(text_col)).alias(text_col)}
-    return lined.select(*out.values(), F.when(changed, F.size("__lines") - F.size("__kept")).otherwise(0).cast("long").alias("n_dropped"))
+    key = [F.when(text.isNotNull(), F.xxhash64(text)).alias("__k1"), F.when(text.isNotNull(), F.hash(F.lit(1), text)).alias("__k2")]  # 96 bits for a text
+    several = F.locate("\n", F.btrim(text, F.lit(BLANKS))) > 0
+    own = ["__k1", "__k2", *["__id"] * keep_first]
+    slim = docs.where(text.isNotNull()).select(*key, *[F.col(id_col).alias("__id")] * keep_first, several.alias("__several"), text.alias("__text"))
+    rows = with_templates(slim, min_tokens)
+    template = ["__t", "__u"]
+    twice = rows.groupBy(*template).agg(F.min("__k1").alias("__low"), F.max("__k1").alias("__high")).where("__low < __high").select(*template)
+    seen = cut(rows.join(cut(twice), template).select(*template, *own, "__at"))
+    homes = seen.groupBy(*template, "__k1", "__k2").agg(F.min("__id").alias("__id")) if keep_first else seen.select(*template, "__k1", "__k2").distinct()
+    first = [F.min(F.struct("__id", "__k1", "__k2")).alias("__first")] * keep_first
+    least = F.when(F.col("__t").bitwiseAND(F.lit(1)) == 1, passage_docs).otherwise(min_docs)
+    often = cut(homes.groupBy(*template).agg(F.count(F.lit(1)).alias("__n"), *first).where(F.col("__n") >= least).drop("__n"))
+    dropped = seen.join(often, template)
+    if keep_first:
+        dropped = dropped.where("__k1 <> __first.__k1 or __k2 <> __first.__k2")
+    dropped = dropped.groupBy(F.col("__k1").alias("__j1"), F.col("__k2").alias("__j2")).agg(F.collect_set("__at").alias("__drop"))  # at most a text's lines
+
+    keyed = docs.select("*", *key).join(cut(dropped), F.expr("__k1 = __j1 and __k2 = __j2"), "left")
+    changed = F.col("__drop").isNotNull()
+    lines = F.when(changed, F.split(text, "\n", -1)).alias("__lines")
+    keyed = keyed.select(*docs.columns, "__drop", lines)
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")  # in order
+    kept = F.when(changed, F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
+    out = {c: F.col(c) for c in docs.columns} | {text_col: F.coalesce(kept, F.col(text_col)).alias(text_col)}
+    return keyed.select(*out.values(), F.coalesce(F.when(changed, F.size("__drop")), F.lit(0)).cast("long").alias("n_dropped"))
