@@ -170,13 +170,23 @@ def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 class Remembered:
     """What `learn` says of words, by their hash: a run of numbers for each.
 
-    learn(words as bytes) -> (flat, sizes): the runs one after another and the length of each. Of more than
-    `most` words or `long` numbers only those of the latest batch stay, so memory is bounded by these and a batch.
+    learn(words as bytes) -> (flat, sizes): the runs one after another and the length of each. `given` are
+    (sorted hashes, flat, length of each run) of words that need no learning. When more than `most` words or `long`
+    numbers are held, only the given ones stay, so memory is bounded by these and a batch.
     """
 
-    def __init__(self, learn, dtype, most: int = 1_500_000, long: int = 12_000_000):
+    def __init__(self, learn, dtype, given: tuple[np.ndarray, np.ndarray, int] | None = None, most: int = 1_500_000, long: int = 12_000_000):
         self.learn, self.most, self.long = learn, most, long
-        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        self.given = given or (np.zeros(0, np.uint64), np.zeros(0, dtype), 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.flat, each = self.given
+        self.starts, self.sizes = each * np.arange(len(self.keys)), np.full(len(self.keys), each)
+
+    def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, u)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == u if len(self.keys) else np.zeros(len(u), bool)
 
     def look_up(self, h: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which, starts, sizes): for each hash the number of its run, and where in `flat` the runs are.
@@ -184,16 +194,12 @@ class Remembered:
         spell(places) gives the words at some places of h as bytes.
         """
         u, first, which = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, u)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == u if len(self.keys) else np.zeros(len(u), bool)
+        at, known = self._find(u)
         if not known.all():
+            if len(self.keys) - len(self.given[0]) + int((~known).sum()) > self.most or len(self.flat) - len(self.given[1]) > self.long:
+                self.forget()
+                at, known = self._find(u)
             flat, sizes = self.learn(spell(first[~known]))
-            if len(self.keys) + len(sizes) > self.most or len(self.flat) + len(flat) > self.long:
-                keep = at[known]
-                kept = ragged(self.flat, self.starts[keep], self.sizes[keep])
-                self.keys, self.sizes, self.flat = self.keys[keep], self.sizes[keep], kept
-                self.starts = np.cumsum(self.sizes) - self.sizes
-                at = np.searchsorted(self.keys, u)
             begin = len(self.flat) + np.cumsum(sizes) - sizes
             self.flat = np.concatenate([self.flat, flat])
             self.keys, self.starts, self.sizes = (np.insert(x, at[~known], y) for x, y in ((self.keys, u[~known]), (self.starts, begin), (self.sizes, sizes)))

@@ -66,33 +66,39 @@ def test_remembered_words_are_bounded():
         return np.array([len(w) for w in words]), np.ones(len(words), np.int64)
 
     known = W.Remembered(learn, np.int64, most=50, long=60)
+    buf, offs = W.text_buffer(pa.array(["yz xyz"]))
+    two = np.sort(W.hashes(buf, *W.spans(buf, offs, W.BLANK_WORDS)[:2]))
+    known.given = two, np.array([-1, -1]), 1
+    known.forget()
     for _ in range(30):
         texts = [" ".join("x" * k + "yz" for k in rng.integers(0, 200, 20)) for _ in range(2)]
         buf, offs = W.text_buffer(pa.array(texts))
         s, e, _ = W.spans(buf, offs, W.BLANK_WORDS)
         which, starts, sizes = known.look_up(W.hashes(buf, s, e), W.speller(buf, s, e))
-        assert known.flat[starts][which].tolist() == [len(w) for t in texts for w in t.split()] and set(sizes) == {1}
-        assert len(known.keys) <= 50 + 40 and len(known.flat) <= 60 + 40
-    assert len(learned) < 30 * 40
+        assert known.flat[starts][which].tolist() == [len(w) if len(w) > 3 else -1 for t in texts for w in t.split()] and set(sizes) == {1}
+        assert len(known.keys) <= 2 + 50 + 40 and len(known.flat) <= 2 + 60 + 40
+    assert len(learned) < 30 * 40 and not {b"yz", b"xyz"} & set(learned)
 
 
 def test_lines(spark):
     notice = "Posted by {} on 2024-01-0{} at http://x.org/{}"
-    rows = [(i, f"unique {'abcdefgh'[i]} line of text number words here\n{notice.format('editor', i, i)}\nshort") for i in range(5)]
+    rows = [(i, f"unique {'abcdefgh'[i]} line of text number words here\n{notice.format('editor', i, i)}\nhi {'abcdefgh'[i]}") for i in range(5)]
     rows += [(10 + i, f"Please contact {n} for more help on this page\nbody {n} of its own says nothing twice") for i, n in enumerate(["ann", "bob", "cy", "di"])]
     rows += [(20, "whole copy line one is here\nand line two is here"), (21, "whole copy line one is here\nand line two is here"), (22, "whole copy line one is here\nand line two is here"), (30, None), (31, "")]
-    rows += [(40, "tail stays  as it is \n\n")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as token", "1 as length")
-    got = {r.doc_id: r for r in line_templates.drop_recurring(docs).collect()}
-    assert len(got) == len(rows) and got[0].token == "k"
+    rows += [(40, "tail stays  as it is \n\n"), (None, "Share\nnull one"), (50, "Share\nfifty"), (51, "fifty one \n Share")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as token", "1 as length", "2 as n", "3 as s")
+    got = {r.doc_id: r for r in line_templates.drop_recurring(docs, keep_first=True).collect()}
+    assert len(got) == len(rows) and got[0].token == "k" and got[0].s == 3
     assert got[0].text == rows[0][1] and got[0].n_dropped == 0
     for i in range(1, 5):
-        assert got[i].text == f"unique {'abcdefgh'[i]} line of text number words here\nshort"[: len(got[i].text)] or got[i].text == "short"
-        assert "Posted" not in got[i].text
+        assert got[i].text == f"unique {'abcdefgh'[i]} line of text number words here\nhi {'abcdefgh'[i]}" and got[i].n_dropped == 1  # a leading token
     assert got[10].text.startswith("Please contact ann")
-    assert all("contact" not in got[k].text and got[k].text.startswith("body") for k in (11, 12, 13))
+    assert all(got[k].text.startswith("body") for k in (11, 12, 13))
     assert all(got[k].text == rows[9][1] and got[k].n_dropped == 0 for k in (20, 21, 22))
     assert got[30].text is None and got[31].text == "" and got[40].text == "tail stays  as it is \n\n"
+    assert got[None].text == "Share\nnull one" and got[50].text == "fifty" and got[51].text == "fifty one "
+    plain = {r.doc_id: r.text for r in line_templates.drop_recurring(docs).collect()}
+    assert plain[0].endswith("here\nhi a") and plain[10].startswith("body") and plain[None] == "null one" and plain[20] == rows[9][1]
     assert line_templates.drop_recurring(cases.empty(spark)).count() == 0
     odd = line_templates.drop_recurring(cases.frame(spark))
     assert odd.count() == len(cases.rows()) and odd.columns[:-1] == cases.frame(spark).columns
@@ -105,53 +111,58 @@ def test_passages_in_two_texts(spark, tmp_path):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in queries.op5_line_templates(spark, str(tmp_path)).collect())
+    assert got == [(1, f"first text\n{short}", 1), (3, f"{short}\nof the third", 1), (3, f"{short}\nof the third", 1), (5, rows[3][1], 0)]
     stage = corpus_pipeline.line_dedup(spark, docs, None).collect()
-    assert sorted((r.doc_id, r.text) for r in stage) == [r[:2] for r in got]
-    assert got == [(1, rows[2][1], 0), (3, f"{short}\nof the third", 1), (3, f"{short}\nof the third", 1), (5, rows[3][1], 0)]
+    assert sorted((r.doc_id, r.text) for r in stage) == [(1, rows[2][1]), *[r[:2] for r in got[1:]]]
 
 
-def test_long_lines_with_a_free_word(spark, tmp_path):
+def test_lines_of_any_length_with_a_free_word(spark, tmp_path):
     notice = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)]
     put = lambda n, at, w: " ".join([*notice[:at], w, *notice[at + 1 : n]])
     names = ["ann", "bob", "cy"]
-    rows = [(10 * g + i, f"{put(n, at, w)}\nown{w}{g}") for g, (n, at) in enumerate([(17, 2), (17, 16), (40, 20), (60, 59)]) for i, w in enumerate(names)]
+    rows = [(10 * g + i, f"{put(n, at, w)}\nown{w}{g}") for g, (n, at) in enumerate([(5, 4), (6, 2), (17, 2), (17, 16), (20, 11), (40, 20), (60, 59)]) for i, w in enumerate(names)]
     rows += [(90 + i, put(45, 30, w)) for i, w in enumerate(names)]  # near copies of a whole document
-    rows += [(80 + i, f"{put(30, 5 + 9 * i, 'far')} {i}\nown") for i in range(3)]  # differ in several runs
+    rows += [(80 + i, f"{put(30, 5 + 9 * i, 'far')} {i}\nown") for i in range(2)]  # differ in several runs
+    rows += [(100 + i, f"{put(4, 3, w)}\nown too{w}") for i, w in enumerate(names)]  # too short for a free word
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in queries.op5_line_templates(spark, str(tmp_path)).collect()}
-    want = {i: t.split("\n")[1] if i < 80 and i % 10 else t for i, t in rows}
-    assert got == want
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, None).collect()} == want
+    assert got == {i: t.split("\n")[1] if i < 80 else t for i, t in rows}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, None).collect()} == {i: t.split("\n")[1] if i < 80 and i % 10 else t for i, t in rows}
 
 
-def test_lines_against_brute_force(docs):
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_lines_against_brute_force(docs, keep_first):
     rows = docs.collect()
 
-    def templates(line):
+    def templates(line, several):
         raw = re.findall(r"[^\x20\x09-\x0D]+", line)
         m = ["<*>" if re.search("[0-9@]|://", t) else t for t in raw]
-        m = m if 2 * sum(t != "<*>" for t in m) >= len(m) else raw
-        if len(m) < 3:
+        m = m if 2 * sum(t == "<*>" for t in m) <= len(m) else raw
+        n = len(m)
+        if not n:
             return set()
         out = {tuple(m)}
-        if 6 <= len(m) <= 16:
-            out |= {(i, *m[:i], *m[i + 1 :]) for i in range(2, len(m))}
+        ends = [2 + max(0, n - 2) * k // 4 for k in range(5)]
+        if several:
+            out |= {(k, *m[:a], None, *m[b:], n) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a and n - (b - a) >= 4}
         return out
 
-    homes = {}
+    homes, of = {}, {}
     for r in rows:
-        for t in {t for x in (r.text or "").split("\n") for t in templates(x)}:
-            at = homes.setdefault(t, {})
-            ids = [i for i in (at.get(r.text), r.doc_id) if i is not None]
-            at[r.text] = min(ids) if ids else None
-    # as in Spark, a null id is smallest
-    first = {t: min(at.items(), key=lambda x: (-1 if x[1] is None else x[1]))[0] for t, at in homes.items() if len(at) >= 3}
+        t = r.text or ""
+        of[r.text] = [templates(x, "\n" in t.strip(" \t\n\x0b\f\r")) for x in t.split("\n")]
+        for x in {x for some in of[r.text] for x in some}:
+            at = homes.setdefault(x, {})
+            ids = [-1 if i is None else i for i in (at.get(r.text, r.doc_id), r.doc_id)]
+            at[r.text] = min(ids)
+    often = {x: min(at.items(), key=lambda y: y[1])[0] for x, at in homes.items() if len(at) >= (2 if len(x) > 50 and None not in x else 3)}
     want = Counter()
     for r in rows:
-        lines = None if r.text is None else [x for x in r.text.split("\n") if not any(t in first and first[t] != r.text for t in templates(x))]
-        want[(r.doc_id, None if lines is None else "\n".join(lines))] += 1
-    assert Counter((r.doc_id, r.text) for r in line_templates.drop_recurring(docs).collect()) == want
+        gone = [any(x in often and not (keep_first and often[x] == r.text) for x in some) for some in of[r.text]]
+        want[(r.doc_id, None if r.text is None else "\n".join(x for x, y in zip(r.text.split("\n"), gone) if not y), 0 if r.text is None else sum(gone))] += 1
+    got = line_templates.drop_recurring(docs, keep_first=keep_first)
+    assert Counter((r.doc_id, r.text, r.n_dropped) for r in got.collect()) == want
 
 
 def test_licenses(spark, docs):
@@ -264,7 +275,7 @@ def test_lm_trains_on_whole_texts():
     cls[-1] = end = attention_lm.CLASSES - 1
     first = lambda w: int(cls[sub.cut([w.encode()])[0][0]])
     want = [[end, *map(first, t.split()), end] for t in texts]
-    tiles = list(attention_lm._tiles(path, SimpleNamespace(value=cls), "test")(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    tiles = list(attention_lm._tiles(path, SimpleNamespace(value=cls), SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0))), "test")(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
     rows = [(e, np.frombuffer(x, np.uint8).tolist()) for b in tiles for e, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert [i for e, x in rows for i in x[e:]] == [i for x in want for i in x[1:]]
     long, block = want[-1], attention_lm.BLOCK
