@@ -42,34 +42,47 @@ VARIABLE = r"(?<![^ ])(?:[^ 0-9@]*+[0-9@]|[^ :]*+:(?=//))[^ ]*+"
 PASSAGE = 50
 
 
+def _has(c: str, *parts: str) -> Column:
+    """Whether a column holds one of some strings; faster than a pattern."""
+    out = F.col(c).contains(parts[0])
+    for p in parts[1:]:
+        out = out | F.col(c).contains(p)
+    return out
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with tokens of docs (several, text, ...): its place, `n` and `m`, its tokens with fields masked."""
-    others = [c for c in docs.columns if c not in ("__several", "__text")]
-    df = docs.select(*others, "__several", F.posexplode(F.split("__text", "\n", -1)).alias("__at", "__line"))
-    df = df.select(*others, "__several", "__at", F.btrim(F.translate("__line", BLANKS, " " * len(BLANKS)), F.lit(" ")).alias("s")).where("s <> ''")
-    df = df.withColumn("s", F.when(F.col("s").contains("  "), F.regexp_replace("s", " +", " ")).otherwise(F.col("s")))
-    df = df.withColumn("m", F.when(F.col("s").rlike("[0-9@]|://"), F.regexp_replace("s", VARIABLE, FIELD)).otherwise(F.col("s")))
-    df = df.withColumn("n", F.length("s") - F.length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1)
+    """A row for each line of docs (several, text, ...): its place and `m`, its tokens with fields masked; an empty line has one empty token.
+
+    What is used twice is a column of a projection of its own, and no filter stands behind, else Spark computes it twice.
+    """
+    others = [c for c in docs.columns if c != "__text"]
+    blanks = F.when(_has("__text", *"\t\x0b\f\r"), F.translate("__text", "\t\x0b\f\r", "    ")).otherwise(F.col("__text"))
+    df = docs.select(*others, F.posexplode(F.split(blanks, "\n", -1)).alias("__at", "__s"))
+    df = df.select(*others, "__at", F.btrim(F.when(_has("__s", "  "), F.regexp_replace("__s", " +", " ")).otherwise(F.col("__s")), F.lit(" ")).alias("__s"))
+    df = df.withColumn("__m", F.when(F.col("__s").rlike("[0-9@:]"), F.regexp_replace("__s", VARIABLE, FIELD)))
     # fields stand masked unless they are most of the line
-    fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(FIELD), F.lit("")))) / len(FIELD)
-    return df.select(*others, "__several", "__at", "n", F.split(F.when(2 * fields > F.col("n"), F.col("s")).otherwise(F.col("m")), " ").alias("m"))
+    spaces = F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(" "), F.lit("")))
+    fields = (F.length("__m") - F.length(F.replace(F.col("__m"), F.lit(FIELD), F.lit("")))) / len(FIELD)
+    return df.select(*others, "__at", F.split(F.when(2 * fields <= spaces + 1, F.col("__m")).otherwise(F.col("__s")), " ").alias("__m"))
 
 
 def with_templates(docs: DataFrame, min_tokens: int) -> DataFrame:
     """A row (..., __at, __t, __u) for each template of each line of docs (__several, __text, ...); the lowest bit of __t tells passages."""
     others = [c for c in docs.columns if c not in ("__several", "__text")]
-    df = _lines(docs).where(F.col("n") >= min_tokens)
-    bounds = [F.lit(LEADING) + F.floor(F.greatest(F.col("n") - LEADING, F.lit(0)) * k / RUNS).cast("int") for k in range(RUNS + 1)]
-    parts = [F.slice("m", 1, LEADING), *[F.slice("m", a + 1, b - a) for a, b in zip(bounds, bounds[1:])]]
+    df = _lines(docs)
+    df = df.select(*others, "__several", "__at", "__m", F.when(F.get("__m", 0) == "", 0).otherwise(F.size("__m")).alias("__n"))
+    n = F.col("__n")
+    bounds = [F.lit(LEADING) + F.floor(F.greatest(n - LEADING, F.lit(0)) * k / RUNS).cast("int") for k in range(RUNS + 1)]
+    parts = [F.slice("__m", 1, LEADING), *[F.slice("__m", a + 1, b - a) for a, b in zip(bounds, bounds[1:])]]
     sizes = [b - a for a, b in zip(bounds, bounds[1:])]
-    df = df.select(*others, "__several", "__at", "n", *[F.xxhash64(p).alias(f"h{k}") for k, p in enumerate(parts)], *[F.hash(p).alias(f"g{k}") for k, p in enumerate(parts)], *[s.alias(f"s{k + 1}") for k, s in enumerate(sizes)])
+    df = df.select(*others, "__several", "__at", "__n", *[F.xxhash64(p).alias(f"h{k}") for k, p in enumerate(parts)], *[F.hash(p).alias(f"g{k}") for k, p in enumerate(parts)], *[x.alias(f"s{k + 1}") for k, x in enumerate(sizes)])
 
     def template(free: int | None) -> Column:
-        names = lambda c: [F.lit(-free if free == k and c == "h" else free) if free == k else F.col(f"{c}{k}") for k in range(RUNS + 1)]
-        kind = F.lit(free or 0)
-        passage = F.lit(0) if free else F.when(F.col("n") > PASSAGE, 1).otherwise(0)
-        both = F.struct((F.xxhash64("n", kind, *names("h")).bitwiseAND(F.lit(-2)) + passage).alias("t"), F.hash("n", kind, *names("g")).alias("u"))
-        return F.when(F.col("__several") & (F.col(f"s{free}") > 0) & (F.col("n") - F.col(f"s{free}") >= FIXED), both) if free else both
+        names = lambda c: [F.lit(f"run {free}") if free == k else F.col(f"{c}{k}") for k in range(RUNS + 1)]
+        passage = F.lit(0) if free else F.when(n > PASSAGE, 1).otherwise(0)
+        both = F.struct((F.xxhash64(n, *names("h")).bitwiseAND(F.lit(-2)) + passage).alias("t"), F.hash(n, *names("g")).alias("u"))
+        size = F.col(f"s{free}")
+        return F.when((n >= max(1, min_tokens)) & (F.col("__several") & (size > 0) & (n - size >= FIXED) if free else F.lit(True)), both)
 
     df = df.select(*others, "__at", F.explode(F.array(*map(template, [None, *range(1, RUNS + 1)]))).alias("x")).where("x is not null")
     return df.select(*others, "__at", F.col("x.t").alias("__t"), F.col("x.u").alias("__u"))
