@@ -10,13 +10,17 @@ hashes. Two texts link when percent_den * |A & B| >= percent * |A | B|, tested o
    their first |A| - ceil(t |A|) + 1 shingles, so only those, if seen twice, can propose links.
    Documents with equal sets are one class and proposed once.
 3. Classes that share such a shingle and lie in the same or the next size band are proposed together;
-   connected proposals make a group, cut into tiles of at most two blocks of size-banded classes.
+   connected proposals make a group. A group of more than BLOCK classes is cut into blocks by size band.
 4. In a tile, parity bitmaps of the sets bound each intersection from above by bit counts; pairs that
    may link and aren't yet joined by other links are verified by intersecting the sorted arrays.
    A tile returns a spanning forest of its links, so groups never expand into all their pairs.
+5. Tiles come in three turns. First each block by itself: every text is sent once. Then, in groups of several
+   blocks, the heads of the parts found so far, one for each. What is joined by then is contracted: blocks of one
+   part need no tile with each other. Last, tiles of two blocks (of the same or near bands) for what is still apart,
+   which in a group of near copies is next to nothing. So a text is sent about twice, not once for each block.
 
-Nothing is capped or sampled. The step that grows fastest is 4: the square of a group's size, in
-blocks dealt to tasks of their own. Memory per task: a batch of texts, or two blocks of them.
+Nothing is capped or sampled. The step that grows fastest is the last turn: parts of one group that stay
+apart are compared block by block, in tiles of their own. Memory per task: a batch of texts, or two blocks of them.
 
 Defined cases: a null text is an empty one; texts without words have no shingles and link with
 nothing; rows with one id and different texts take the component of their own text, and are one where
@@ -30,18 +34,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import words as W
-from lectern.llm.shared import components, cut, partitions
+from lectern.llm.shared import components, cut, partitions, sized
 
 #: Texts handled together in one numpy pass.
 BATCH_BYTES = 4 << 20
 #: A shingle in this many documents of a batch is sent once for the batch.
 COMMON = 16
 #: Classes in one block of a tile.
-BLOCK = 128
+BLOCK = 64
 
 
 def _sets(texts: pa.Array, w: int):
@@ -85,12 +89,12 @@ def _requests(w: int, buckets: int):
         # entries by (bucket, document); the common ones stay at home as (document, token)
         keep = np.flatnonzero(~common)
         by = keep[np.argsort(where[keep], kind="stable")]
-        per = np.bincount(where[by] * len(sets) + doc[by], minlength=buckets * len(sets)).astype(np.uint32).reshape(buckets, -1)
-        ends = np.concatenate([[0], np.cumsum(per.sum(axis=1, dtype=np.int64))])
-        for k in range(buckets):
-            hot = hot_where == k
-            if ends[k + 1] > ends[k] or hot.any():
-                yield home, k, fp[by[ends[k] : ends[k + 1]]].tobytes(), per[k].astype(np.uint8 if per[k].max() < 256 else np.uint32).tobytes(), hot_fp[hot].tobytes(), hot_n[hot].tobytes(), None, None, None
+        some, first_entry = np.unique(where[by], return_index=True)
+        ends = dict(zip(some.tolist(), zip(first_entry.tolist(), [*first_entry[1:].tolist(), len(by)], strict=True), strict=True))
+        for k in sorted(ends.keys() | set(hot_where.tolist())):
+            hot, mine = hot_where == k, by[slice(*ends.get(k, (0, 0)))]
+            per = np.bincount(doc[mine], minlength=len(sets))
+            yield home, k, fp[mine].tobytes(), per.astype(np.uint8 if per.max() < 256 else np.uint32).tobytes(), hot_fp[hot].tobytes(), hot_n[hot].tobytes(), None, None, None
         at = np.flatnonzero(common)
         own = np.where(known, n, -1 - n)  # a null id is marked by a negative size
         yield home, home % buckets, token[at].tobytes(), doc[at].astype(np.uint32).tobytes(), None, None, np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64).tobytes(), own.tobytes(), np.ascontiguousarray(sums).tobytes()
@@ -118,28 +122,39 @@ _ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
 def _answers(batches):
     """Counts the fingerprints of each bucket dealt to this task; homes get back those seen twice or more.
 
-    Buckets wait as the bytes they came in (about 4.5 for a shingle) and are counted one by one.
+    Rows come sorted by bucket: one bucket at a time is held, as the bytes it came in (about 4.5 for a shingle).
     """
 
     def rows(items):
         return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in items], pa.int64() if c == "home" else pa.binary()) for c in _ANSWER_NAMES], names=_ANSWER_NAMES)
 
-    waiting: dict[int, list] = {}
+    waiting, now = [], None
     for batch in batches:
         for r in range(batch.num_rows):
             x = {c: batch.column(i)[r].as_py() for i, c in enumerate(batch.schema.names)}
-            if x["ids"] is None:
-                waiting.setdefault(x["bucket"], []).append(x)
-            else:
+            if x["ids"] is not None:
                 yield rows([{"home": x["home"], "own_tokens": x["part"], "own_docs": x["counts"], **{c: x[c] for c in ("ids", "sizes", "classes")}}])
-    for bucket in list(waiting):
-        items = list(_count(bucket, waiting.pop(bucket)))
-        for k in range(0, len(items), 64):
-            yield rows(items[k : k + 64])
+                continue
+            if x["bucket"] != now:
+                yield from map(rows, _sixty(_count(now, waiting)))
+                waiting, now = [], x["bucket"]
+            waiting.append(x)
+    yield from map(rows, _sixty(_count(now, waiting)))
+
+
+def _sixty(items):
+    """Lists of at most 64 of the items."""
+    from itertools import islice
+
+    items = iter(items)
+    while some := list(islice(items, 64)):
+        yield some
 
 
 def _count(bucket: int, sent: list[dict]):
     """What one bucket answers to each home."""
+    if not sent:
+        return
     get = np.frombuffer
     fps = [get(x["part"], np.uint32) for x in sent]
     hot_fps = [get(x["hot_fp"], np.uint32) for x in sent]
@@ -278,7 +293,7 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = 4 * partitions(spark)
     asked = texts.mapInArrow(_requests(w, buckets), _REQUEST)
-    told = asked.repartition(partitions(spark), "bucket").mapInArrow(_answers, _ANSWER)
+    told = asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, _ANSWER)
     told = told.repartition("home").sortWithinPartitions("home")
     table = cut(told.mapInArrow(_prefixes(percent, den), "id long, n long, c1 long, c2 long, tokens array<long>"))
 
@@ -286,38 +301,62 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     classes = cut(table.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")))
     reps = table.where("size(tokens) > 0").join(classes.select("rep", F.col("n").alias("rn"), F.col("c1").alias("r1"), F.col("c2").alias("r2")), F.expr("id = rep and n = rn and c1 = r1 and c2 = r2"), "left_semi")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / percent)).cast("int")
-    seen = reps.select("id", "n", band.alias("band"), F.explode("tokens").alias("token"))
-    heads = cut(seen.groupBy("token", "band").agg(F.min("id").alias("head"), F.max("id").alias("last")))
+    reps, _ = sized(reps.select("id", "n", band.alias("band"), "tokens"))
+    seen = reps.select("id", "n", "band", F.explode("tokens").alias("token"))
+    heads, _ = sized(seen.groupBy("token", "band").agg(F.min("id").alias("head"), F.max("id").alias("last")))
     stars = seen.join(heads.where("head < last"), ["token", "band"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
     # the floor of a logarithm may err by one at a band's edge: two bands on are proposed too
     up = heads.select("token", F.explode(F.array(F.col("band") + 1, F.col("band") + 2)).alias("band"), F.col("head").alias("a"))
     steps = heads.join(up, ["token", "band"]).select("a", F.col("head").alias("b"))
-    groups = cut(components(stars.unionByName(steps)))
-
-    # Tiles of a group: all its classes when they fit in a block, else pairs of blocks of near bands.
-    placed = groups.join(reps.select("id", band.alias("band")).distinct(), "id")
+    groups = components(stars.unionByName(steps))
+    placed = groups.join(reps.select("id", "band").distinct(), "id")
     total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
-    blocks = placed.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    near = [blocks.select("component", (F.col("band") - k).alias("band"), F.col("blocks").alias(f"up{k}")) for k in (1, 2)]
-    down = [blocks.select("component", (F.col("band") + k).alias("band"), F.col("blocks").alias(f"down{k}")) for k in (1, 2)]
-    plan = blocks.join(total, "component")
-    for x in (*near, *down):
-        plan = plan.join(x, ["component", "band"], "left")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    row = lambda lo, i, hi, j: F.struct(lo.alias("lo"), i.cast("int").alias("i"), hi.alias("hi"), j.cast("int").alias("j"))
-    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    tiles = [F.transform(upto("blocks"), lambda j: row(F.col("band"), F.least(F.col("mine"), j), F.col("band"), F.greatest(F.col("mine"), j)))]
-    for k in (1, 2):
-        other = F.col("band") + k
-        tiles.append(F.transform(upto(f"up{k}"), lambda j: row(F.col("band"), F.col("mine"), other, j)))  # noqa: B023
-        lower = F.col("band") - k
-        tiles.append(F.transform(upto(f"down{k}"), lambda j: row(lower, j, F.col("band"), F.col("mine"))))  # noqa: B023
-    whole = F.array(row(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
-    tiled = placed.join(plan, ["component", "band"]).withColumn("mine", mine)
-    tiled = tiled.select("id", "component", F.explode(F.when(F.col("total") <= BLOCK, whole).otherwise(F.concat(*tiles))).alias("t"))
-    tiled = tiled.select("id", F.concat_ws(",", "component", "t.lo", "t.i", "t.hi", "t.j").alias("tile"))
-    sent = tiled.join(texts, "id").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
-    links = sent.select("tile", "id", "text").mapInArrow(_verify(w, percent, den), "a long, b long")
+    # sums are cut before they are joined back: a hot group's join is then one of plain shuffles, which Spark splits
+    placed, _ = sized(placed.join(sized(total)[0], "component"))  # id, component, band, total
+
+    def verified(tiled: DataFrame) -> DataFrame:
+        """Links (a, b) found in tiles: rows (id, tile)."""
+        sent = tiled.join(texts, "id").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
+        return sent.select("tile", "id", "text").mapInArrow(_verify(w, percent, den), "a long, b long")
+
+    def block(count) -> Column:
+        return F.pmod(F.xxhash64("id"), F.greatest(F.ceil(count / BLOCK), F.lit(1))).cast("int")
+
+    # first turn: every block by itself, a small group as one
+    blocks, _ = sized(placed.groupBy("component", "band").agg(F.count(F.lit(1)).alias("size")))
+    own = placed.join(blocks, ["component", "band"])
+    tile = F.when(F.col("total") <= BLOCK, F.concat_ws(",", "component")).otherwise(F.concat_ws(",", "component", "band", block(F.col("size"))))
+    links, _ = sized(verified(own.select("id", tile.alias("tile"))))
+    large = placed.where(F.col("total") > BLOCK)
+    if not large.isEmpty():
+        # second turn: the heads of the parts
+        def parts(links: DataFrame) -> DataFrame:
+            found = components(links).select("id", F.col("component").alias("part"))
+            return sized(large.join(found, "id", "left").withColumn("part", F.coalesce("part", "id")))[0]
+
+        parted = parts(links)
+        first = parted.select("component", F.col("part").alias("id")).distinct()
+        many = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        first = first.join(sized(many.where("size > 1"))[0], "component")
+        more, _ = sized(verified(first.select("id", F.concat_ws(",", "component", block(F.col("size"))).alias("tile"))))
+        links = links.unionByName(more)
+        # third turn: blocks of what is still apart; a part that fills blocks of its own has them
+        parted = parts(links)
+        apart = parted.groupBy("component").agg((F.min("part") < F.max("part")).alias("apart")).where("apart").select("component")
+        parted = parted.join(sized(apart)[0], "component")
+        sizes, _ = sized(parted.groupBy("component", "band", "part").agg(F.count(F.lit(1)).alias("size")))
+        kinds = sizes.select("component", "band", "part", F.when(F.col("size") >= BLOCK, F.col("part")).alias("kind"))  # null: mixed
+        parted, _ = sized(parted.join(kinds, ["component", "band", "part"]))
+        kinds, _ = sized(parted.groupBy("component", "band", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+        mine = parted.alias("p").join(kinds.alias("k"), F.expr("p.component = k.component and p.band = k.band and p.kind <=> k.kind"))
+        mine = mine.select("p.*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
+        # the other blocks of the group in the same and the next two bands, but for those of the same part
+        other = kinds.select(F.col("component").alias("oc"), F.col("band").alias("ob"), F.col("kind").alias("ok"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oi"))
+        near = mine.join(other, F.expr("component = oc and ob between band - 2 and band + 2 and (kind is null or ok is null or kind <> ok)"))
+        name = lambda b, k, i: F.struct(F.col(b).alias("b"), F.coalesce(k, F.lit("mixed")).alias("k"), F.col(i).alias("i"))
+        one, two = name("band", F.col("kind").cast("string"), "mine"), name("ob", F.col("ok").cast("string"), "oi")
+        tile = F.concat_ws(",", "component", F.to_json(F.least(one, two)), F.to_json(F.greatest(one, two)))
+        links = links.unionByName(verified(near.select("id", tile.alias("tile"))))
     found = components(links)
 
     out = table.select("id", "n", "c1", "c2").join(classes, ["c1", "c2", "n"], "left")

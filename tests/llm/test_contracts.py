@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, ngram_join, packing, quality_hosts, queries, shard_tree, warc
+from lectern.llm.shared import components
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +126,46 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == set(brute_links(docs.collect(), 4, 85))
 
 
+def test_ngram_join_parts_apart(spark, monkeypatch):
+    """One group of several families that share rare shingles but don't link, and links between texts of different blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(4):
+        base = [f"c{k}" for k in range(60)] + [f"f{family}x{k}" for k in range(40)]
+        for _ in range(30):
+            words = list(base)
+            for k in rng.integers(0, 100, rng.integers(0, 4)):
+                words[k] = f"n{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(words[: 100 - int(rng.integers(0, 30))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    turns, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda *a: turns.append(a) or verify(*a))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == set(brute_links(docs.collect(), 4, 85)) and len(turns) == 3
+    assert 1 < len({c for _, _, c in got}) < len(rows)
+
+
+def test_components(spark):
+    """Chains, hubs and repeated links against a plain union."""
+    rng = np.random.default_rng(7)
+    links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 400)] + [(5000, 5000)] + [tuple(map(int, rng.integers(2000, 2600, 2))) for _ in range(400)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in links:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    edges = spark.createDataFrame(links * 2, "a long, b long").repartition(16)
+    got = {r.id: r.component for r in components(edges).collect()}
+    assert got == {a: find(a) for a in root if any(a in x and x[0] != x[1] for x in links)}
+    assert components(edges.where("false")).count() == 0
+
+
 def test_warc(spark):
     html = "<p>" + "x" * 120 + "</p>"
     odd = [(1, "u", html), (2, None, html), (3, "a b\nc", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é" * 50), (0, "u", "é" * 50), (0, "u", "é" * 50), (None, "u", html), (9, "u", "y" * 300_000)]
