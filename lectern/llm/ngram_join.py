@@ -97,7 +97,7 @@ def _requests(w: int, buckets: int):
             yield home, k, fp[mine].tobytes(), per.astype(np.uint8 if per.max() < 256 else np.uint32).tobytes(), hot_fp[hot].tobytes(), hot_n[hot].tobytes(), None, None, None
         at = np.flatnonzero(common)
         own = np.where(known, n, -1 - n)  # a null id is marked by a negative size
-        yield home, home % buckets, token[at].tobytes(), doc[at].astype(np.uint32).tobytes(), None, None, np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64).tobytes(), own.tobytes(), np.ascontiguousarray(sums).tobytes()
+        yield home, home % buckets, token[at].tobytes(), doc[at].astype(np.uint32).tobytes(), None, None, np.stack([np.asarray(x.fill_null(0).to_numpy(zero_copy_only=False), np.int64) for x in (ids, batch.column(2))], axis=1).tobytes(), own.tobytes(), np.ascontiguousarray(sums).tobytes()
 
     def run(batches):
         from pyspark import TaskContext
@@ -199,7 +199,7 @@ def _prefixes(percent: int, den: int):
     def one(rows):
         own = next(r for r in rows if r["ids"] is not None)
         get = lambda r, c, t: np.frombuffer(r[c], t)
-        ids, sizes, classes = get(own, "ids", np.int64), get(own, "sizes", np.int64), get(own, "classes", np.int64).reshape(-1, 2)
+        (ids, keys), sizes, classes = get(own, "ids", np.int64).reshape(-1, 2).T, get(own, "sizes", np.int64), get(own, "classes", np.int64).reshape(-1, 2)
         rest = [r for r in rows if r["ids"] is None]
         cat = lambda c, t: np.concatenate([np.zeros(0, t), *(get(r, c, t) for r in rest)])
         hot_t, hot_n = cat("hot_tokens", np.uint64), cat("hot_times", np.uint32)
@@ -216,7 +216,7 @@ def _prefixes(percent: int, den: int):
         head = n - -(-percent * n // den) + 1
         lists = [token[at[k] : at[k] + max(0, head[k] - (n[k] - (at[k + 1] - at[k])))].astype(np.int64) if n[k] else np.zeros(0, np.int64) for k in range(len(ids))]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=sizes < 0), pa.array(n), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], names=["id", "n", "c1", "c2", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=sizes < 0), pa.array(keys), pa.array(n), pa.array(classes[:, 0]), pa.array(classes[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], names=["id", "key", "n", "c1", "c2", "tokens"])
 
     return run
 
@@ -284,18 +284,19 @@ def _verify(w: int, percent: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row of docs.
+    """(doc_id, n_shingles, class_id, component_id, text_key) for each row of docs.
 
-    class_id: smallest id with the very same set; component_id: smallest id reachable by links.
+    class_id: smallest id with the very same set; component_id: smallest id reachable by links; text_key:
+    xxhash64 of the text, which tells rows with one id and different texts apart.
     Shuffles about 4.5 bytes a shingle, then only what is seen twice.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = 4 * partitions(spark)
-    asked = texts.mapInArrow(_requests(w, buckets), _REQUEST)
+    asked = texts.withColumn("key", F.xxhash64("text")).mapInArrow(_requests(w, buckets), _REQUEST)
     told = asked.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, _ANSWER)
     told = told.repartition("home").sortWithinPartitions("home")
-    table = cut(told.mapInArrow(_prefixes(percent, den), "id long, n long, c1 long, c2 long, tokens array<long>"))
+    table = cut(told.mapInArrow(_prefixes(percent, den), "id long, key long, n long, c1 long, c2 long, tokens array<long>"))
 
     # One class for each set; its smallest id stands for it.
     classes = cut(table.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")))
@@ -359,11 +360,12 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
         links = links.unionByName(verified(near.select("id", tile.alias("tile"))))
     found = components(links)
 
-    out = table.select("id", "n", "c1", "c2").join(classes, ["c1", "c2", "n"], "left")
+    out = table.select("id", "key", "n", "c1", "c2").join(classes, ["c1", "c2", "n"], "left")
     out = out.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
+        F.col("key").alias("text_key"),
     )

@@ -66,15 +66,20 @@ def host_verdicts(counts: DataFrame, host: str, failed: str, limit: float) -> Da
     return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
 
 
-def judge(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept) for each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("__host"), F.col(text_col).alias("__text"))
+def judge(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", text_key: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept) for each row.
+
+    text_key adds host and text_key, the xxhash64 of the text, which tell rows of one id apart.
+    """
+    more = [F.xxhash64(F.col(text_col).cast("string")).alias("text_key")] * text_key
+    rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(host_col).cast("string").alias("__host"), F.col(text_col).alias("__text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     counts = cut(with_counts(rows, F.col("__text")).drop("__text").withColumn("base_failed", failed))
     hosts = host_verdicts(counts, "__host", "base_failed", limit)
     judged = counts.join(hosts, F.col("__host").eqNullSafe(F.col("host")), "left")
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept"),
+        *["host", "text_key"] * text_key,
     )
 
 

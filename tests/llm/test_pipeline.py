@@ -15,12 +15,12 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark, tmp_path):
     real = spark.read.parquet(f"{SF}/documents.parquet")
-    docs = real.unionByName(cases.frame(spark).select(*real.columns))
+    docs = real.unionByName(cases.frame(spark), allowMissingColumns=True)  # with columns whose names clash
     passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     planted = [(9_000_000 + i, f"{' '.join(f'p{i}w{k}' for k in range(60))}\n{passage} tail{i}", "en", "src0", 1) for i in range(2)]
     planted += [(9_100_000 + i, " ".join(f"near{k}" for k in range(80)) + f" end{i}", "en", "src0", 1) for i in range(3)]
     planted += [(9_200_000, "too short", "en", "src0", 1)]
-    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    docs = docs.unionByName(spark.createDataFrame(planted, real.schema), allowMissingColumns=True)
     kept = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = str(tmp_path / name)
@@ -66,6 +66,16 @@ def test_packed_ids(spark, tmp_path):
     assert Counter(r.ids_crc32 for r in got.collect()) == Counter(zlib.crc32(r.ids) for r in pieces)
 
 
+def test_rows_of_one_id(spark):
+    """Rows are judged one by one, also where they share an id."""
+    good, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "gh")
+    rows = [(1, good), (1, "bad"), (2, other), (2, other), (3, other), (3, "a b c d e f g h i j k l"), (None, other), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = lambda f: sorted(((r.doc_id, r.text) for r in f(spark, docs, None).collect()), key=str)
+    assert out(corpus_pipeline.quality_rules) == sorted([r for r in rows if r[1] and r[1] != "bad"], key=str)
+    assert out(corpus_pipeline.near_duplicates) == sorted([(1, good), (1, "bad"), (2, other), (3, "a b c d e f g h i j k l"), (None, other), (4, None), (5, "")], key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
