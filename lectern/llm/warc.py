@@ -4,7 +4,10 @@ An archive is the content of a .warc.gz file: one gzip member for each record. A
 rows (archive, bytes) of bounded size, so that any store Spark can write holds them; `read_files` reads
 .warc.gz files instead. The reader walks an archive once: it feeds zlib small pieces, takes the header
 up to the blank line, then as many bytes as Content-Length says, and checks the payload digest (of
-responses) and the end of the member. Memory: one archive of about `archive_bytes`, one record.
+responses, where they state one in SHA-256 or SHA-1, in hex or base32) and the end of the member. Other people's
+archives read as well: records without an HTTP block (warcinfo, metadata, resource, ...) have their whole block as payload, HTTP
+ones need no length of their own, and records without a digest have none checked. Memory: one archive of
+about `archive_bytes`, or of a file a piece at a time where it is larger, and one header.
 
 Among records with equal payloads of at least `least` bytes the one with the smallest page_id is the
 response; the others are revisits that refer to it. Digests are summed before the shuffle, and a hot
@@ -19,7 +22,9 @@ digest, length or gzip member, or a truncated one) raises ValueError rather than
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -84,7 +89,9 @@ def archives(pages: DataFrame, least: int = LEAST_REVISITED, archive_bytes: int
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("digest", F.sha2(body, 256))
     firsts = rows.where(F.octet_length(body) >= least).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(firsts.where("n > 1").drop("n"), F.col("digest") == F.col("same"), "left")
+    # payloads too small to be revisited meet nothing: keys of their own spread them
+    rows = rows.withColumn("key", F.when(F.octet_length(body) >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    rows = rows.join(firsts.where("n > 1").drop("n"), F.col("key") == F.col("same"), "left")
     return rows.select("page_id", "url", "html", "digest", "first").mapInArrow(_write(archive_bytes, date), "archive string, bytes binary")
 
 
@@ -98,8 +105,8 @@ def pieces(data: bytes) -> Iterator[bytes]:
 def records(stream: Iterable[bytes], keep_payload: bool = False) -> Iterator[dict]:
     """The records of one archive, in order.
 
-    Each is a dict with `headers` (lower-case names), `payload_bytes` and `payload_digest` of the full
-    payload (for revisits as their headers state it) and, on demand, `payload`.
+    Each is a dict with `headers` (lower-case names), `payload_bytes` and `payload_digest`, the SHA-256 of the full
+    payload (for revisits both as their headers state them, with any digest they name) and, on demand, `payload`.
     """
     source, rest = iter(stream), b""
     while True:
@@ -127,32 +134,40 @@ def records(stream: Iterable[bytes], keep_payload: bool = False) -> Iterator[dic
             rest = member.unused_data if member.eof else member.unconsumed_tail
             return True
 
-        def head() -> list[str]:
-            """Lines up to the blank one."""
+        def head() -> tuple[list[str], int]:
+            """Lines up to the blank one, and the bytes of all."""
             nonlocal held
             while (end := held.find(b"\r\n\r\n")) < 0:
                 if not more():
                     raise ValueError("a header does not end")
-            lines = bytes(held[:end]).decode().split("\r\n")
+            lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
             del held[: end + 4]
-            return lines
+            return lines, end + 4
 
         fields = lambda lines: {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        first, *lines = head()
+        (first, *lines), _ = head()
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
         headers = fields(lines)
-        length = int(headers["content-length"])
-        http = head()
-        block = sum(len(x.encode()) + 2 for x in http) + 2
-        stated, left = int(fields(http[1:])["content-length"]), length - block
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("a record has no Content-Length")
+        left, stated = int(headers["content-length"]), None
+        if headers.get("content-type", "").lower().startswith("application/http") and left:
+            http, size = head()
+            left -= size
+            stated = fields(http[1:]).get("content-length")
+        algorithm, _, told = headers.get("warc-payload-digest", "").partition(":")
+        made = {"sha1": hashlib.sha1, "sha256": hashlib.sha256}.get(algorithm.lower().replace("-", ""))
         digest, got, kept = hashlib.sha256(), 0, bytearray()
+        check = made() if made else None
         while got < left:
             if not held and not more():
                 raise ValueError("a block is shorter than its Content-Length")
             part = bytes(held[: left - got])
             del held[: left - got]
             digest.update(part)
+            if check:
+                check.update(part)
             got += len(part)
             if keep_payload:
                 kept += part
@@ -160,27 +175,53 @@ def records(stream: Iterable[bytes], keep_payload: bool = False) -> Iterator[dic
             pass
         if bytes(held) != b"\r\n\r\n":
             raise ValueError("a record does not end where its Content-Length says")
-        algorithm, _, told = headers["warc-payload-digest"].partition(":")
-        if headers["warc-type"] == "response" and (stated != got or algorithm != "sha256" or told != digest.hexdigest()):
-            raise ValueError(f"payload digest or length of {headers['warc-record-id']} is wrong")
-        yield {"headers": headers, "payload_bytes": stated, "payload_digest": told} | ({"payload": bytes(kept)} if keep_payload else {})
+        whole = headers.get("warc-type") != "revisit"
+        if whole and check and told.lower() != check.hexdigest() and told.upper() != base64.b32encode(check.digest()).decode():
+            raise ValueError(f"payload digest of {headers.get('warc-record-id')} is wrong")
+        if headers.get("warc-type") == "response" and stated is not None and not stated.isdigit():
+            raise ValueError(f"payload length of {headers.get('warc-record-id')} is wrong")
+        # a transfer coding may make the payload longer or shorter than its own length says
+        if headers.get("warc-type") == "response" and stated is not None and int(stated) != got and "transfer-encoding" not in fields(http[1:]):
+            raise ValueError(f"payload length of {headers.get('warc-record-id')} is wrong")
+        size = got if whole or stated is None else int(stated)
+        yield {"headers": headers, "payload_bytes": size, "payload_digest": digest.hexdigest() if whole else (told or None)} | ({"payload": bytes(kept)} if keep_payload else {})
 
 
 def _page(urn: str | None):
+    """The page_id in a record's name; null in names that other writers gave."""
     name = (urn or "")[len("<urn:page:") : -1]
-    return int(name) if name else None
+    return int(name) if (urn or "").startswith("<urn:page:") and name.lstrip("-").isdigit() else None
+
+
+def _row(r: dict) -> tuple:
+    h = r["headers"]
+    return _page(h.get("warc-record-id")), h.get("warc-target-uri"), r["payload_bytes"], r["payload_digest"], h.get("warc-type"), _page(h.get("warc-refers-to"))
+
+
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+
+def _told(stream: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """The records of one archive in batches of bounded size."""
+    source = iter(records(stream))
+    while out := [_row(r) for r in itertools.islice(source, 1000)]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in READ_SCHEMA.split(", ")])
 
 
 def _read(batches):
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
         for row in range(batch.num_rows):
-            out = [
-                (_page((h := r["headers"])["warc-record-id"]), h["warc-target-uri"], r["payload_bytes"], r["payload_digest"], h["warc-type"], _page(h.get("warc-refers-to")))
-                for r in records(pieces(batch.column(0)[row].as_buffer()))
-            ]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield from _told(pieces(batch.column(0)[row].as_buffer()))
+
+
+def _read_paths(batches):
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(name, compression=None) as f:
+                yield from _told(iter(lambda: f.read(PIECE), b""))  # noqa: B023
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -191,9 +232,11 @@ def read(rows: DataFrame, column: str = "bytes") -> DataFrame:
     return rows.select(column).mapInArrow(_read, READ_SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same from .warc.gz files."""
-    return read(spark.read.format("binaryFile").load(path), "content")
+def read_files(spark: SparkSession, path: str, streamed_from: int = 256 << 20) -> DataFrame:
+    """The same from .warc.gz files. Those of `streamed_from` bytes and more are streamed by pyarrow from where they lie, smaller ones come through Spark."""
+    files = spark.read.format("binaryFile").load(path)
+    small = read(files.where(F.col("length") < streamed_from), "content")
+    return small.unionByName(files.where(F.col("length") >= streamed_from).select("path").mapInArrow(_read_paths, READ_SCHEMA))
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
