@@ -1,6 +1,7 @@
 """Operators with a fixed result against brute force, on awkward rows and on documents."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -196,6 +197,79 @@ def test_warc_damage(spark):
             list(warc.records(warc.pieces(data)))
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Records of all kinds, as other writers make them."""
+    import base64
+    import gzip
+
+    def record(kind, block, *more):
+        lines = [f"WARC/1.0\r\nWARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *more, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    page, http = "né".encode() * 50, "Content-Type: application/http; msgtype=response"
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    data = record("warcinfo", b"software: x\r\nformat: WARC 1.0\r\n", "Content-Type: application/warc-fields")
+    data += record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://x/")
+    data += record("response", b"HTTP/1.1 200 OK\r\nServer: caf\xe9\r\n\r\n" + page, http, "WARC-Target-URI: http://x/", f"WARC-Payload-Digest: sha1:{sha1}")
+    data += record("response", b"HTTP/1.1 204 No\r\n\r\n", http)
+    data += record("metadata", b"a: b", "Content-Type: application/warc-fields") + record("resource", page, "Content-Type: text/plain")
+    data += record("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 150\r\n\r\n", http, f"WARC-Payload-Digest: sha1:{sha1}")
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    of = lambda x: hashlib.sha256(x).hexdigest()
+    want = [("warcinfo", 31, of(b"software: x\r\nformat: WARC 1.0\r\n")), ("request", 0, of(b"")), ("response", 150, of(page)), ("response", 0, of(b"")), ("metadata", 4, of(b"a: b")), ("resource", 150, of(page)), ("revisit", 150, sha1)]
+    for limit in (0, 1 << 20):  # streamed, and through Spark
+        got = warc.read_files(spark, str(tmp_path), limit).collect()
+        assert [(r.record_type, r.payload_bytes, r.payload_digest) for r in got] == want and {r.page_id for r in got} == {None}
+    with pytest.raises(ValueError):
+        list(warc.records([record("response", b"HTTP/1.1 200 OK\r\n\r\nother", http, f"WARC-Payload-Digest: sha1:{sha1}")]))
+
+
+def brute_descent(key, nodes, at=""):
+    """The shard a key comes to, drawing level by level."""
+    import struct
+
+    import xxhash
+
+    seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42)
+    draws = []
+    for i, n in enumerate(nodes):
+        if n.weight > 0:
+            u = ((xxhash.xxh64_intdigest(f"{at}/{n.name}".encode(), seed=seed) >> 11) + 0.5) / (1 << 53)
+            draws.append((-math.log(u) / n.weight, i))
+    n = nodes[min(draws)[1]]
+    return n.shard if not n.children else brute_descent(key, n.children, f"{at}/{n.name}")
+
+
+def test_shard_descent(spark):
+    tree = shard_tree.even_tree(24)
+    more = shard_tree.grown(tree, 24)
+
+    def heavier(n, factor):
+        return shard_tree.Node(n.name, n.weight * factor, n.children, n.shard)
+
+    r0, r1 = tree
+    rack = (shard_tree.Node("r0", r0.weight, (heavier(r0.children[0], 3), *r0.children[1:])), r1)
+    gone = (shard_tree.Node("r0", r0.weight, (heavier(r0.children[0], 0), *r0.children[1:])), r1)
+    flat = (shard_tree.Node("r0", 1.0, (shard_tree.Node("k0", 1.0, tuple(shard_tree.Node(f"s{i}", 1.0, shard=i) for i in range(24))),)),)
+    trees = {"plain": tree, "more": more, "rack": rack, "gone": gone, "flat": flat}
+    rows = shard_tree.assign(spark.range(20_000).unionByName(spark.createDataFrame([(None,)], "id long")), F.col("id"), trees).collect()
+    for r in rows[:300] + rows[-1:]:
+        for name, t in trees.items():
+            assert r[name] == brute_descent(r.id, t)
+    where = {s.shard: (i, j) for i, x in enumerate(tree) for j, y in enumerate(x.children) for s in y.children}
+    assert sum(r.plain != r.flat for r in rows) > 18_000  # the levels matter
+    counts = Counter(r.plain for r in rows)
+    assert len(counts) == 24 and all(700 < n < 970 for n in counts.values())
+    for r in rows:
+        assert r.more in (r.plain, 24)
+        for changed in (r.rack, r.gone):  # only between the rack and its siblings, never among these or in the other region
+            a, b = where[r.plain], where[changed]
+            assert a == b and changed == r.plain or a[0] == b[0] == 0 and (a[1] == 0) != (b[1] == 0)
+    moved = sum(r.rack != r.plain for r in rows) / len(rows)
+    assert abs(moved - 0.5 * (3 / 5 - 1 / 3)) < 0.01 and all(where[r.gone] != (0, 0) for r in rows)
+    assert abs(sum(r.more == 24 for r in rows) / len(rows) - 1 / 25) < 0.005
+
+
 def test_shards(spark, docs):
     got = shard_tree.shard(docs).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
@@ -205,11 +279,6 @@ def test_shards(spark, docs):
         assert r.law == "key" and 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    many = shard_tree.assign(spark.range(48_000), F.col("id"), {"s": shard_tree.even_tree(24), "t": [shard_tree.Shard(i, i % 2, 0, 1 + i % 2) for i in range(3)]})
-    counts = Counter(r.s for r in many.collect())
-    assert len(counts) == 24 and all(1750 < n < 2250 for n in counts.values())
-    weighted = Counter(r.t for r in many.collect())
-    assert abs(weighted[1] / 48_000 - 0.5) < 0.01
 
 
 def brute_hits(docs, items, n=10):

@@ -171,19 +171,20 @@ def test_licenses(spark, docs):
     words = t["MIT"].split()
     near = " ".join(w if i != 20 else "changed" for i, w in enumerate(words))
     far = " ".join(w if i % 4 else "changed" for i, w in enumerate(words))
-    rows = [(1, f"{filler} {t['MIT']} {filler}"), (2, near.upper()), (3, far), (4, None), (5, ""), (6, f"x\n{t['GPL-3.0-line']}"), (7, "a license of no kind"), (8, f"{t['CC-BY-NC-4.0-line']} {t['Apache-2.0']}"), (9, filler + filler)]
+    rows = [(1, f"{filler} {t['MIT']} {filler}"), (2, near.upper()), (3, far), (4, None), (5, ""), (6, f"x\n{t['GPL-3.0-line']}"), (7, "a license of no kind"), (8, f"{t['CC-BY-NC-4.0-line']} {t['Apache-2.0']}"), (9, filler + filler), (10, "all RIGHTS\nreserved"), (11, f"all rights {filler} All rights reserved. x. All rights reserved")]
     got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = {(r.doc_id, r.license) for r in got}
-    assert found == {(1, "MIT"), (2, "MIT"), (6, "GPL-3.0-line"), (8, "CC-BY-NC-4.0-line"), (8, "Apache-2.0")}
+    assert found == {(1, "MIT"), (2, "MIT"), (6, "GPL-3.0-line"), (8, "CC-BY-NC-4.0-line"), (8, "Apache-2.0"), (10, "All-rights-reserved"), (11, "All-rights-reserved")}
+    assert [r.windows for r in got if r.doc_id == 11] == [2]
     assert {r.first_word // 100 for r in got if r.doc_id == 1} <= {5, 6}
     # on documents, against containment at every place
     want = set()
     for r in docs.collect():
         w = license_scan.words(r.text or "")
-        grams = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         for name, text in t.items():
             k = license_scan.words(text)
-            need = {tuple(k[i : i + 5]) for i in range(len(k) - 4)}
+            n = min(5, len(k))
+            grams, need = ({tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in (w, k))
             if len(need & grams) >= 0.8 * len(need):
                 want.add((r.doc_id, name))
     assert {(r.doc_id, r.license) for r in license_scan.scan(docs).collect()} == want
