@@ -77,4 +77,4 @@ QUERIES = {
     "op10_quality_hosts": op10_quality_hosts,
 }
 
-ORACLE_SQL = {"op10_quality_hosts": quality_hosts.ORACLE_SQL}
+ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL, "op10_quality_hosts": quality_hosts.ORACLE_SQL}

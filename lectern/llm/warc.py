@@ -245,3 +245,12 @@ def round_trip(pages: DataFrame, least: int = LEAST_REVISITED) -> DataFrame:
     at = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     archives(pages, least).write.parquet(at)
     return read(spark.read.parquet(at))
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN coalesce(min(page_id) OVER (PARTITION BY payload_digest), page_id) ELSE page_id END AS first FROM p)
+SELECT page_id, url, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f JOIN pages USING (page_id)
+"""

@@ -77,8 +77,8 @@ def settle() -> None:
                 break
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):  # glibc: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
-        libc.mallopt(-3, 1 << 26)
-        libc.mallopt(-1, 1 << 28)
+        libc.mallopt(-3, 1 << 25)
+        libc.mallopt(-1, 1 << 26)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
