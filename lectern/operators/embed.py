@@ -60,10 +60,67 @@ def embed(c: Column, make: Callable[[], object], batch: int = 32) -> Column:
 
 
 def vectorise(chunks: DataFrame, make: Callable[[], object], content: str = "content", vector: str = "vector") -> DataFrame:
-    """chunks with vectors; each different text is embedded once."""
-    texts = chunks.select(F.col(content).alias("__text")).where("__text is not null").distinct()
-    made = texts.withColumn(vector, embed(F.col("__text"), make))
-    return chunks.join(made, F.col(content) == F.col("__text"), "left").drop("__text")
+    """chunks with vectors; each different text, told by a hash of 128 bits, is embedded once."""
+    keyed = chunks.withColumn("__key", F.unhex(F.md5(F.col(content).cast("binary"))))
+    texts = keyed.where(F.col(content).isNotNull()).select(F.col("__key").alias("__made"), F.col(content).alias("__text")).dropDuplicates(["__made"])
+    made = texts.select("__made", embed(F.col("__text"), make).alias(vector))
+    return keyed.join(made, F.col("__key") == F.col("__made"), "left").drop("__key", "__made")
+
+
+def failures(df: DataFrame, content: str = "content", vector: str = "vector") -> DataFrame:
+    """(texts, failed): how many rows have a text, and how many of them no vector: a provider that fails shows here."""
+    lacking = F.col(content).isNotNull() & (F.col(vector).isNull() | (F.size(vector) == 0))
+    return df.agg(F.count(content).alias("texts"), F.count_if(lacking).alias("failed"))
+
+
+class Remote:
+    """A provider over HTTP: texts in calls of `batch`, each tried `tries` times; a call that fails in all raises."""
+
+    def __init__(self, url: str, model: str, key: str = "", batch: int = 10, tries: int = 3, timeout: float = 60.0, wait: float = 1.0, send=None):
+        self.url, self.model, self.key, self.batch, self.tries, self.timeout, self.wait, self.send = url, model, key, batch, tries, timeout, wait, send or self._post
+
+    def _post(self, body: dict) -> dict:
+        import json
+        import urllib.request
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as r:
+            return json.load(r)
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        import time
+
+        out: list[list[float]] = []
+        for at in range(0, len(texts), self.batch):
+            some = texts[at : at + self.batch]
+            for left in range(self.tries - 1, -1, -1):
+                try:
+                    data = self.send({"model": self.model, "input": some})["data"]
+                    if len(data) != len(some):
+                        raise ValueError(f"{len(data)} vectors for {len(some)} texts")
+                    out += [x["embedding"] for x in sorted(data, key=lambda x: x.get("index", 0))]
+                    break
+                except Exception:
+                    if not left:
+                        raise
+                    time.sleep(self.wait)
+        return out
+
+
+class Switch:
+    """The remote provider where there is one, else, or where it fails, the local one."""
+
+    def __init__(self, remote=None, local=None):
+        self.remote, self.local = remote, local
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        if self.remote is not None:
+            try:
+                return self.remote.encode(texts)
+            except Exception:
+                if self.local is None:
+                    raise
+        return self.local.encode(texts)
 
 
 def usable(df: DataFrame, vector: str = "vector") -> DataFrame:

@@ -32,10 +32,10 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_weight: float =
     return out.withColumn("fusion_info", info)
 
 
-def ranked(df: DataFrame, score: str, key: str, k: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     """The k best by score, with rank; ties by key."""
     order = [F.desc_nulls_last(score), F.col(key)]
-    best = df.orderBy(*order).limit(k) if k is not None else df
+    best = df.orderBy(*order).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -97,9 +97,12 @@ def page(hits: DataFrame, score: str, key: str, number: int = 1, size: int = 10,
     return placed.where((F.col("rank") > (number - 1) * size) & (F.col("rank") <= number * size))
 
 
-def in_reading_order(hits: DataFrame, page_col: str = "page_num", top_col: str = "top", time_col: str = "create_time") -> DataFrame:
-    """Page and place upwards, newest first where both are equal."""
-    return hits.orderBy(F.asc(page_col), F.asc(top_col), F.desc(time_col))
+def in_reading_order(hits: DataFrame, page_col: str = "page_num", top_col: str = "top", time_col: str = "create_time", by: str | None = None, key: str | None = None) -> DataFrame:
+    """Page and place upwards, newest first where both are equal; with `by` each group's hits are numbered so in `place`, ties by key."""
+    order = [F.asc(page_col), F.asc(top_col), F.desc(time_col), *([F.asc(key)] if key else [])]
+    if by is None:
+        return hits.orderBy(*order)
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
 def document_counts(hits: DataFrame, name: str = "document_name") -> DataFrame:

@@ -71,30 +71,32 @@ def _idf(variant: str, n: int, df: int) -> float:
     return math.log((n + 1) / df) if variant == "plus" else math.log(n + 1) - math.log(df + 0.5)
 
 
-def bm25(posts: DataFrame, terms: list[str] | DataFrame, variant: str = "okapi", combine: str = "sum", k1: float = K1, b: float = B, delta: float | None = None, id_col: str = "doc_id") -> DataFrame:
+def bm25(posts: DataFrame, terms: list[str] | DataFrame, variant: str = "okapi", combine: str = "sum", k1: float = K1, b: float = B, delta: float | None = None, id_col: str = "doc_id", terms_freq: DataFrame | None = None) -> DataFrame:
     """(id, score) of documents with score > 0.
 
     posts: result of `postings`. terms: list of terms, or rows (term, weight). combine: `sum` or `max`
-    over a document's terms.
+    over a document's terms. terms_freq: result of `doc_freq` where it is kept, else worked out if a term is in most documents.
     """
     if variant not in ("okapi", "plus", "l"):
         raise ValueError(f"unknown BM25 variant {variant!r}")
     spark = posts.sparkSession
     query = terms if isinstance(terms, DataFrame) else spark.createDataFrame([(t, 1.0) for t in sorted(set(terms))], "term string, weight double")
     delta = DELTA.get(variant, 0.0) if delta is None else delta
-    # one pass for all statistics: terms by their document frequency, the query's terms apart
-    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count_if("head").alias("heads"))
-    named = counts.join(F.broadcast(query.select("term", F.col("term").alias("asked"), "weight")), "term", "left")  # a query's terms are few
-    histogram = named.groupBy("df", "asked", "weight").agg(F.count(F.lit(1)).alias("terms"), F.sum("heads").alias("heads")).collect()
-    n, size = sum(r["heads"] for r in histogram), sum(r["df"] * r["terms"] for r in histogram)
+    # the query's terms filter postings before anything is grouped; size and number of documents are one row
+    asked = posts.join(F.broadcast(query.select("term", "weight")), "term")  # a query's terms are few
+    found = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("weight")).collect()
     docs = posts.where("head").select(id_col, "length")
-    found = [r for r in histogram if r["asked"] is not None]
     if not found:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    n, size = docs.agg(F.count(F.lit(1)), F.sum("length")).first()
     average = size / n
-    mean = sum(_idf("okapi", n, r["df"]) * r["terms"] for r in histogram) / sum(r["terms"] for r in histogram)
-    idfs = [(r["asked"], _idf(variant, n, r["df"])) + (r["weight"],) for r in found]
-    idfs = [(t, (0.25 * mean if variant == "okapi" and idf < 0 else idf) * w) for t, idf, w in idfs]
+    idfs = [(r["term"], _idf(variant, n, r["df"]), r["weight"]) for r in found]
+    if variant == "okapi" and min(x for _, x, _ in idfs) < 0:  # only then the mean over all terms counts
+        spread = (terms_freq if terms_freq is not None else doc_freq(posts)).groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
+        value = F.ln(F.lit(n + 0.5) - F.col("df")) - F.ln(F.col("df") + 0.5)
+        mean = spread.agg(F.sum(value * F.col("terms")) / F.sum("terms")).first()[0]
+        idfs = [(t, 0.25 * mean if idf < 0 else idf, w) for t, idf, w in idfs]
+    idfs = [(t, idf * w) for t, idf, w in idfs]
     known = spark.createDataFrame(idfs, "term string, idf double")
     ratio = F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(float(average))
 

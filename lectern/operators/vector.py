@@ -34,25 +34,33 @@ def request_filters(kb_ids=None, doc_ids=None, available: int | None = None, rem
     return {k: v for k, v in given.items() if v is not None and v != []}
 
 
-def knn(table: DataFrame, query: list[float], k: int = 5, threshold: float | None = None, condition: dict | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k rows most similar to the query, with score and rank; rows of another dimension don't count."""
+def knn(table: DataFrame, query: list[float], k: int | None = 5, threshold: float | None = None, condition: dict | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k rows most similar to the query, with score and rank; rows of another dimension don't count. Without k all rows over the threshold, unranked."""
     rows = table.where(conditions(condition)) if condition else table
     rows = rows.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == len(query)))
     size = sum(x * x for x in map(float, query)) ** 0.5
     rows = rows.withColumn("score", V.cosine(F.col(vector_col), literal(query), norm_b=F.lit(size)))
     if threshold is not None:
         rows = rows.where(F.col("score") >= threshold)
+    if k is None:
+        return rows
     best = rows.orderBy(F.desc_nulls_last("score"), id_col).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), id_col)))
 
 
 def knn_batch(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, score, rank) of the k best rows for each query, exact."""
+    """(query_id, id, score, rank) of the k best rows for each query, exact.
+
+    Queries go in blocks of about QUERY_BLOCK, each sent to all tasks; a task keeps the k best of each query before the shuffle.
+    """
     rows = table.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, V.norm(F.col(vector_col)).alias("__n"))
     asked = queries.select(F.col(query_id), F.col(query_vector), V.norm(F.col(query_vector)).alias("__m"))
-    if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
-        asked = F.broadcast(asked)
-    pairs = rows.join(asked, F.size(vector_col) == F.size(query_vector)).select(query_id, id_col, V.cosine(F.col(vector_col), F.col(query_vector), F.col("__n"), F.col("__m")).alias("score"))
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    pairs = None
+    for i in range(max(1, blocks)):
+        some = asked.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) if blocks > 1 else asked
+        found = rows.join(F.broadcast(some), F.size(vector_col) == F.size(query_vector)).select(query_id, id_col, V.cosine(F.col(vector_col), F.col(query_vector), F.col("__n"), F.col("__m")).alias("score"))
+        pairs = found if pairs is None else pairs.unionByName(found)
     order = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("score"), id_col)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

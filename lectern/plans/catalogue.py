@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import chunk, embed, hybrid, lexical, parse, pipeline, prompt, rewrite, vector
+from lectern.operators import answer, chunk, embed, hybrid, lexical, parse, pipeline, prompt, rewrite, vector
 from lectern.plans import oracles as O
 from lectern.sources import files, store
 from lectern.streaming import ingest
@@ -188,7 +188,7 @@ def html_text(spark, sf):
 
 @query()
 def html_main(spark, sf):
-    return table(spark, sf, "pages").select("page_id", parse.html_main(F.col("html")).alias("m")).select("page_id", "m.title", F.size("m.lines").alias("lines"))
+    return table(spark, sf, "pages").select("page_id", parse.html_main(F.col("html")).alias("m")).select("page_id", "m.title", F.size("m.lines").alias("lines"), F.md5(F.array_join("m.lines", "\n")).alias("digest"))
 
 
 @query(O.MARKDOWN_SECTIONS)
@@ -396,9 +396,9 @@ def knn_filtered(spark, sf):
     return _hits(vector.knn(table(spark, sf, "embeddings"), _vector(spark, sf), 10, condition={"label": [1, 3, 5]}))
 
 
-@query(O.knn(10_000_000, "true", 0.2))
+@query(O.KNN_THRESHOLD)
 def knn_threshold(spark, sf):
-    return _hits(vector.knn(table(spark, sf, "embeddings"), _vector(spark, sf), 10_000_000, threshold=0.2))
+    return vector.knn(table(spark, sf, "embeddings"), _vector(spark, sf), None, threshold=0.2).select("vec_id", r6(F.col("score"), "score"))
 
 
 @query(O.KNN_BATCH)
@@ -489,8 +489,8 @@ def compare_methods(spark, sf):
 
 @query(O.READING_ORDER)
 def reading_order(spark, sf):
-    hits = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("page_num"), F.col("l_quantity").alias("top"), F.col("l_shipdate").alias("create_time"))
-    return hybrid.in_reading_order(hits).groupBy("page_num").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("first_top"))
+    hits = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("page_num"), F.floor(F.col("l_quantity") / 10).alias("top"), F.col("l_shipdate").alias("create_time"))
+    return hybrid.in_reading_order(hits, by="l_orderkey", key="l_linenumber").select("l_orderkey", "l_linenumber", "place")
 
 
 # --- prompts ---------------------------------------------------------------------------------------
@@ -507,9 +507,10 @@ def last_turns(spark, sf):
 
 
 def _context_hits(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf, "documents").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-    return docs.select(F.col("source").alias("question"), "rank", F.col("text").alias("content"), F.col("lang").alias("document_name"), (F.lit(1.0) / F.col("rank")).alias("score"))
+    """The ten best hits of a hybrid search."""
+    hits = hybrid.fuse(*_legs(spark, sf)).select("doc_id", F.round("final_score", 9).alias("score"))
+    best = hybrid.page(hits, "score", "doc_id", 1, 10).join(table(spark, sf, "documents"), "doc_id")
+    return best.select(F.lit("q").alias("question"), "rank", F.col("text").alias("content"), F.col("lang").alias("document_name"), "score")
 
 
 @query(O.CONTEXT)
@@ -529,6 +530,24 @@ def prompt_messages(spark, sf):
     return rows.select("conv_id", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").alias("said"))
 
 
+@query(O.ANSWERS)
+def answer_context(spark, sf):
+    """Every conversation's last user turn as a question, with history and one context, in a filled template."""
+    talk = table(spark, sf, "conversations")
+    asked = talk.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("t")).select("conv_id", F.lit("q").alias("question"))
+    rows = answer.prompts(answer.contexts(_context_hits(spark, sf), asked, talk, 900), "conversation")
+    return rows.select("conv_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
+
+
+@query(O.PLAIN_AND_HYBRID)
+def plain_and_hybrid(spark, sf):
+    """The ten best by vectors alone beside the ten best by fusion."""
+    plain = vector.knn(table(spark, sf, "embeddings"), _vector(spark, sf), 10).select(F.col("vec_id").alias("doc_id"), F.col("rank").alias("plain_rank"))
+    hits = hybrid.fuse(*_legs(spark, sf)).select("doc_id", F.round("final_score", 9).alias("final_score"))
+    both = hybrid.page(hits, "final_score", "doc_id", 1, 10).select("doc_id", F.col("rank").alias("hybrid_rank"))
+    return plain.join(both, "doc_id", "full")
+
+
 # --- store and streams -----------------------------------------------------------------------------
 
 
@@ -536,13 +555,27 @@ def prompt_messages(spark, sf):
 def store_upsert(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "lang", F.lit(1).alias("version"))
     new = docs.where(F.col("doc_id") % 3 == 0).select((F.col("doc_id") * 2).alias("doc_id"), "chunk_index", "lang", F.lit(2).alias("version"))
-    return store.latest(new, docs)
+    kept = store.ChunkStore(spark, store.scratch(spark))
+    kept.upsert(docs)
+    kept.upsert(new)
+    return kept.read()
 
 
 @query("SELECT doc_id, lang FROM documents WHERE NOT (lang IN ('fr', 'de') AND source = 'src0')")
 def store_delete(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return docs.where(~F.coalesce(vector.conditions({"lang": ["fr", "de"], "source": "src0"}), F.lit(False))).drop("source")
+    kept = store.ChunkStore(spark, store.scratch(spark))
+    kept.upsert(table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "lang", "source"))
+    kept.delete({"lang": ["fr", "de"], "source": "src0"})
+    return kept.read().select("doc_id", "lang")
+
+
+@query("SELECT doc_id, 'kb' AS kb_id, 64 AS dimension FROM documents JOIN embeddings ON vec_id = doc_id")
+def store_chunks(spark, sf):
+    """Chunks with their vectors written to the store under the store's names, and read back."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.expr("vec_id = doc_id")).select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("embedding").alias("vector"))
+    kept = store.ChunkStore(spark, store.scratch(spark))
+    kept.upsert(store.chunk_rows(rows, "kb", "name", 64))
+    return kept.read().select("doc_id", "kb_id", F.size("q_64_vec").alias("dimension"))
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY lang")

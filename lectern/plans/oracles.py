@@ -225,15 +225,23 @@ SELECT question, coalesce(x.n, 0) AS n_first, coalesce(y.n, 0) AS n_second, coal
 
 
 COMPARE = _compare()
-READING_ORDER = "SELECT l_linenumber AS page_num, count(*) AS n, min(l_quantity) AS first_top FROM lineitem GROUP BY l_linenumber"
+READING_ORDER = "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3, floor(l_quantity / 10), l_shipdate DESC, l_linenumber)::INT AS place FROM lineitem"
 
 LAST = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INT AS back FROM conversations"
 HISTORY = f"SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS history FROM ({LAST}) WHERE back <= 6 AND coalesce(text, '') <> '' GROUP BY conv_id"
 LAST_TURNS = f"SELECT conv_id, turn, role, back FROM ({LAST}) WHERE back <= 10"
-HITS = "WITH h AS (SELECT source AS question, rank, text AS content, lang AS document_name, 1.0::DOUBLE / rank AS score, least(cnt, 3) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS rank, count(*) OVER (PARTITION BY source) AS cnt FROM documents) WHERE rank <= 3)"
-CONTEXT = HITS + """, p AS (SELECT question, rank, printf('[文档%d] (来源: %s, 相关度: %.3f)', rank, document_name, score) || chr(10) || CASE WHEN length(content) > 900 // n THEN substr(content, 1, (900 // n)::INT) || '...' ELSE content END || chr(10) AS part FROM h WHERE content <> ''),
-c AS (SELECT question, string_agg(part, chr(10) ORDER BY rank) AS c FROM p GROUP BY question) SELECT question, CASE WHEN length(c) > 900 THEN substr(c, 1, 900) || '...' ELSE c END AS context FROM c"""
+HITS = FUSE + ", h AS (SELECT 'q' AS question, t.rank, d.text AS content, d.lang AS document_name, t.fs AS score, count(*) OVER () AS n FROM (SELECT *, row_number() OVER (ORDER BY fs DESC, doc_id)::INT AS rank FROM (SELECT doc_id, round(fs, 9) AS fs FROM fused) WHERE fs >= 0.1) t JOIN documents d USING (doc_id) WHERE t.rank <= 10)"
+CONTEXT_END = " SELECT question, CASE WHEN length(c) > 900 THEN substr(c, 1, 900) || '...' ELSE c END AS context FROM c"
+CONTEXT = HITS + """, pp AS (SELECT question, rank, printf('[文档%d] (来源: %s, 相关度: %.3f)', rank, document_name, score) || chr(10) || CASE WHEN length(content) > 900 // n THEN substr(content, 1, (900 // n)::INT) || '...' ELSE content END || chr(10) AS part FROM h WHERE content <> ''),
+c AS (SELECT question, string_agg(part, chr(10) ORDER BY rank) AS c FROM pp GROUP BY question)""" + CONTEXT_END
 CONTEXT_META = HITS + " SELECT question, string_agg('[文档' || rank || '] (document_name: ' || document_name || ', rank: ' || rank || ')' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS context FROM h WHERE content <> '' GROUP BY question"
+KNN_THRESHOLD = f"SELECT vec_id, round(score, 6) AS score FROM (SELECT e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) WHERE score >= 0.2"
+PLAIN_AND_HYBRID = FUSE + f", pl AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS plain_rank FROM (SELECT e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY plain_rank LIMIT 10), b AS (SELECT doc_id, row_number() OVER (ORDER BY fs DESC, doc_id)::INT AS hybrid_rank FROM (SELECT doc_id, round(fs, 9) AS fs FROM fused) WHERE fs >= 0.1 ORDER BY hybrid_rank LIMIT 10) SELECT doc_id, plain_rank, hybrid_rank FROM pl FULL JOIN b USING (doc_id)"
+ANSWERS = CONTEXT.removesuffix(CONTEXT_END) + """, x AS (SELECT question, CASE WHEN length(c) > 900 THEN substr(c, 1, 900) || '...' ELSE c END AS context FROM c),
+tt AS (SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 AND coalesce(text, '') <> ''),
+y AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS history FROM tt GROUP BY conv_id),
+z AS (SELECT a.conv_id, 'Documents' || chr(10) || coalesce((SELECT context FROM x), '（未找到相关文档内容）') || chr(10) || chr(10) || 'So far' || chr(10) || coalesce(history, '（无历史记录）') || chr(10) || chr(10) || 'Question' || chr(10) || 'q' || chr(10) || chr(10) || 'Answer:' AS p FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') a LEFT JOIN y USING (conv_id))
+SELECT conv_id, length(p)::INT AS n, md5(p) AS digest FROM z"""
 MESSAGES = """SELECT conv_id, (count(*) FILTER (WHERE role IN ('user', 'assistant')) + 2)::INT AS n, 'system:s' || chr(10) || coalesce(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE role IN ('user', 'assistant')) || chr(10), '') || 'user:c' || chr(10) || chr(10) || 'q' || max(turn) || chr(10) || chr(10) || 'Answer:' AS said FROM conversations GROUP BY conv_id"""
 
 UPSERT = """WITH o AS (SELECT doc_id, 0 AS chunk_index, lang, 1 AS version FROM documents), n AS (SELECT doc_id * 2 AS doc_id, 0 AS chunk_index, lang, 2 AS version FROM documents WHERE doc_id % 3 = 0)
