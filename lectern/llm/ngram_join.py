@@ -283,6 +283,16 @@ def _verify(w: int, percent: int, den: int):
     return run
 
 
+def _spread(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Joins to rows (with an id) the one row of facts for their keys, without sending a large group to one task.
+
+    Every fact is copied BLOCK times and each row meets one copy, by its id. Facts are given for groups of BLOCK rows
+    and more only, so that there are never more copies than rows.
+    """
+    copies = facts.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))))
+    return rows.withColumn("__copy", F.pmod(F.xxhash64("id"), F.lit(BLOCK)).cast("int")).join(copies, [*keys, "__copy"], how).drop("__copy")
+
+
 def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, text_key) for each row of docs.
 
@@ -311,9 +321,8 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     steps = heads.join(up, ["token", "band"]).select("a", F.col("head").alias("b"))
     groups = components(stars.unionByName(steps))
     placed = groups.join(reps.select("id", "band").distinct(), "id")
-    total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
-    # sums are cut before they are joined back: a hot group's join is then one of plain shuffles, which Spark splits
-    placed, _ = sized(placed.join(sized(total)[0], "component"))  # id, component, band, total
+    total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > BLOCK)
+    placed, _ = sized(_spread(placed, sized(total)[0], ["component"]))  # id, component, band, total: null up to BLOCK
 
     def verified(tiled: DataFrame) -> DataFrame:
         """Links (a, b) found in tiles: rows (id, tile)."""
@@ -321,14 +330,14 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
         return sent.select("tile", "id", "text").mapInArrow(_verify(w, percent, den), "a long, b long")
 
     def block(count) -> Column:
-        return F.pmod(F.xxhash64("id"), F.greatest(F.ceil(count / BLOCK), F.lit(1))).cast("int")
+        return F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(count / BLOCK)), F.lit(0)).cast("int")
 
     # first turn: every block by itself, a small group as one
-    blocks, _ = sized(placed.groupBy("component", "band").agg(F.count(F.lit(1)).alias("size")))
-    own = placed.join(blocks, ["component", "band"])
-    tile = F.when(F.col("total") <= BLOCK, F.concat_ws(",", "component")).otherwise(F.concat_ws(",", "component", "band", block(F.col("size"))))
+    large = placed.where("total is not null")
+    blocks, _ = sized(large.groupBy("component", "band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
+    own = _spread(placed, blocks, ["component", "band"])
+    tile = F.when(F.col("total").isNull(), F.concat_ws(",", "component")).otherwise(F.concat_ws(",", "component", "band", block(F.col("size"))))
     links, _ = sized(verified(own.select("id", tile.alias("tile"))))
-    large = placed.where(F.col("total") > BLOCK)
     if not large.isEmpty():
         # second turn: the heads of the parts
         def parts(links: DataFrame) -> DataFrame:
@@ -338,24 +347,24 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
         parted = parts(links)
         first = parted.select("component", F.col("part").alias("id")).distinct()
         many = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        first = first.join(sized(many.where("size > 1"))[0], "component")
+        first = _spread(first, sized(many.where("size > 1"))[0], ["component"], "inner")
         more, _ = sized(verified(first.select("id", F.concat_ws(",", "component", block(F.col("size"))).alias("tile"))))
         links = links.unionByName(more)
         # third turn: blocks of what is still apart; a part that fills blocks of its own has them
         parted = parts(links)
         apart = parted.groupBy("component").agg((F.min("part") < F.max("part")).alias("apart")).where("apart").select("component")
-        parted = parted.join(sized(apart)[0], "component")
-        sizes, _ = sized(parted.groupBy("component", "band", "part").agg(F.count(F.lit(1)).alias("size")))
-        kinds = sizes.select("component", "band", "part", F.when(F.col("size") >= BLOCK, F.col("part")).alias("kind"))  # null: mixed
-        parted, _ = sized(parted.join(kinds, ["component", "band", "part"]))
+        parted = _spread(parted, sized(apart)[0], ["component"], "inner")
+        filled = parted.groupBy("component", "band", "part").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= BLOCK)
+        filled, _ = sized(filled.select("component", "band", "part", F.col("part").cast("string").alias("kind")))
+        parted, _ = sized(_spread(parted, filled, ["component", "band", "part"]).fillna({"kind": "mixed"}))
         kinds, _ = sized(parted.groupBy("component", "band", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-        mine = parted.alias("p").join(kinds.alias("k"), F.expr("p.component = k.component and p.band = k.band and p.kind <=> k.kind"))
-        mine = mine.select("p.*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
+        mine = _spread(parted, kinds.where("blocks > 1"), ["component", "band", "kind"])
+        mine = mine.select("id", "component", "band", "kind", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int").alias("mine"))
         # the other blocks of the group in the same and the next two bands, but for those of the same part
         other = kinds.select(F.col("component").alias("oc"), F.col("band").alias("ob"), F.col("kind").alias("ok"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oi"))
-        near = mine.join(other, F.expr("component = oc and ob between band - 2 and band + 2 and (kind is null or ok is null or kind <> ok)"))
-        name = lambda b, k, i: F.struct(F.col(b).alias("b"), F.coalesce(k, F.lit("mixed")).alias("k"), F.col(i).alias("i"))
-        one, two = name("band", F.col("kind").cast("string"), "mine"), name("ob", F.col("ok").cast("string"), "oi")
+        near = mine.join(other, F.expr("component = oc and ob between band - 2 and band + 2 and (kind = 'mixed' or ok = 'mixed' or kind <> ok)"))
+        name = lambda b, k, i: F.struct(F.col(b).alias("b"), F.col(k).alias("k"), F.col(i).alias("i"))
+        one, two = name("band", "kind", "mine"), name("ob", "ok", "oi")
         tile = F.concat_ws(",", "component", F.to_json(F.least(one, two)), F.to_json(F.greatest(one, two)))
         links = links.unionByName(verified(near.select("id", tile.alias("tile"))))
     found = components(links)
