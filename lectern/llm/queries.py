@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import attention_lm, decontaminate, license_scan, line_templates, ngram_join, packing, quality_hosts, shard_tree, token_counts, warc
+from lectern.llm import attention_lm, decontaminate, filter_audit, license_scan, line_templates, ngram_join, packing, pii_crf, quality_hosts, ranked_search, shard_tree, token_counts, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -64,6 +64,18 @@ def op10_quality_hosts(spark, sf_dir):
     return quality_hosts.judge(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
 
+def op11_pii_skip_chain(spark, sf_dir):
+    return pii_crf.digest(pii_crf.find(_table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_attention_lm": op8_attention_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_hosts": op10_quality_hosts,
+    "op11_pii_skip_chain": op11_pii_skip_chain,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL, "op10_quality_hosts": quality_hosts.ORACLE_SQL}
+ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL, "op10_quality_hosts": quality_hosts.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_ranked_search": ranked_search.ORACLE_SQL}
