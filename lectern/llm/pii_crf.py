@@ -56,7 +56,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What a token may be wrapped in; a plus sign belongs to its number.
+_MARKS = "!\"#$%&'()*,-./:;<=>?@[\\]^_`{|}~"
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(0x30, 0x3A), 0x40, 0x2B]] = True
 
