@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 from lectern.functions import vectors as V
 
 
-def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_weight: float = 0.6, keyword_weight: float = 0.4, key: str = "doc_id") -> DataFrame:
-    """(key, raw_vector_score, vector_score, keyword_score, final_score, search_type, fusion_info).
+def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_weight: float = 0.6, keyword_weight: float = 0.4, key: str = "doc_id", by: str | None = None) -> DataFrame:
+    """(key, raw_vector_score, vector_score, keyword_score, final_score, search_type, fusion_info), with `by` for each question apart.
 
     vector_hits: (key, score), spread to 0.1-0.9 over the hits; keyword_hits: (key, keyword_score).
     Both legs: weighted sum; one: 0.8 of it; neither above 0.05: half of the larger.
     """
-    ends = vector_hits.where("score > 0").agg(F.min("score").alias("__low"), F.max("score").alias("__top"))
+    keys = [key] if by is None else [by, key]
+    if by is None:
+        ends = vector_hits.where("score > 0").agg(F.min("score").alias("__low"), F.max("score").alias("__top"))
+        ranged = vector_hits.join(F.broadcast(ends))
+    else:  # a question's hits are its k best
+        own, positive = Window.partitionBy(by), F.when(F.col("score") > 0, F.col("score"))
+        ranged = vector_hits.withColumns({"__low": F.min(positive).over(own), "__top": F.max(positive).over(own)})
     span = F.when(F.col("__top") > F.col("__low"), F.col("__top") - F.col("__low")).otherwise(F.lit(1.0))
     spread = F.when(F.col("score") > 0, V.clamp(F.lit(0.1) + (F.col("score") - F.col("__low")) / span * F.lit(0.8), 0.05, 0.95)).otherwise(F.lit(0.05))
-    left = vector_hits.join(F.broadcast(ends)).select(key, F.col("score").alias("raw_vector_score"), spread.alias("vector_score"))
-    both = left.join(keyword_hits.select(key, "keyword_score"), key, "full")
+    left = ranged.select(*keys, F.col("score").alias("raw_vector_score"), spread.alias("vector_score"))
+    both = left.join(keyword_hits.select(*keys, "keyword_score"), keys, "full")
     v, k = F.coalesce("vector_score", F.lit(0.0)), F.coalesce("keyword_score", F.lit(0.0))
     final = F.when((v > 0.05) & (k > 0.05), v * vector_weight + k * keyword_weight).when(v > 0.05, v * 0.8).when(k > 0.05, k * 0.8).otherwise(F.greatest(v, k) * 0.5)
     kinds = F.array_compact(F.array(F.when(F.col("vector_score").isNotNull(), F.lit("vector")), F.when(F.col("keyword_score").isNotNull(), F.lit("bm25"))))
-    out = both.select(key, "raw_vector_score", v.alias("vector_score"), k.alias("keyword_score"), V.clamp(final, 0.05, 0.95).alias("final_score"), kinds.alias("search_type"))
+    out = both.select(*keys, "raw_vector_score", v.alias("vector_score"), k.alias("keyword_score"), V.clamp(final, 0.05, 0.95).alias("final_score"), kinds.alias("search_type"))
     info = F.struct(F.lit(vector_weight).alias("vector_weight"), F.lit(keyword_weight).alias("keyword_weight"), *[F.round(c, 4).alias(c) for c in ("vector_score", "keyword_score", "final_score")])
     return out.withColumn("fusion_info", info)
 

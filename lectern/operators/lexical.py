@@ -1,8 +1,8 @@
 """Lexical retrieval: postings, BM25 in three variants, synonym expansion, score normalisation.
 
 Terms are distinct in a document, so a term's frequency is 1 and a document's length is its number of
-terms. One pass over the postings gives all statistics, as a histogram of document frequencies; a second
-one scores the documents that hold query terms, which are few and broadcast. Variants plus and l give every document a constant part for
+terms. `bm25` scores a corpus that isn't indexed: it reads the texts for the query's terms, for the corpus's size and for the
+scores; `inverted.InvertedIndex` tokenises once and serves many questions. Variants plus and l give every document a constant part for
 each query term that the corpus holds, so lengths are scored for all documents, postings added.
 """
 
@@ -24,7 +24,8 @@ DELTA = {"plus": 1.0, "l": 0.5}
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, length, term, head): one row for each distinct term of a document, head on its first; documents without terms go."""
     terms = docs.select(F.col(id_col), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    rows = terms.select(id_col, F.size("terms").alias("length"), F.posexplode("terms").alias("__p", "term"))
+    # posexplode_outer: for posexplode Spark would first filter by the size of the array, and tokenise every text once more for that
+    rows = terms.select(id_col, F.size("terms").alias("length"), F.posexplode_outer("terms").alias("__p", "term")).where("term is not null")
     return rows.select(id_col, "length", "term", (F.col("__p") == 0).alias("head"))
 
 
@@ -137,10 +138,14 @@ def normalize_min_max(scores: DataFrame, score: str = "score") -> DataFrame:
     return scores.join(F.broadcast(ends)).withColumn("normalized", F.when(span > 0, F.lit(0.1) + F.lit(0.8) * (F.col(score) - F.col("__low")) / span).otherwise(F.lit(0.5))).drop("__low", "__top")
 
 
+def term_weights(original: list[str], expanded: list[str], synonym_weight: float = 0.8) -> dict[str, float]:
+    """Weights of terms: original ones count in full, those that only expansion adds for less."""
+    return dict.fromkeys(sorted(set(original)), 1.0) | dict.fromkeys(sorted(set(expanded) - set(original)), synonym_weight)
+
+
 def weighted_terms(original: list[str], expanded: list[str], synonym_weight: float = 0.8, spark=None) -> DataFrame:
-    """(term, weight): original terms count in full, terms that only expansion adds for less."""
-    rows = [(t, 1.0) for t in sorted(set(original))] + [(t, synonym_weight) for t in sorted(set(expanded) - set(original))]
-    return spark.createDataFrame(rows, "term string, weight double")
+    """The same as rows (term, weight)."""
+    return spark.createDataFrame(list(term_weights(original, expanded, synonym_weight).items()), "term string, weight double")
 
 
 def search(posts: DataFrame, query: str, top_k: int = 5, variant: str = "okapi", id_col: str = "doc_id") -> DataFrame:

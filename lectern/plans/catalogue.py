@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import answer, chunk, embed, hybrid, lexical, parse, pipeline, prompt, rewrite, vector
+from lectern.operators import answer, chunk, embed, hybrid, inverted, lexical, parse, pipeline, prompt, questions, rewrite, vector
 from lectern.plans import oracles as O
 from lectern.sources import files, store
 from lectern.streaming import ingest
@@ -276,6 +276,17 @@ def _posts(spark, sf):
     return lexical.postings(table(spark, sf, "documents"))
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark, sf):
+    """The inverted index of documents, built once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = inverted.InvertedIndex.build(table(spark, sf, "documents"), store.scratch(spark))
+    return _INDEXES[key]
+
+
 def _scores(df):
     return df.select("doc_id", r6(F.col("score"), "score"))
 
@@ -287,7 +298,7 @@ def tokenize(spark, sf):
 
 @query(O.DOC_FREQ)
 def doc_freq(spark, sf):
-    return lexical.doc_freq(_posts(spark, sf))
+    return _index(spark, sf).doc_freq()
 
 
 @query(O.POSTINGS_LEN)
@@ -297,43 +308,49 @@ def postings_len(spark, sf):
 
 @query(O.bm25("okapi", TERMS))
 def bm25_okapi(spark, sf):
-    return _scores(lexical.bm25(_posts(spark, sf), TERMS))
+    return _scores(_index(spark, sf).bm25(TERMS))
 
 
 @query(O.bm25("plus", TERMS))
 def bm25_plus(spark, sf):
-    return _scores(lexical.bm25(_posts(spark, sf), TERMS, "plus"))
+    return _scores(_index(spark, sf).bm25(TERMS, "plus"))
 
 
 @query(O.bm25("l", TERMS))
 def bm25_l(spark, sf):
-    return _scores(lexical.bm25(_posts(spark, sf), TERMS, "l"))
+    return _scores(_index(spark, sf).bm25(TERMS, "l"))
 
 
 @query(O.bm25("okapi", ["the", "tion", "license", "les", "der", "2", "0"], combine="max"))
 def bm25_or_max(spark, sf):
-    return _scores(lexical.bm25(_posts(spark, sf), lexical.parse_or_query(QUESTION), combine="max"))
+    return _scores(_index(spark, sf).bm25(lexical.parse_or_query(QUESTION), combine="max"))
 
 
 @query(O.bm25("plus", ["the", "tion", "license", "les", "der", "2", "0"], combine="max"))
 def bm25_plus_max(spark, sf):
-    return _scores(lexical.bm25(_posts(spark, sf), lexical.parse_or_query(QUESTION), "plus", combine="max"))
+    return _scores(_index(spark, sf).bm25(lexical.parse_or_query(QUESTION), "plus", combine="max"))
 
 
 @query(O.bm25("okapi", TERMS, more=["and", "une"]))
 def bm25_weighted_synonyms(spark, sf):
-    return _scores(lexical.bm25(_posts(spark, sf), lexical.weighted_terms(TERMS, EXPANDED, spark=spark)))
+    return _scores(_index(spark, sf).bm25(lexical.term_weights(TERMS, EXPANDED)))
+
+
+@query(O.bm25("okapi", TERMS))
+def bm25_unindexed(spark, sf):
+    """The same as bm25_okapi over texts that aren't indexed."""
+    return _scores(lexical.bm25(_posts(spark, sf), TERMS))
 
 
 @query(O.normalized("okapi", TERMS))
 def bm25_normalized(spark, sf):
-    found = lexical.normalize(lexical.bm25(_posts(spark, sf), TERMS))
+    found = lexical.normalize(_index(spark, sf).bm25(TERMS))
     return lexical.normalize_min_max(found).select("doc_id", r6(F.col("keyword_score"), "keyword_score"), r6(F.col("normalized"), "normalized"))
 
 
 @query(O.top_bm25("okapi", ["the", "tion", "license", "les", "der", "2", "0"], 20))
 def bm25_search(spark, sf):
-    return lexical.search(_posts(spark, sf), QUESTION, 20).select("doc_id", r6(F.col("score"), "score"), r6(F.col("keyword_score"), "keyword_score"))
+    return _index(spark, sf).search(QUESTION, 20).select("doc_id", r6(F.col("score"), "score"), r6(F.col("keyword_score"), "keyword_score"))
 
 
 SYNONYM_ROWS = [("part", ["piece", "item"]), ("small", ["tiny", "little"]), ("brass", ["metal", "copper"]), ("economy", ["standard"])]
@@ -436,7 +453,7 @@ def _paired(spark, sf):
 
 def _legs(spark, sf):
     near = vector.knn(table(spark, sf, "embeddings"), _vector(spark, sf), 200, 0.0).select(F.col("vec_id").alias("doc_id"), "score")
-    words = lexical.normalize(lexical.bm25(_posts(spark, sf), TERMS)).orderBy(F.round("score", 9).desc(), "doc_id").limit(200)
+    words = lexical.normalize(_index(spark, sf).top(TERMS, 200))
     return near, words.select("doc_id", "keyword_score")
 
 
@@ -481,8 +498,8 @@ def doc_aggs(spark, sf):
 @query(O.COMPARE)
 def compare_methods(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("question"))
-    first = lexical.bm25(_posts(spark, sf), TERMS).join(docs, "doc_id")
-    second = lexical.bm25(_posts(spark, sf), TERMS, "plus").join(docs, "doc_id")
+    first = _index(spark, sf).bm25(TERMS).join(docs, "doc_id")
+    second = _index(spark, sf).bm25(TERMS, "plus").join(docs, "doc_id")
     out = hybrid.compare(first, second)
     return out.select("question", "n_first", "n_second", "n_diff", *[r6(F.col(c), c) for c in ("mean_first", "mean_second", "mean_diff")])
 
@@ -493,6 +510,61 @@ def reading_order(spark, sf):
     return hybrid.in_reading_order(hits, by="l_orderkey", key="l_linenumber").select("l_orderkey", "l_linenumber", "place")
 
 
+# --- tables of questions ---------------------------------------------------------------------------
+
+
+def _questions(spark, sf):
+    """Every benchmark item as a question, with the vector of the same number."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), "text").join(e, "question", "left")
+
+
+@query(O.BATCH_TERMS)
+def batch_terms(spark, sf):
+    """Terms of every benchmark item, its first two words made an OR group."""
+    made = F.concat(F.lit("("), F.substring_index("text", " ", 1), F.lit(" OR "), F.get(F.split("text", " "), 1), F.lit(") "), F.col("text"))
+    rows = inverted.question_terms(table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), made.alias("text")))
+    return rows.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ")).alias("digest"))
+
+
+@query(O.BATCH_BM25)
+def batch_bm25(spark, sf):
+    """The 20 best documents for every benchmark item, by the sum over its terms."""
+    best = questions.lexical_hits(_index(spark, sf), _questions(spark, sf), 20, "sum")
+    return best.select("question", "doc_id", r6(F.col("score"), "score"), r6(F.col("keyword_score"), "keyword_score"), "rank")
+
+
+@query(O.BATCH_HYBRID)
+def batch_hybrid(spark, sf):
+    """Hybrid search for every benchmark item."""
+    out = questions.batch_hybrid(_index(spark, sf), table(spark, sf, "embeddings"), _questions(spark, sf), 5)
+    return out.select("question", "doc_id", *[r6(F.col(c), c) for c in ("vector_score", "keyword_score", "final_score")], "rank")
+
+
+def _dealt(spark, sf):
+    return questions.dealer_search(_index(spark, sf), table(spark, sf, "embeddings"), _questions(spark, sf), condition={"label": [1, 3, 5]})
+
+
+@query(O.DEALER + " SELECT question, doc_id, round(vector_score, 6) AS vector_score, round(term_score, 6) AS term_score, round(score, 6) AS score, fell_back, rank FROM ranked")
+def dealer_search(spark, sf):
+    """Search over three labels for every benchmark item; items without a hit over 0.3 take those over 0.17."""
+    return _dealt(spark, sf).select("question", "doc_id", *[r6(F.col(c), c) for c in ("vector_score", "term_score", "score")], "fell_back", "rank")
+
+
+@query(O.DEALER + O.RETRIEVAL)
+def dealer_retrieval(spark, sf):
+    """The second page of three reranked hits of every item, by share of terms (text, and source as title) and cosine."""
+    found = _dealt(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "left")
+    out = questions.retrieval(found, _questions(spark, sf), _index(spark, sf), page=2, size=3, title=F.col("source"))
+    return out.select("question", "doc_id", r6(F.col("term_similarity"), "term_similarity"), r6(F.col("similarity"), "similarity"), "rank")
+
+
+@query(O.DEALER + " SELECT question, source, count(*) AS count FROM ranked JOIN documents USING (doc_id) GROUP BY question, source")
+def dealer_aggs(spark, sf):
+    """Hits of every item by source."""
+    return questions.document_counts(_dealt(spark, sf).join(table(spark, sf, "documents"), "doc_id"), "source")
+
+
 # --- prompts ---------------------------------------------------------------------------------------
 
 
@@ -532,10 +604,13 @@ def prompt_messages(spark, sf):
 
 @query(O.ANSWERS)
 def answer_context(spark, sf):
-    """Every conversation's last user turn as a question, with history and one context, in a filled template."""
+    """Every conversation's last user turn as a question: its three best documents, the history and the turn in a filled template."""
     talk = table(spark, sf, "conversations")
-    asked = talk.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("t")).select("conv_id", F.lit("q").alias("question"))
-    rows = answer.prompts(answer.contexts(_context_hits(spark, sf), asked, talk, 900), "conversation")
+    asked = talk.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("asked"))
+    best = questions.lexical_hits(_index(spark, sf), asked.select(F.col("conv_id").alias("question"), F.col("asked").alias("text")), 3, "sum")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.col("lang").alias("document_name"))
+    hits = best.join(docs, "doc_id").select(F.col("question").alias("conv_id"), "rank", "content", "document_name", F.round("keyword_score", 9).alias("score"))
+    rows = answer.prompts(answer.contexts(hits, asked, talk, 900, question="conv_id"), "conversation", "asked")
     return rows.select("conv_id", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
 
 

@@ -199,6 +199,47 @@ def knn(k: int, where: str = "true", threshold: float | None = None) -> str:
 KNN_BATCH = f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5"
 VECTOR_NORMS = "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding)::INT AS dim FROM embeddings"
 
+_TOKENS = r"list_distinct(list_concat(list_concat(regexp_extract_all({c}, '[\x{{4e00}}-\x{{9fff}}]{{2,}}'), regexp_extract_all(lower({c}), '[a-z]{{2,}}')), regexp_extract_all({c}, '[0-9]+')))"
+
+
+def _question_terms(text: str, source: str = "benchmark", key: str = "item_id") -> str:
+    """CTE qt(question, term) of the rows of a table with the text `text`."""
+    rest = r"regexp_replace(regexp_replace(x, '\([^()]+\)', '', 'g'), '[^\x{4e00}-\x{9fff}A-Za-z0-9\s]', ' ', 'g')"
+    return rf"""qx AS (SELECT {key} AS question, {text} AS x FROM {source}),
+ql AS (SELECT question, list_distinct(list_concat(flatten(list_transform(regexp_extract_all(x, '\(([^()]+)\)', 1), lambda g: list_transform(string_split(g, ' OR '), lambda y: trim(y)))), {_TOKENS.format(c='z')})) AS terms FROM (SELECT question, x, {rest} AS z FROM qx)),
+qt AS (SELECT question, unnest(terms) AS term FROM ql)"""
+
+
+BATCH_TERMS = "WITH " + _question_terms("'(' || string_split(text, ' ')[1] || ' OR ' || string_split(text, ' ')[2] || ') ' || text") + " SELECT question, count(*) AS n, md5(string_agg(term, ' ' ORDER BY term)) AS digest FROM qt GROUP BY question"
+
+
+def _batch(combine: str, k: int, asked: str = "") -> str:
+    """CTEs that end in kw(question, doc_id, score, rank): the k best documents of every item, or of what `asked` defines as qt."""
+    return POSTS + ", " + (asked or _question_terms("text")) + f""", raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS v FROM f, s), qi AS (SELECT question, term, CASE WHEN v < 0 THEN 0.25 * (SELECT avg(v) FROM raw) ELSE v END AS idf FROM qt JOIN raw USING (term)),
+sc AS (SELECT question, doc_id, {combine}(idf * 2.5 / (1.5 * (0.25 + 0.75 * length / a) + 1)) AS score FROM qi JOIN p USING (term), s GROUP BY question, doc_id),
+kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM sc WHERE score > 0) WHERE rank <= {k})"""
+
+
+_NORMAL = "greatest(0.05, least(0.95, 0.1 + 0.8 * score / max(score) OVER (PARTITION BY question)))"
+BATCH_BM25 = _batch("sum", 20) + f" SELECT question, doc_id, round(score, 6) AS score, round({_NORMAL}, 6) AS keyword_score, rank FROM kw"
+BATCH_HYBRID = _batch("max", 10) + f""", kn AS (SELECT question, doc_id, {_NORMAL} AS ks FROM kw),
+v AS (SELECT * FROM (SELECT item_id AS question, e.vec_id AS doc_id, {COS} AS score, row_number() OVER (PARTITION BY item_id ORDER BY {COS} DESC, e.vec_id) AS r FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings e) WHERE r <= 10),
+vr AS (SELECT question, min(score) FILTER (WHERE score > 0) AS lo, max(score) FILTER (WHERE score > 0) AS hi FROM v GROUP BY question),
+vn AS (SELECT question, doc_id, CASE WHEN score > 0 THEN greatest(0.05, least(0.95, 0.1 + (score - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * 0.8)) ELSE 0.05 END AS vs FROM v JOIN vr USING (question)),
+j AS (SELECT question, doc_id, coalesce(vs, 0.0) AS vs, coalesce(ks, 0.0) AS ks FROM vn FULL JOIN kn USING (question, doc_id)),
+fu AS (SELECT *, greatest(0.05, least(0.95, CASE WHEN vs > 0.05 AND ks > 0.05 THEN vs * 0.6 + ks * 0.4 WHEN vs > 0.05 THEN vs * 0.8 WHEN ks > 0.05 THEN ks * 0.8 ELSE greatest(vs, ks) * 0.5 END)) AS fs FROM j)
+SELECT * FROM (SELECT question, doc_id, round(vs, 6) AS vector_score, round(ks, 6) AS keyword_score, round(fs, 6) AS final_score, row_number() OVER (PARTITION BY question ORDER BY round(fs, 9) DESC, doc_id)::INT AS rank FROM fu WHERE round(fs, 9) >= 0.3) WHERE rank <= 5"""
+_SHARE = "(len(list_intersect(asked, held)) + 1e-9::DOUBLE) / (len(asked) + 1e-9::DOUBLE)"
+DEALER = POSTS + f""", qa AS (SELECT item_id AS question, {_TOKENS.format(c='z')} AS asked FROM (SELECT item_id, regexp_replace(text, '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9\\s]', ' ', 'g') AS z FROM benchmark)),
+near AS (SELECT item_id AS question, e.vec_id AS doc_id, {COS} AS vector_score FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings e WHERE e.label IN (1, 3, 5)),
+first AS (SELECT *, false AS fell_back FROM near WHERE vector_score >= 0.3),
+second AS (SELECT *, true AS fell_back FROM near WHERE vector_score >= 0.17 AND question NOT IN (SELECT question FROM first)),
+told AS (SELECT h.*, asked, coalesce(terms, []) AS held FROM (SELECT * FROM first UNION ALL SELECT * FROM second) h JOIN qa USING (question) LEFT JOIN l USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM (SELECT *, {_SHARE} AS term_score, 0.05 * {_SHARE} + 0.95 * vector_score AS score FROM told))"""
+RETRIEVAL = f""", w AS (SELECT question, doc_id, vector_score, asked, list_concat(held, {_TOKENS.format(c="coalesce(source, '')")}) AS held FROM ranked LEFT JOIN documents USING (doc_id) WHERE rank <= 128),
+x AS (SELECT question, doc_id, {_SHARE} AS term_similarity, 0.7 * {_SHARE} + 0.3 * vector_score AS similarity FROM w)
+SELECT * FROM (SELECT question, doc_id, round(term_similarity, 6) AS term_similarity, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY question ORDER BY round(similarity, 9) DESC, doc_id)::INT AS rank FROM x) WHERE rank BETWEEN 4 AND 6 AND similarity >= 0.1"""
+
 _TERMS = ["the", "tion", "les", "der", "que", "license", "zzz"]
 FUSE = (
     scores("okapi", _TERMS)
@@ -237,10 +278,14 @@ c AS (SELECT question, string_agg(part, chr(10) ORDER BY rank) AS c FROM pp GROU
 CONTEXT_META = HITS + " SELECT question, string_agg('[文档' || rank || '] (document_name: ' || document_name || ', rank: ' || rank || ')' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS context FROM h WHERE content <> '' GROUP BY question"
 KNN_THRESHOLD = f"SELECT vec_id, round(score, 6) AS score FROM (SELECT e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) WHERE score >= 0.2"
 PLAIN_AND_HYBRID = FUSE + f", pl AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS plain_rank FROM (SELECT e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY plain_rank LIMIT 10), b AS (SELECT doc_id, row_number() OVER (ORDER BY fs DESC, doc_id)::INT AS hybrid_rank FROM (SELECT doc_id, round(fs, 9) AS fs FROM fused) WHERE fs >= 0.1 ORDER BY hybrid_rank LIMIT 10) SELECT doc_id, plain_rank, hybrid_rank FROM pl FULL JOIN b USING (doc_id)"
-ANSWERS = CONTEXT.removesuffix(CONTEXT_END) + """, x AS (SELECT question, CASE WHEN length(c) > 900 THEN substr(c, 1, 900) || '...' ELSE c END AS context FROM c),
+ANSWERS = _batch("sum", 3, "qu AS (SELECT conv_id, arg_max(text, turn) AS asked FROM conversations WHERE role = 'user' GROUP BY conv_id), " + _question_terms("coalesce(asked, '')", "qu", "conv_id")) + f""",
+h AS (SELECT question, rank, d.text AS content, d.lang AS document_name, round({_NORMAL}, 9) AS score, count(*) OVER (PARTITION BY question) AS n FROM kw JOIN documents d USING (doc_id)),
+pp AS (SELECT question, rank, printf('[文档%d] (来源: %s, 相关度: %.3f)', rank, document_name, score) || chr(10) || CASE WHEN length(content) > 900 // n THEN substr(content, 1, (900 // n)::INT) || '...' ELSE content END || chr(10) AS part FROM h WHERE content <> ''),
+c AS (SELECT question, string_agg(part, chr(10) ORDER BY rank) AS c FROM pp GROUP BY question),
+x AS (SELECT question AS conv_id, CASE WHEN length(c) > 900 THEN substr(c, 1, 900) || '...' ELSE c END AS context FROM c),
 tt AS (SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6 AND coalesce(text, '') <> ''),
 y AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS history FROM tt GROUP BY conv_id),
-z AS (SELECT a.conv_id, 'Documents' || chr(10) || coalesce((SELECT context FROM x), '（未找到相关文档内容）') || chr(10) || chr(10) || 'So far' || chr(10) || coalesce(history, '（无历史记录）') || chr(10) || chr(10) || 'Question' || chr(10) || 'q' || chr(10) || chr(10) || 'Answer:' AS p FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') a LEFT JOIN y USING (conv_id))
+z AS (SELECT conv_id, 'Documents' || chr(10) || coalesce(context, '（未找到相关文档内容）') || chr(10) || chr(10) || 'So far' || chr(10) || coalesce(history, '（无历史记录）') || chr(10) || chr(10) || 'Question' || chr(10) || coalesce(asked, '') || chr(10) || chr(10) || 'Answer:' AS p FROM qu LEFT JOIN x USING (conv_id) LEFT JOIN y USING (conv_id))
 SELECT conv_id, length(p)::INT AS n, md5(p) AS digest FROM z"""
 MESSAGES = """SELECT conv_id, (count(*) FILTER (WHERE role IN ('user', 'assistant')) + 2)::INT AS n, 'system:s' || chr(10) || coalesce(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE role IN ('user', 'assistant')) || chr(10), '') || 'user:c' || chr(10) || chr(10) || 'q' || max(turn) || chr(10) || chr(10) || 'Answer:' AS said FROM conversations GROUP BY conv_id"""
 
