@@ -1,182 +1,173 @@
 """Chunking strategies: one row for each chunk of a document.
 
-Strategies that a window of positions can express are plain SQL; those whose cuts depend on what came
-before run on Arrow batches. All yield the text meant for each chunk (never empty slices), fixed
+All are Column expressions, so chunks never leave the JVM and need no shuffle. Strategies whose cuts depend on what came
+before are folds over a document's pieces: the state is what is held and what is done. The recursive strategy is a fold
+over steps that takes the leftmost open piece from a stack; as a recursive query every level would be a job over all
+documents, and levels grow with the longest one. All yield the text meant for each chunk (never empty slices), fixed
 windows end once the text does, and ids don't decide identity: chunks are keyed by document and index.
 """
 
 from __future__ import annotations
 
-import bisect
-import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lectern.functions import text as T
+from lectern.functions import vectors as V
 
 # Where a text may be cut, in order of preference.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", ", ", " "]
 LIMIT, LEAST, SENTENCES = 256, 20, 5
+#: Least tokens of a section that carries its tag, and where delimited text may be cut.
+TAGGED, DELIMITERS = 8, "\n!?;。；！？"
 
 
-def estimate(text: str) -> int:
-    cjk = len(re.findall("[一-鿿]", text))
-    return int(cjk / 1.5 + (len(text) - cjk) / 4)
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
-def split_recursive(text: str | None, limit: int = LIMIT, least: int = LEAST) -> list[str]:
-    """Pieces of at most `limit` tokens: cut at the first place of the first separator that leaves `least` before it, else in half."""
-    if not text:
-        return []
-    cjk = [m.start() for m in re.finditer("[一-鿿]", text)]
-
-    def size(a: int, b: int) -> int:
-        n = bisect.bisect_left(cjk, b) - bisect.bisect_left(cjk, a)
-        return int(n / 1.5 + (b - a - n) / 4)
-
-    upcoming = {}  # the next place of each separator; pieces are cut from left to right
-
-    def find(sep: str, a: int, b: int) -> int:
-        at = upcoming.get(sep, -1)
-        if at < a:
-            at = text.find(sep, a)
-            at = upcoming[sep] = len(text) if at < 0 else at
-        return at if at + len(sep) <= b else -1
-
-    out, todo = [], [(0, len(text))]
-    while todo:
-        a, b = todo.pop()
-        if size(a, b) <= limit:
-            out.append(text[a:b])
-            continue
-        for sep in SEPARATORS:
-            at = find(sep, a, b)
-            if at >= 0 and size(a, at) >= least:
-                todo += [(at + len(sep), b), (a, at)]
-                break
-        else:
-            mid = a + (b - a) // 2
-            todo += [(mid, b), (a, mid)]
-    return out
-
-
-def split_sentences(text: str) -> list[str]:
-    return [s.strip() for s in re.split(r"(?<=[。！？.!?])\s+", text) if s.strip()]
-
-
-def split_semantic(text: str | None, threshold: float = 0.7, least: int = LEAST, embed: Callable | None = None) -> list[str]:
-    """Sentences joined until a neighbour is unlike the one before and the chunk holds `least` tokens."""
-    out, held, before = [], "", None
-    for s in split_sentences(text or ""):
-        if embed:
-            mark = embed(s)
-        else:
-            mark = set(re.findall(r"\w+", s.lower()))
-        if before is not None and _alike(before, mark, bool(embed)) < threshold and estimate(held) >= least:
-            out.append(held)
-            held = ""
-        held, before = held + s, mark
-    return out + [held] * bool(held)
-
-
-def _alike(a, b, vectors: bool) -> float:
-    if vectors:
-        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
-        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def split_paragraphs(text: str | None, limit: int = LIMIT, least: int = LEAST) -> list[str]:
-    """Paragraphs packed up to `limit` tokens; a longer one is cut recursively."""
-    out, held = [], ""
-    for p in (p.strip() for p in re.split(r"\n\s*\n", text or "")):
-        joined = f"{held}\n{p}" if held else p
-        if not p:
-            continue
-        if estimate(p) > limit:
-            out += [held] * bool(held) + split_recursive(p, limit, least)
-            held = ""
-        elif estimate(joined) > limit:
-            out.append(held)
-            held = p
-        else:
-            held = joined
-    return out + [held] * bool(held)
-
-
-def merge_sections(sections: list[tuple[str, str | None]], limit: int = 128) -> list[str]:
-    """Sections appended until a chunk exceeds `limit` tokens (it may overshoot); a section of 8 tokens
-    or more carries its position tag unless the chunk has it already."""
-    chunks, sizes = [""], [0]
-    for text, tag in sections:
-        n = estimate(text)
-        tag = (tag or "") if n >= 8 else ""
-        if sizes[-1] > limit:
-            chunks.append("")
-            sizes.append(0)
-            host = text
-        else:
-            host = chunks[-1]
-        chunks[-1] += text + (tag if tag not in host else "")
-        sizes[-1] += n
-    return [c for c in chunks if c]
-
-
-def merge_with_images(sections: list[tuple[str, object]], limit: int = 128) -> list[tuple[str, object]]:
-    """The same without tags; a chunk keeps the image of the section that opened it."""
-    out: list[list] = [["", None, 0]]
-    for text, image in sections:
-        if out[-1][2] > limit:
-            out.append(["", image, 0])
-        out[-1][0] += text
-        out[-1][2] += estimate(text)
-    return [(t, i) for t, i, _ in out if t]
-
-
-def split_delimited(text: str | None, limit: int = 128, delimiters: str = "\n!?;。；！？") -> list[str]:
-    """Cut behind no delimiter but keep them, packed to at most `limit` half-characters where that can be."""
-    out, size = [""], 0
-    for part in re.split("([" + re.escape(delimiters) + "])", text or ""):
-        n = len(part) // 2
-        if size + n > limit and out[-1]:
-            out.append("")
-            size = 0
-        out[-1] += part
-        size += n
-    return [c for c in out if c]
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _arrow(split: Callable[[str | None], list[str]]) -> Callable[[Column], Column]:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(split)
+def _with(done: Column, held: Column) -> Column:
+    """done with what is held, unless that is empty."""
+    return F.when(held == "", done).otherwise(F.concat(done, F.array(held)))
 
-    return run
+
+def _over(text: Column, n: Column, limit: int) -> Column:
+    """Whether a text of n characters has more than `limit` tokens; a character is a quarter of one at least."""
+    return (n >= 4 * (limit + 1)) | (T.token_count(text) > limit)
 
 
 def recursive(c: Column, limit: int = LIMIT, least: int = LEAST) -> Column:
-    return _arrow(lambda t: split_recursive(t, limit, least))(c)
+    """Pieces of at most `limit` tokens: cut at the first place of the first separator that leaves `least` before it, else in half."""
+    piece = lambda s, n: F.struct(s.alias("s"), n.cast("int").alias("n"))
+
+    def cut(p: Column, present: Column) -> Column:
+        """Place (from 1) and width of the cut in p; place 0 if no separator will do."""
+        enough = lambda at: (at - 1 >= 4 * least) | ((at > 1) & (T.token_count(F.substring(p["s"], F.lit(1), at - 1)) >= least))
+        none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("w"))
+        found = lambda at, s: F.when((at > 0) & enough(at), F.struct(at.alias("at"), F.length(s).alias("w"))).otherwise(none)
+        return F.aggregate(present, none, lambda a, s: F.when(a["at"] > 0, a).otherwise(_let(F.position(s, p["s"]), lambda at: found(at, s))))
+
+    def parts(p: Column, k: Column) -> Column:
+        """The right and the left part of p, the left one on top of the stack."""
+        before = F.when(k["at"] > 0, k["at"] - 1).otherwise(F.floor(p["n"] / 2).cast("int"))
+        return _let(before, lambda n: F.array(piece(F.substring(p["s"], n + k["w"] + 1, p["n"]), p["n"] - n - k["w"]), piece(F.substring(p["s"], F.lit(1), n), n)))
+
+    def run(text: Column) -> Column:
+        present = F.filter(F.array(*map(F.lit, SEPARATORS)), lambda s: F.contains(text, s))
+
+        def step(a: Column, present: Column) -> Column:
+            rest = F.slice(a["todo"], 1, F.size(a["todo"]) - 1)
+            taken = lambda p: F.when(_over(p["s"], p["n"], limit), F.struct(F.concat(rest, parts_of(p)).alias("todo"), a["done"].alias("done"))).otherwise(F.struct(rest.alias("todo"), F.concat(a["done"], F.array(p["s"])).alias("done")))
+            parts_of = lambda p: _let(cut(p, present), lambda k: parts(p, k))
+            return F.when(F.size(a["todo"]) == 0, a).otherwise(_let(F.element_at(a["todo"], -1), taken))
+
+        def steps(n: Column, a: Column, present: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), n.cast("int")), a, lambda a, _: step(a, present))
+
+        n = F.length(text)
+        start = F.struct(F.array(piece(text, n)).alias("todo"), _none().alias("done"))
+        # few texts need more steps than these; a left part has `least` tokens or more, and at most a cut by each separator, and by halves, leads down to it
+        usual = n * F.lit(6.0 / limit) + 9
+        most = (2 * (n / max(1.0, 1.5 * min(least, limit / 2)) + 1) * (len(SEPARATORS) + F.log2(n + 2))) + 9
+        return _let(present, lambda present: _let(steps(usual, start, present), lambda a: F.when(F.size(a["todo"]) == 0, a).otherwise(steps(most, a, present))["done"]))
+
+    return F.when(F.coalesce(c, F.lit("")) == "", _none()).otherwise(_let(c, run))
 
 
 def semantic(c: Column, threshold: float = 0.7, least: int = LEAST) -> Column:
-    return _arrow(lambda t: split_semantic(t, threshold, least))(c)
+    """Sentences joined until a neighbour shares too few words with the one before and the chunk holds `least` tokens; see `semantic_chunks` for vectors."""
+    said = F.filter(F.transform(T.sentences(F.coalesce(c, F.lit(""))), T.strip), lambda s: s != "")
+    words = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    marked = F.transform(said, lambda s: F.struct(s.alias("s"), words(s).alias("w")))
+    near = lambda m: F.transform(m, lambda x, i: F.struct(x["s"].alias("s"), F.when(i == 0, 1.0).otherwise(V.jaccard(F.get(m, i - 1)["w"], x["w"])).alias("near")))
+    return _let(marked, lambda m: fold_sentences(near(m), threshold, least))
+
+
+def fold_sentences(sentences: Column, threshold: float, least: int) -> Column:
+    """Chunks of an array of (s, near): sentences in order, each with its likeness to the one before."""
+    start = F.struct(_none().alias("done"), F.lit("").alias("held"))
+
+    def step(a: Column, x: Column) -> Column:
+        fresh = (x["near"] < threshold) & (a["held"] != "") & (T.token_count(a["held"]) >= least)
+        return F.when(fresh, F.struct(_with(a["done"], a["held"]).alias("done"), x["s"].alias("held"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["held"], x["s"]).alias("held")))
+
+    return F.aggregate(sentences, start, step, lambda a: _with(a["done"], a["held"]))
 
 
 def paragraph(c: Column, limit: int = LIMIT, least: int = LEAST) -> Column:
-    return _arrow(lambda t: split_paragraphs(t, limit, least))(c)
+    """Paragraphs packed up to `limit` tokens; a longer one is cut recursively."""
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n[\s\p{Z}\x{85}\x{1c}-\x{1f}]*\n", -1), T.strip), lambda p: p != "")
+    start = F.struct(_none().alias("done"), F.lit("").alias("held"))
+    state = lambda done, held: F.struct(done.alias("done"), held.alias("held"))
+
+    def step(a: Column, p: Column) -> Column:
+        joined = F.when(a["held"] == "", p).otherwise(F.concat_ws("\n", a["held"], p))
+        packed = _let(joined, lambda j: F.when(_over(j, F.length(j), limit), state(_with(a["done"], a["held"]), p)).otherwise(state(a["done"], j)))
+        return F.when(_over(p, F.length(p), limit), state(F.concat(_with(a["done"], a["held"]), recursive(p, limit, least)), F.lit(""))).otherwise(packed)
+
+    return F.aggregate(paragraphs, start, step, lambda a: _with(a["done"], a["held"]))
 
 
-def delimited(c: Column, limit: int = 128) -> Column:
-    return _arrow(lambda t: split_delimited(t, limit))(c)
+def merge(sections: Column, limit: int = 128) -> Column:
+    """Chunks (text, image) of an array of sections (text, tag, image).
+
+    Sections are appended until a chunk exceeds `limit` tokens, so it may overshoot. A section of TAGGED tokens or more carries its
+    tag unless the chunk has it already; a chunk keeps the image of the section that opened it. Empty chunks go.
+    """
+    made = lambda text, image: F.struct(text.alias("text"), image.alias("image"))
+    image = F.get(sections, F.lit(0))["image"]
+    none = F.slice(F.array(made(F.lit(""), image)), 1, 0)
+    start = F.struct(none.alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"), F.when(F.lit(False), image).alias("image"))
+
+    def step(a: Column, x: Column) -> Column:
+        text = F.coalesce(x["text"], F.lit(""))
+
+        def put(n: Column) -> Column:
+            tag = F.when(n >= TAGGED, F.coalesce(x["tag"], F.lit(""))).otherwise(F.lit(""))
+            tagged = lambda host: F.concat(text, F.when(F.contains(host, tag), F.lit("")).otherwise(tag))
+            fresh = F.struct(F.concat(a["done"], F.array(made(a["held"], a["image"]))).alias("done"), tagged(text).alias("held"), n.alias("n"), x["image"].alias("image"))
+            more = F.struct(a["done"].alias("done"), F.concat(a["held"], tagged(a["held"])).alias("held"), (a["n"] + n).alias("n"), a["image"].alias("image"))
+            return F.when(a["n"] > limit, fresh).otherwise(more)
+
+        return _let(T.token_count(text), put)
+
+    chunks = F.aggregate(sections, start, step, lambda a: F.concat(a["done"], F.array(made(a["held"], a["image"]))))
+    return F.filter(chunks, lambda x: x["text"] != "")
+
+
+def merge_sections(sections: DataFrame, limit: int = 128, id_col: str = "doc_id", order_col: str = "section_no", text_col: str = "text", tag_col: str | None = None, image_col: str | None = None) -> DataFrame:
+    """(id, chunk_index, content, image): a document's sections, one row each, merged in their order; see `merge`."""
+    tag = F.col(tag_col).cast("string") if tag_col else F.lit("")
+    image = F.col(image_col) if image_col else F.lit("").cast("string")
+    rows = sections.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("text"), tag.alias("tag"), image.alias("image")))).alias("__s"))
+    return rows.select(id_col, F.posexplode_outer(merge(F.col("__s"), limit)).alias("chunk_index", "__c")).where("__c is not null").select(id_col, "chunk_index", F.col("__c.text").alias("content"), F.col("__c.image").alias("image"))
 
 
 def naive(c: Column, limit: int = 128) -> Column:
     """Lines merged as sections without tags."""
-    return _arrow(lambda t: merge_sections([(x, "") for x in (t or "").split("\n")], limit) if t else [])(c)
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: F.struct(x.alias("text"), F.lit("").alias("tag"), F.lit("").alias("image")))
+    return F.transform(merge(lines, limit), lambda x: x["text"])
+
+
+def delimited(c: Column, limit: int = 128, delimiters: str = DELIMITERS) -> Column:
+    """Cut behind no delimiter but keep them, packed to at most `limit` half-characters where that can be."""
+    marks = "".join(f"\\x{{{ord(d):x}}}" for d in delimiters)
+    parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"[^{marks}]+|[{marks}]"), F.lit(0))
+    start = F.struct(_none().alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        half = F.floor(F.length(x) / 2).cast("int")
+        fresh = F.struct(_with(a["done"], a["held"]).alias("done"), x.alias("held"), half.alias("n"))
+        return F.when((a["n"] + half > limit) & (a["held"] != ""), fresh).otherwise(F.struct(a["done"].alias("done"), F.concat(a["held"], x).alias("held"), (a["n"] + half).alias("n")))
+
+    return F.aggregate(parts, start, step, lambda a: _with(a["done"], a["held"]))
 
 
 def fixed(c: Column, limit: int = 128, overlap: int = 20) -> Column:
@@ -207,11 +198,36 @@ def register(name: str, builder: Callable[..., Column]) -> None:
 def chunk(docs: DataFrame, strategy: str = "recursive", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, chunk_index, chunk_id, content, token_count): chunks that aren't blank; indices keep their gaps."""
     pieces = STRATEGIES.get(strategy, recursive)(F.col(text_col), **options)
-    rows = docs.select(id_col, pieces.alias("__pieces")).select(id_col, F.posexplode("__pieces").alias("chunk_index", "content"))
+    return _rows(docs.select(id_col, pieces.alias("__pieces")), id_col)
+
+
+def _rows(pieces: DataFrame, id_col: str) -> DataFrame:
+    """Arrays of chunks as rows with their ids and sizes."""
+    # posexplode_outer: for posexplode Spark would first filter by the size of the array, and cut every text once more for that
+    rows = pieces.select(id_col, F.posexplode_outer("__pieces").alias("chunk_index", "content"))
     rows = rows.where(T.strip(F.col("content")) != "")
     return rows.select(id_col, "chunk_index", T.chunk_id(F.col("chunk_index"), F.col("content")).alias("chunk_id"), "content", T.token_count(F.col("content")).alias("token_count"))
 
 
+def semantic_chunks(docs: DataFrame, make: Callable[[], object], threshold: float = 0.7, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The semantic strategy by vectors: the columns of `chunk`.
+
+    Sentences become rows, each different one is embedded once by the provider that `make` gives, and a sentence's likeness is its
+    cosine with the one before; one without a vector (the provider failed) is unlike. Rows that repeat an id are documents of their own.
+    """
+    from lectern.operators import embed
+
+    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    said = F.filter(F.transform(T.sentences(F.col("__t")), T.strip), lambda s: s != "")
+    sentences = rows.select(id_col, "__row", F.posexplode_outer(said).alias("__i", "s")).where("s is not null")
+    made = embed.vectorise(sentences, make, "s", "__v")
+    before = Window.partitionBy("__row").orderBy("__i")
+    near = F.when(F.col("__i") == 0, 1.0).otherwise(F.coalesce(V.cosine(F.lag("__v").over(before), F.col("__v")), F.lit(0.0)))
+    told = made.withColumn("near", near).groupBy("__row", id_col).agg(F.array_sort(F.collect_list(F.struct("__i", "s", "near"))).alias("__s"))
+    pieces = told.select(id_col, fold_sentences(F.transform("__s", lambda x: F.struct(x["s"].alias("s"), x["near"].alias("near"))), threshold, least).alias("__pieces"))
+    return _rows(pieces, id_col)
+
+
 def process(docs: DataFrame, strategy: str = "recursive", clean: bool = True, drop_noise: bool = True, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Cleaned texts in chunks, those that are noise dropped."""
     if clean:

@@ -33,6 +33,16 @@ class HashingEmbedder:
         return out
 
 
+class LetterCounts:
+    """How often a text has each of some letters, in either case: vectors that can be told by hand."""
+
+    def __init__(self, letters: str):
+        self.letters, self.dimension, self.name = letters, len(letters), f"letters-{letters}"
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in self.letters] for t in texts]
+
+
 def vector_field(dimension: int) -> str:
     return f"q_{dimension}_vec"
 

@@ -232,32 +232,48 @@ def chunk_sentence(spark, sf):
     return _chunks(spark, sf, "sentence")
 
 
-@query()
+@query(O.CHUNK_RECURSIVE)
 def chunk_recursive(spark, sf):
     return _chunks(spark, sf, "recursive")
 
 
-@query()
+@query(O.CHUNK_SEMANTIC)
 def chunk_semantic(spark, sf):
     return _chunks(spark, sf, "semantic")
 
 
-@query()
+@query(O.CHUNK_PARAGRAPH)
 def chunk_paragraph(spark, sf):
-    return _chunks(spark, sf, "paragraph")
+    """Every line a paragraph of its own."""
+    docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n \n"))
+    return chunk.chunk(docs, "paragraph").select("doc_id", "chunk_index", "chunk_id", "token_count", F.md5("content").alias("digest"))
 
 
-@query()
+@query(O.CHUNK_SEMANTIC_VECTORS)
+def chunk_semantic_vectors(spark, sf):
+    """Semantic chunks by a provider's vectors: counts of five letters."""
+    out = chunk.semantic_chunks(table(spark, sf, "documents"), lambda: embed.LetterCounts("aeiou"), 0.95)
+    return out.select("doc_id", "chunk_index", "chunk_id", "token_count", F.md5("content").alias("digest"))
+
+
+@query(O.CHUNK_SECTIONS)
+def chunk_sections(spark, sf):
+    """Turns of conversations merged as sections, tagged by role."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_no"), "text", F.concat(F.lit("@"), "role").alias("tag"))
+    return chunk.merge_sections(turns, tag_col="tag").select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query(O.CHUNK_NAIVE)
 def chunk_naive_merge(spark, sf):
     return _chunks(spark, sf, "naive")
 
 
-@query()
+@query(O.CHUNK_DELIMITED)
 def chunk_delimited(spark, sf):
     return _chunks(spark, sf, "delimited")
 
 
-@query()
+@query(O.CHUNK_PROCESS)
 def chunk_process(spark, sf):
     return chunk.process(table(spark, sf, "documents"))
 

@@ -114,6 +114,60 @@ CHUNK_SENTENCE = (
 c AS (SELECT doc_id, i::INT AS chunk_index, array_to_string(l[i * 5 + 1 : i * 5 + 5], '') AS content FROM (SELECT *, unnest(range(0, ((len(l) - 1) // 5) + 1)) AS i FROM s))"""
     + CHUNK_OUT
 )
+SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", ", ", " "]
+
+
+def _cut_up(source: str) -> str:
+    """CTE r(doc_id, k, pos, p, leaf): rows (doc_id, k, p) of a source cut until every leaf has at most 256 tokens."""
+    places = "list_filter(list_transform([" + ", ".join(quoted(x).replace("\n", "' || chr(10) || '") for x in SEPARATORS) + f"], lambda x: {{'a': strpos(p, x), 'w': length(x)}}), lambda y: y.a > 0 AND {tok('substr(p, 1, y.a - 1)')} >= 20)[1]"
+    return f"""r AS (SELECT doc_id, k, 1::BIGINT AS pos, p, {tok('p')} <= 256 AS leaf FROM {source} UNION ALL
+SELECT doc_id, k, pos2, p2, {tok('p2')} <= 256 FROM (SELECT doc_id, k, unnest([pos, pos + coalesce(y.a + y.w - 1, length(p) // 2)]) AS pos2, unnest([substr(p, 1, coalesce(y.a - 1, length(p) // 2)), substr(p, coalesce(y.a + y.w, length(p) // 2 + 1))]) AS p2 FROM (SELECT *, {places} AS y FROM r WHERE NOT leaf))),
+c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, pos) - 1)::INT AS chunk_index, p AS content FROM r WHERE leaf)"""
+
+
+def _folded(items: str, step: str, source: str = "documents") -> str:
+    """CTEs l(doc_id, l) and g: a fold over a list, with the state (i, held, n, k); u has every k's last state."""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, {items} AS l FROM {source}),
+g AS (SELECT doc_id, 0::BIGINT AS i, '' AS held, 0 AS n, 0 AS k, false AS big FROM l UNION ALL SELECT {step} FROM g JOIN l USING (doc_id) WHERE i < len(l)),
+u AS (SELECT doc_id, k, arg_max(held, i) AS p FROM g GROUP BY doc_id, k HAVING arg_max(held, i) <> '')"""
+
+
+_INDEXED = "c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, p AS content FROM u)"
+CHUNK_RECURSIVE = "WITH RECURSIVE d AS (SELECT doc_id, 0 AS k, text AS p FROM documents WHERE text <> ''), " + _cut_up("d") + CHUNK_OUT
+CHUNK_PROCESS = (
+    f"WITH RECURSIVE d AS (SELECT doc_id, 0 AS k, {cleaned('text')} AS p FROM documents), e AS (SELECT * FROM d WHERE p <> ''), " + _cut_up("e")
+    + CHUNK_OUT.replace("md5(content) AS digest", "content") + f" AND NOT {noise('content')}"
+)
+CHUNK_NAIVE = _folded("string_split(text, chr(10))", f"doc_id, i + 1, CASE WHEN n > 128 THEN l[i + 1] ELSE held || l[i + 1] END, CASE WHEN n > 128 THEN 0 ELSE n END + {tok('l[i + 1]')}, k + (n > 128)::INT, false") + ", " + _INDEXED + CHUNK_OUT
+CHUNK_DELIMITED = (
+    _folded("regexp_extract_all(text, '[^\\n!?;。；！？]+|[\\n!?;。；！？]')", "doc_id, i + 1, CASE WHEN w THEN x ELSE held || x END, CASE WHEN w THEN 0 ELSE n END + length(x) // 2, k + w::INT, false")
+    .replace("FROM g JOIN l USING (doc_id) WHERE i < len(l))", "FROM (SELECT *, l[i + 1] AS x, n + length(l[i + 1]) // 2 > 128 AND held <> '' AS w FROM g JOIN l USING (doc_id) WHERE i < len(l)))")
+    + ", " + _INDEXED + CHUNK_OUT
+)
+_PARAGRAPHS = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n', chr(10) || ' ' || chr(10), 'g'), '\n[\s\p{{Z}}]*\n', chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+CHUNK_PARAGRAPH = (
+    _folded(_PARAGRAPHS, "doc_id, i + 1, CASE WHEN w OR held = '' THEN x ELSE held || chr(10) || x END, 0, k + w::INT, now")
+    .replace("FROM g JOIN l USING (doc_id) WHERE i < len(l))", f"FROM (SELECT *, now OR (held <> '' AND (big OR {tok('held || chr(10) || x')} > 256)) AS w FROM (SELECT *, l[i + 1] AS x, {tok('l[i + 1]')} > 256 AS now FROM g JOIN l USING (doc_id) WHERE i < len(l))))")
+    + ", " + _cut_up("u") + CHUNK_OUT
+)
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+def _semantic(near: str, threshold: float) -> str:
+    """Chunks of sentences; near: likeness of sentences x and y."""
+    fold = _folded(_SENTENCES, "doc_id, i + 1, CASE WHEN w THEN y ELSE held || y END, 0, k + w::INT, false")
+    return fold.replace("FROM g JOIN l USING (doc_id) WHERE i < len(l))", f"FROM (SELECT *, i > 0 AND {near} < {threshold} AND {tok('held')} >= 20 AS w FROM (SELECT *, l[i] AS x, l[i + 1] AS y FROM g JOIN l USING (doc_id) WHERE i < len(l))))") + ", " + _INDEXED + CHUNK_OUT
+
+
+_WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+_LETTERS = "[" + ", ".join(f"(length({{0}}) - length(replace(lower({{0}}), '{c}', '')))::DOUBLE" for c in "aeiou") + "]"
+CHUNK_SEMANTIC = _semantic(f"CASE WHEN len({_WORDS.format('x')}) = 0 OR len({_WORDS.format('y')}) = 0 THEN 0.0 ELSE len(list_intersect({_WORDS.format('x')}, {_WORDS.format('y')})) / len(list_distinct(list_concat({_WORDS.format('x')}, {_WORDS.format('y')})))::DOUBLE END", 0.7)
+CHUNK_SEMANTIC_VECTORS = _semantic(f"CASE WHEN list_sum({_LETTERS.format('x')}) = 0 OR list_sum({_LETTERS.format('y')}) = 0 THEN 0.0 ELSE list_cosine_similarity({_LETTERS.format("coalesce(x, 'a')")}, {_LETTERS.format('y')}) END", 0.95)
+CHUNK_SECTIONS = (
+    _folded("list({'t': coalesce(text, ''), 'g': '@' || role} ORDER BY turn)", "doc_id, i + 1, CASE WHEN w THEN '' ELSE held END || x.t || CASE WHEN m >= 8 AND NOT contains(CASE WHEN w THEN x.t ELSE held END, x.g) THEN x.g ELSE '' END, CASE WHEN w THEN 0 ELSE n END + m, k + w::INT, false", "(SELECT conv_id AS doc_id, text, role, turn FROM conversations) GROUP BY doc_id")
+    .replace("FROM g JOIN l USING (doc_id) WHERE i < len(l))", f"FROM (SELECT *, n > 128 AS w, {tok('x.t')} AS m FROM (SELECT *, l[i + 1] AS x FROM g JOIN l USING (doc_id) WHERE i < len(l))))")
+    + ", " + _INDEXED + " SELECT doc_id, chunk_index, md5(content) AS digest FROM c"
+)
 CHUNK_STATS = FIXED + f", k AS (SELECT lang, {tok('content')} AS t FROM c WHERE regexp_matches(content, '[^\\s\\p{{Z}}]')) SELECT lang, count(*) AS total_chunks, round(avg(t), 6) AS avg_tokens, min(t) AS min_tokens, max(t) AS max_tokens, sum(t)::BIGINT AS total_tokens FROM k GROUP BY lang"
 
 POSTS = r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9\s]', ' ', 'g') AS k FROM documents),

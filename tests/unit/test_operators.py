@@ -71,29 +71,9 @@ def test_html_and_json():
 
 
 def test_chunks(spark):
-    assert chunk.split_recursive("a" * 80 + "\n" + "b" * 1000) == ["a" * 80, "b" * 1000]
-    assert chunk.split_recursive("a" * 2000) == ["a" * 1000, "a" * 1000]
-    text = "One two three. Four five! Six?\nSeven; eight, nine " * 300
-
-    def slow(t, limit=40, least=20):
-        if chunk.estimate(t) <= limit:
-            return [t]
-        for s in chunk.SEPARATORS:
-            left, sep, right = t.partition(s)
-            if sep and chunk.estimate(left) >= least:
-                return slow(left) + slow(right)
-        return slow(t[: len(t) // 2]) + slow(t[len(t) // 2 :])
-
-    assert chunk.split_recursive(text, 40, 20) == slow(text)
-    assert all(chunk.estimate(c) <= 40 for c in chunk.split_recursive(text, 40, 20))
     assert "".join(values(spark, ["x" * 1300], lambda c: chunk.fixed(c, overlap=0))[0]) == "x" * 1300
     assert [len(c) for c in values(spark, ["x" * 1300], chunk.fixed)[0]] == [512, 512, 436]
     assert values(spark, ["a. b. c. d. e. f."], chunk.sentence) == [["a.b.c.d.e.", "f."]]
-    assert chunk.split_paragraphs("a\n\nb\n \nc", 256) == ["a\nb\nc"]
-    assert chunk.merge_sections([("x" * 600, "@1"), ("y" * 40, "@2")], 128) == ["x" * 600 + "@1", "y" * 40 + "@2"]
-    assert chunk.merge_with_images([("x" * 600, "i"), ("y", "j")], 128) == [("x" * 600, None), ("y", "j")]
-    assert chunk.split_delimited("abc;def", 1) == ["abc;", "def"]
-    assert chunk.split_semantic("cat sat. " * 12 + "dogs ran off!") != []
     none = chunk.chunk(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id int, text string"))
     assert none.count() == 0 and chunk.statistics(none).first().asDict() == {"total_chunks": 0, "avg_tokens": 0, "min_tokens": 0, "max_tokens": 0, "total_tokens": 0}
 
