@@ -179,8 +179,8 @@ def _scan(phrases, with_text: bool, clean: bool):
     """One pass: adds the block's hits to the spans (of words) and items so far."""
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
+    @W.tidy
     def run(batches):
-        W.settle()
         p = phrases.value
         for batch in batches:
             _, offs = W.text_buffer(batch.column(1))

@@ -99,10 +99,10 @@ def _requests(w: int, buckets: int):
         own = np.where(known, n, -1 - n)  # a null id is marked by a negative size
         yield home, home % buckets, token[at].tobytes(), doc[at].astype(np.uint32).tobytes(), None, None, np.stack([np.asarray(x.fill_null(0).to_numpy(zero_copy_only=False), np.int64) for x in (ids, batch.column(2))], axis=1).tobytes(), own.tobytes(), np.ascontiguousarray(sums).tobytes()
 
+    @W.tidy
     def run(batches):
         from pyspark import TaskContext
 
-        W.settle()
         home = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offs = W.text_buffer(batch.column(1))
@@ -260,8 +260,8 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, den: int)
 
 
 def _verify(w: int, percent: int, den: int):
+    @W.tidy
     def run(batches):
-        W.settle()
         held_ids, held_sets, now = [], [], None
 
         def flush():

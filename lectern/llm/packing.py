@@ -111,8 +111,8 @@ def encoder(path: str, end_id: int = 0) -> WordEncoder:
 
 
 def _cut_pieces(path: str, cap: int, end_id: int):
+    @W.tidy
     def run(batches):
-        W.settle()
         enc = encoder(path, end_id)
         for batch in batches:
             _, offs = W.text_buffer(batch.column(1))

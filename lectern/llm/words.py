@@ -57,7 +57,7 @@ def step_one(h: int, c: int) -> int:
     return ((h ^ (c + 1)) * _BASE & _MASK) ^ (h >> 29)
 
 
-_settled: list[bool] = []
+_settled: list = []
 
 
 def settle() -> None:
@@ -68,7 +68,6 @@ def settle() -> None:
 
     if _settled:
         return
-    _settled.append(True)
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
         lib = ctypes.CDLL(path)
         for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
@@ -76,11 +75,32 @@ def settle() -> None:
                 getattr(lib, name)(1)
                 break
     libc = ctypes.CDLL(None)
+    _settled.append(libc)
     if hasattr(libc, "mallopt"):  # glibc: M_MMAP_THRESHOLD and M_TRIM_THRESHOLD
         libc.mallopt(-3, 1 << 25)
         libc.mallopt(-1, 1 << 26)
 
 
+def tidy(run):
+    """A task's function over batches that settles the worker first and gives freed memory back at the end: idle workers stay beside later stages."""
+
+    def tidied(batches):
+        settle()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    settle()
+    if hasattr(_settled[0], "malloc_trim"):
+        _settled[0].malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
