@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.vectors import clamp
+from lectern.operators.relational import touching
 
 K1, B = 1.5, 0.75
 DELTA = {"plus": 1.0, "l": 0.5}
@@ -55,13 +56,13 @@ def parse_or_query(query: str) -> list[str]:
 def expand_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(term, expanded): each term with the synonyms of entries that equal or contain it, or lie in it.
 
-    An entry whose synonym matches so adds its word too. Entries are a dictionary, sent to all tasks.
+    An entry whose synonym matches so adds its word too. Terms meet names by shared grams, so a dictionary may be of any size.
     """
-    touches = lambda a, b: (F.instr(a, b) > 0) | (F.instr(b, a) > 0)
-    by_word = touches(F.col("word"), F.col("term"))
-    by_synonym = F.exists("synonyms", lambda s: touches(s, F.col("term")))
-    hit = terms.select("term").join(F.broadcast(synonyms), by_word | by_synonym)
-    added = F.when(by_synonym, F.concat(F.array("word"), F.col("synonyms"))).otherwise(F.col("synonyms"))
+    entries = synonyms.select("word", "synonyms", F.md5(F.to_json(F.struct("word", "synonyms"))).alias("__entry"))
+    names = entries.select("__entry", F.explode(F.concat(F.array(F.struct(F.col("word").alias("name"), F.lit(False).alias("by"))), F.transform("synonyms", lambda s: F.struct(s.alias("name"), F.lit(True).alias("by"))))).alias("n")).select("__entry", "n.name", "n.by")
+    pairs = touching(terms.select("term"), names, "term", "name")
+    hit = pairs.join(names, "name").groupBy("term", "__entry").agg(F.max("by").alias("by")).join(entries, "__entry")
+    added = F.when(F.col("by"), F.concat(F.array("word"), F.col("synonyms"))).otherwise(F.col("synonyms"))
     more = hit.select("term", F.explode(added).alias("expanded"))
     return terms.select("term", F.col("term").alias("expanded")).unionByName(more).distinct()
 

@@ -7,7 +7,6 @@ State machines over lines are windows of one document: islands by a running sum
 from __future__ import annotations
 
 import html
-import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -190,36 +189,51 @@ def html_main(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["title", "lines"])
 
 
-def lists_to_objects(value):
-    """JSON with every list as an object item_0, item_1, ..."""
-    if isinstance(value, list):
-        value = {f"item_{i}": x for i, x in enumerate(value)}
-    return {k: lists_to_objects(x) for k, x in value.items()} if isinstance(value, dict) else value
-
-
-def split_json(text: str | None, max_size: int = 2000) -> list[str]:
-    """Top-level keys packed into objects whose values are at most twice max_size characters, where that can be."""
-    try:
-        data = lists_to_objects(json.loads(text or ""))
-    except ValueError:
-        return []
-    dumps = lambda x: json.dumps(x, ensure_ascii=False)
-    if not isinstance(data, dict):
-        return [dumps(data)] if data else []
-    out, held, size = [], {}, 0
-    for k, v in data.items():
-        n = len(dumps(v))
-        if held and size + n > 2 * max_size:
-            out.append(dumps(held))
-            held, size = {}, 0
-        held[k] = v
-        size += n
-    return out + [dumps(held)] * bool(held)
+def lists_to_objects(c: Column) -> Column:
+    """JSON text with every list as an object item_0, item_1, ..., and blanks behind commas and colons alone.
+
+    A fold over the text's tokens: the state has the containers that are open (for a list the number of its next item, else -1) and the
+    text so far, in runs of some thousand characters.
+    """
+    found = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\[\]{},:"\s]+'), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.array().cast("array<int>").alias("open"))
+
+    def step(a: Column, t: Column) -> Column:
+        top = F.when(F.size(a["open"]) > 0, F.element_at(a["open"], -1)).otherwise(F.lit(-1))
+        below = F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))
+        counted = F.when(top >= 0, F.concat(below, F.array(top + 1))).otherwise(a["open"])
+        item = F.when(top >= 0, F.concat(F.lit('"item_'), top.cast("string"), F.lit('": '))).otherwise(F.lit(""))
+        said = F.when(t == ",", F.lit(", ")).when(t == ":", F.lit(": ")).when(t.isin("]", "}"), F.lit("}")).when(t.isin("[", "{"), F.concat(item, F.lit("{"))).otherwise(F.concat(item, t))
+        now = F.when(t.isin(",", ":"), a["open"]).when(t.isin("]", "}"), below).when(t == "[", F.concat(counted, F.array(F.lit(0)))).when(t == "{", F.concat(counted, F.array(F.lit(-1)))).otherwise(counted)
+        full = F.length(a["held"]) > 4000
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]).alias("done"), F.when(full, said).otherwise(F.concat(a["held"], said)).alias("held"), now.alias("open"))
+
+    return F.aggregate(found, start, step, lambda a: F.concat(F.array_join(a["done"], ""), a["held"]))
 
 
 def json_sections(c: Column, max_size: int = 2000) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_json(t, max_size))
+    """Top-level keys, in their order, packed into objects whose values are at most twice max_size characters, where that can be.
 
-    return run(c)
+    Values are variants, lists become objects. Text that isn't JSON, null, and scalars that are null, false, zero or empty have no sections;
+    any other scalar is one.
+    """
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    value = lambda v: lists_to_objects(F.to_json(v))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    text, kind = F.trim(c), F.substring(F.trim(c), 1, 1)
+    of_object = F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), lambda e: entry(e["key"], value(e["value"])))
+    of_list = F.transform(F.from_json(text, "array<variant>"), lambda v, i: entry(F.concat(F.lit("item_"), i.cast("string")), value(v)))
+    entries = F.when(kind == "{", of_object).when(kind == "[", of_list)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
+    whole = lambda held: F.concat(F.lit("{"), held, F.lit("}"))
+
+    def step(a: Column, e: Column) -> Column:
+        pair, n = F.concat(quoted(e["k"]), F.lit(": "), e["v"]), F.length(e["v"])
+        full = (a["held"] != "") & (a["n"] + n > 2 * max_size)
+        fresh = F.struct(F.concat(a["done"], F.array(whole(a["held"]))).alias("done"), pair.alias("held"), n.alias("n"))
+        return F.when(full, fresh).otherwise(F.struct(a["done"].alias("done"), F.concat(a["held"], F.when(a["held"] == "", F.lit("")).otherwise(F.lit(", ")), pair).alias("held"), (a["n"] + n).alias("n")))
+
+    none = F.array().cast("array<string>")
+    packed = F.aggregate(entries, start, step, lambda a: F.when(a["held"] == "", none).otherwise(F.concat(a["done"], F.array(whole(a["held"])))))
+    scalar = F.when(text.isin("null", "false", '""') | text.rlike(r"^-?0+(\.0+)?([eE].*)?$"), none).otherwise(F.array(text))
+    return F.when(F.try_parse_json(text).isNull(), none).when(kind.isin("{", "["), packed).otherwise(scalar)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import answer, chunk, embed, hybrid, inverted, lexical, parse, pipeline, prompt, questions, rewrite, vector
+from lectern.operators import answer, chunk, embed, hybrid, inverted, lexical, parse, pipeline, prompt, questions, relational, rewrite, vector
 from lectern.plans import oracles as O
 from lectern.sources import files, store
 from lectern.streaming import ingest
@@ -198,9 +198,11 @@ def markdown_sections(spark, sf):
     return sections.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("text")), "\n")).alias("digest"))
 
 
-@query()
+@query(O.JSON_SECTIONS)
 def json_sections(spark, sf):
-    return table(spark, sf, "events").select("event_id", parse.json_sections(F.col("props"), 10).alias("sections"))
+    """Events as JSON with nested lists, their keys packed into objects of up to 50 characters."""
+    made = F.concat(F.lit('{"id":'), "event_id", F.lit(', "props": '), "props", F.lit(',"tags" : ["'), "event_type", F.lit('", ['), "user_id", F.lit(', {"v": '), F.col("event_id") % 7, F.lit("}], []]}"))
+    return table(spark, sf, "events").select("event_id", F.array_join(parse.json_sections(made, 25), ";").alias("sections"))
 
 
 @query(O.PARSE_DOCUMENTS)
@@ -526,6 +528,39 @@ def reading_order(spark, sf):
     return hybrid.in_reading_order(hits, by="l_orderkey", key="l_linenumber").select("l_orderkey", "l_linenumber", "place")
 
 
+# --- joins and ranks --------------------------------------------------------------------------------
+
+
+@query(O.NAME_PAIRS)
+def substring_pairs(spark, sf):
+    """Part names and the words of part types that lie in them, or they in."""
+    words = table(spark, sf, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).unionByName(table(spark, sf, "part").select(F.concat(F.substring(F.lower("p_name"), 2, 4)).alias("word")))
+    return relational.touching(table(spark, sf, "part").select(F.lower("p_name").alias("name")), words, "name", "word")
+
+
+@query(O.IN_TRANSIT)
+def orders_in_transit(spark, sf):
+    """For every order date, how many orders are between their first and last shipment, and the least of them."""
+    spans = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    days = table(spark, sf, "orders").select(F.col("o_orderdate").alias("day")).distinct()
+    return relational.range_join(days, spans, "day", "first_ship", "last_ship").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("least"))
+
+
+@query(O.FIRST_IN_TRANSIT)
+def first_in_transit(spark, sf):
+    """Every order with the least order of the same customer that was in transit on its date."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    spans = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    spans = spans.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return relational.range_join(orders, spans, "o_orderdate", "first_ship", "last_ship", keys=("o_custkey",), first="l_orderkey").select("o_orderkey", "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem")
+def rank_all(spark, sf):
+    """Every line's rank by price over the whole table."""
+    return relational.rank_all(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")).select("l_orderkey", "l_linenumber", "rank")
+
+
 # --- tables of questions ---------------------------------------------------------------------------
 
 

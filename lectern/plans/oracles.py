@@ -170,6 +170,15 @@ CHUNK_SECTIONS = (
 )
 CHUNK_STATS = FIXED + f", k AS (SELECT lang, {tok('content')} AS t FROM c WHERE regexp_matches(content, '[^\\s\\p{{Z}}]')) SELECT lang, count(*) AS total_chunks, round(avg(t), 6) AS avg_tokens, min(t) AS min_tokens, max(t) AS max_tokens, sum(t)::BIGINT AS total_tokens FROM k GROUP BY lang"
 
+JSON_SECTIONS = """WITH e AS (SELECT event_id, event_id::VARCHAR AS i, props AS p, '{"item_0": "' || event_type || '", "item_1": {"item_0": ' || user_id || ', "item_1": {"v": ' || (event_id % 7) || '}}, "item_2": {}}' AS t FROM events),
+f AS (SELECT *, length(i) + length(p) > 50 AS a FROM e), g AS (SELECT *, CASE WHEN a THEN 0 ELSE length(i) END + length(p) + length(t) > 50 AS b FROM f)
+SELECT event_id, '{"id": ' || i || CASE WHEN a THEN '};{' ELSE ', ' END || '"props": ' || p || CASE WHEN b THEN '};{' ELSE ', ' END || '"tags": ' || t || '}' AS sections FROM g"""
+NAME_PAIRS = """WITH w AS (SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION SELECT substr(lower(p_name), 2, 4) FROM part), n AS (SELECT DISTINCT lower(p_name) AS name FROM part)
+SELECT name, word FROM n, w WHERE contains(name, word) OR contains(word, name)"""
+_SPANS = "s AS (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY l_orderkey)"
+IN_TRANSIT = f"WITH {_SPANS}, d AS (SELECT DISTINCT o_orderdate AS day FROM orders) SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, min(l_orderkey) AS least FROM d JOIN s ON day BETWEEN a AND b GROUP BY day"
+FIRST_IN_TRANSIT = f"WITH {_SPANS} SELECT o.o_orderkey, min(s.l_orderkey) AS l_orderkey FROM orders o JOIN orders p ON o.o_custkey = p.o_custkey JOIN s ON s.l_orderkey = p.o_orderkey AND o.o_orderdate BETWEEN a AND b GROUP BY o.o_orderkey"
+
 POSTS = r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9\s]', ' ', 'g') AS k FROM documents),
 l AS (SELECT doc_id, list_distinct(list_concat(list_concat(regexp_extract_all(k, '[\x{4e00}-\x{9fff}]{2,}'), regexp_extract_all(lower(k), '[a-z]{2,}')), regexp_extract_all(k, '[0-9]+'))) AS terms FROM t),
 p AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM l WHERE len(terms) > 0),

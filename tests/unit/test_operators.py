@@ -1,7 +1,6 @@
 """Hand-derived values of single operators."""
 
 import io
-import json
 import zipfile
 
 import pytest
@@ -63,11 +62,8 @@ def test_markdown(spark):
     assert [r.data for r in tables.orderBy("line_no").collect()] == [[["a", "b"], ["1", "2"]], [["p"]]]
 
 
-def test_html_and_json():
+def test_html():
     assert parse.html_to_text("<html><script>x</script><nav>n</nav><p>a &amp; b</p><!-- c --><p>d</p></html>") == "a & b\nd"
-    assert json.loads(parse.split_json('[1,{"a":[2]}]')[0]) == {"item_0": 1, "item_1": {"a": {"item_0": 2}}}
-    assert len(parse.split_json(json.dumps({f"k{i}": "x" * 15 for i in range(10)}), 20)) == 5
-    assert parse.split_json("no json") == []
 
 
 def test_chunks(spark):
