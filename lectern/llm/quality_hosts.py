@@ -1,14 +1,15 @@
 """Host-level quality rules: failures by host, shrunk by an empirical beta prior, joined back to documents.
 
 Rules are counts over whole texts, as DataFrame expressions. A host's failure rate (f of n documents)
-is shrunk to (f + a) / (n + a + b); a and b come from the mean and variance of the hosts' rates
-(method of moments), so that a host with few documents is judged mostly by the others. A host whose
-shrunk rate exceeds `limit` is rejected as a whole.
+is shrunk to (f + a) / (n + a + b); a and b come from the mean of all documents and from how much more hosts' rates differ than
+chance alone would have them (method of moments, the binomial part taken off), so that a host with few documents is judged mostly by
+the others, and hosts that don't differ are judged alike. A host whose shrunk rate exceeds `limit` is rejected as a whole.
 
 Counts per document are checkpointed, so texts are read once; failures are summed before the shuffle.
 
-Defined cases: a null text has no words and fails; a null host is one host of its own; repeated rows
-count and come out once each; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has no words and fails; a null host is one host of its own; null ids stay null; repeated rows
+count and come out once each; very long texts are counted whole; a host at the limit itself is kept; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of a window, the least words of a text, and the most percent of its words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: Bounds on the strength a + b of the prior.
-LEAST_PRIOR, MOST_PRIOR = 2.0, 10_000.0
 
 
 def with_counts(docs: DataFrame, text: Column) -> DataFrame:
@@ -58,14 +57,23 @@ def with_counts(docs: DataFrame, text: Column) -> DataFrame:
 def host_verdicts(counts: DataFrame, host: str, failed: str, limit: float) -> DataFrame:
     """(host, host_docs, host_failed, host_rate, host_ok) of each host; host_rate is the shrunk one."""
     hosts = counts.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    mean, var = hosts.agg(F.avg(rate), F.var_samp(rate)).first()
-    mean, var = mean or 0.0, var or 0.0
-    strength = min(MOST_PRIOR, max(LEAST_PRIOR, mean * (1 - mean) / var - 1)) if var > 0 else MOST_PRIOR
-    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
+    n, f = F.col("host_docs"), F.col("host_failed")
+    k, docs, fails, squares, spread = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(f), F.sum((n * n).cast("double")), F.sum(f * f / n)).first()
+    mean = fails / docs if docs else 0.0
+    share = _likeness(k, docs or 0, mean, squares or 0.0, spread or 0.0)
+    shrunk = (f * F.lit(share) + F.lit(mean * (1 - share))) / (n * F.lit(share) + F.lit(1 - share))
     return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
 
 
+def _likeness(k: int, docs: int, mean: float, squares: float, spread: float) -> float:
+    """How alike documents of one host are, 1 / (a + b + 1), from 0 (hosts don't differ) to 1: by moments, hosts weighted by
+    their documents. squares: sum of n * n, spread: sum of f * f / n. Hosts of one document each tell nothing of it, so it is 0."""
+    noise, room = mean * (1 - mean), docs - squares / docs - (k - 1) if docs else 0.0
+    if noise <= 0 or room <= 1e-9:
+        return 0.0
+    return min(1.0, max(0.0, ((spread - mean * mean * docs) / noise - (k - 1)) / room))
+
+
 def judge(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", text_key: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, kept) for each row.
 
@@ -95,9 +103,9 @@ m AS (
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN lines ON d.doc_id = lines.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS bad FROM f GROUP BY source),
-p AS (SELECT avg(bad / n) AS mu, coalesce(var_samp(bad / n), 0) AS v FROM h),
-k AS (SELECT mu, CASE WHEN v > 0 THEN least(10000, greatest(2, mu * (1 - mu) / v - 1)) ELSE 10000 END AS s FROM p),
-r AS (SELECT source, (bad + mu * s) / (n + s) AS host_rate FROM h, k)
+p AS (SELECT count(*) AS hosts, sum(n)::DOUBLE AS docs, sum(bad) / sum(n) AS mu, sum(n * n)::DOUBLE AS sq, sum(bad * bad / n) AS spread FROM h),
+k AS (SELECT mu, CASE WHEN mu * (1 - mu) <= 0 OR docs - sq / docs - (hosts - 1) <= 1e-9 THEN 0 ELSE least(1, greatest(0, ((spread - mu * mu * docs) / (mu * (1 - mu)) - (hosts - 1)) / (docs - sq / docs - (hosts - 1)))) END AS s FROM p),
+r AS (SELECT source, (bad * s + mu * (1 - s)) / (n * s + (1 - s)) AS host_rate FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 9) AS host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """

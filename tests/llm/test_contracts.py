@@ -343,3 +343,19 @@ def test_empty_tables(spark):
     path = queries.tokenizer("word_bpe_49k.json")
     for df in (packing.pack(none, path), ngram_join.jaccard_components(none), shard_tree.shard(none), quality_hosts.judge(none), decontaminate.scan(none, spark.createDataFrame([(1, "a b")], "item_id long, text string"))):
         assert df.count() == 0
+
+
+def test_quality_prior_is_free_of_noise(spark):
+    """Hosts of two documents that fail by one chance are judged alike; hosts that differ keep their own rates."""
+    rng = np.random.default_rng(4)
+    alike = spark.createDataFrame([(f"h{i}", bool(x)) for i in range(5000) for x in rng.random(2) < 0.2], "host string, failed boolean")
+    rates = [r.host_rate for r in quality_hosts.host_verdicts(alike, "host", "failed", 0.5).collect()]
+    assert max(rates) - min(rates) < 0.1 and abs(np.mean(rates) - 0.2) < 0.02
+    apart = spark.createDataFrame([(f"h{i}", i % 2 == 0) for i in range(100) for _ in range(20)], "host string, failed boolean")
+    assert {round(r.host_rate, 6) for r in quality_hosts.host_verdicts(apart, "host", "failed", 0.5).collect()} == {0.0, 1.0}
+    p = rng.beta(2, 6, 4000)
+    mixed = spark.createDataFrame([(f"h{i}", bool(rng.random() < q)) for i, q in enumerate(p) for _ in range(6)], "host string, failed boolean")
+    got = {r.host: (r.host_failed, r.host_rate) for r in quality_hosts.host_verdicts(mixed, "host", "failed", 0.5).collect()}
+    assert max(abs(rate - (f + 2) / (6 + 8)) for f, rate in got.values()) < 0.03
+    single = spark.createDataFrame([(f"h{i}", i < 3) for i in range(10)], "host string, failed boolean")
+    assert {round(r.host_rate, 9) for r in quality_hosts.host_verdicts(single, "host", "failed", 0.5).collect()} == {0.3}
