@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import answer, chunk, embed, hybrid, inverted, lexical, parse, pipeline, prompt, questions, relational, rewrite, vector
+from lectern.operators import ann, answer, chunk, embed, hybrid, inverted, lexical, parse, pipeline, prompt, questions, relational, rewrite, vector
 from lectern.plans import oracles as O
 from lectern.sources import files, store
 from lectern.streaming import ingest
@@ -450,6 +450,25 @@ def knn_ivf(spark, sf):
     return _hits(index.search(index.index(rows), _vector(spark, sf), 10))
 
 
+def _near_by_index(spark, sf):
+    """Ten neighbours of every vector whose number 50 divides, by an index over all vectors."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = ann.VectorIndex.build(rows, store.scratch(spark), lists=16)
+    return index.search(asked, 10, probes=13, refine=300), vector.knn_batch(rows, asked, 10)
+
+
+@query()
+def knn_join(spark, sf):
+    return _near_by_index(spark, sf)[0].select("query_id", "vec_id", r6(F.col("score"), "score"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def knn_join_recall(spark, sf):
+    """Whether knn_join finds nine tenths of the exact neighbours."""
+    return ann.recall(*_near_by_index(spark, sf)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(O.VECTOR_NORMS)
 def vector_norms(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", r6(V.norm(F.col("embedding")), "norm"), F.size("embedding").alias("dim"))
