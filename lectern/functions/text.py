@@ -160,10 +160,14 @@ def sentences(c: Column) -> Column:
     return F.split(F.regexp_replace(c, r"([。！？.!?])\s+", "$1\u0001"), "\u0001", -1)
 
 
+# Inline marks of Markdown, of which the text inside stays.
+INLINE = [r"\*\*([^*]+)\*\*", r"__([^_]+)__", r"\*([^*]+)\*", r"_([^_]+)_", r"`([^`]+)`", r"\[([^\]]+)\]\([^)]+\)"]
+
+
 def clean_markdown(c: Column) -> Column:
     """Text without bold, italic, code, link and tag marks."""
     c = F.regexp_replace(c, r"^#+\s*", "")
-    for pattern in (r"\*\*([^*]+)\*\*", r"__([^_]+)__", r"\*([^*]+)\*", r"_([^_]+)_", r"`([^`]+)`", r"\[([^\]]+)\]\([^)]+\)"):
+    for pattern in INLINE:
         c = F.regexp_replace(c, pattern, "$1")
     c = F.regexp_replace(c, r"<[^>]+>", "")
     return strip(F.regexp_replace(c, r"\s+", " "))
@@ -171,7 +175,7 @@ def clean_markdown(c: Column) -> Column:
 
 def clean_cell(c: Column) -> Column:
     """A table cell: as clean_markdown, also without formulas and marks, at most 2000 characters."""
-    for pattern in (r"\*\*([^*]+)\*\*", r"__([^_]+)__", r"\*([^*]+)\*", r"_([^_]+)_", r"`([^`]+)`", r"\[([^\]]+)\]\([^)]+\)"):
+    for pattern in INLINE:
         c = F.regexp_replace(c, pattern, "$1")
     c = F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\$[^$]+\$", "")
     c = strip(F.regexp_replace(F.translate(c, "\\*_", ""), r"\s+", " "))

@@ -84,9 +84,13 @@ def failures(df: DataFrame, content: str = "content", vector: str = "vector") ->
 
 
 class Remote:
-    """A provider over HTTP: texts in calls of `batch`, each tried `tries` times; a call that fails in all raises."""
+    """A provider over HTTP: texts in calls of `batch`, each tried `tries` times; the texts of a call that fails in all have null vectors.
 
-    def __init__(self, url: str, model: str, key: str = "", batch: int = 10, tries: int = 3, timeout: float = 60.0, wait: float = 1.0, send=None):
+    Where every call fails the last error is raised, so that another provider can take over.
+    """
+
+    def __init__(self, url: str, model: str, key: str = "", batch: int = 10, tries: int = 3, timeout: float = 60.0, wait: float = 1.0, send=None, dimensions: int | None = None):
+        self.more = {"encoding_format": "float"} | ({"dimensions": dimensions} if dimensions else {})
         self.url, self.model, self.key, self.batch, self.tries, self.timeout, self.wait, self.send = url, model, key, batch, tries, timeout, wait, send or self._post
 
     def _post(self, body: dict) -> dict:
@@ -97,23 +101,28 @@ class Remote:
         with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as r:
             return json.load(r)
 
-    def encode(self, texts: list[str]) -> list[list[float]]:
+    def encode(self, texts: list[str]) -> list[list[float] | None]:
         import time
 
-        out: list[list[float]] = []
+        out: list[list[float] | None] = []
+        error = None
         for at in range(0, len(texts), self.batch):
             some = texts[at : at + self.batch]
             for left in range(self.tries - 1, -1, -1):
                 try:
-                    data = self.send({"model": self.model, "input": some})["data"]
+                    data = self.send({"model": self.model, "input": some, **self.more})["data"]
                     if len(data) != len(some):
                         raise ValueError(f"{len(data)} vectors for {len(some)} texts")
                     out += [x["embedding"] for x in sorted(data, key=lambda x: x.get("index", 0))]
                     break
-                except Exception:
-                    if not left:
-                        raise
-                    time.sleep(self.wait)
+                except Exception as e:
+                    if left:
+                        time.sleep(self.wait)
+                    else:
+                        error = e
+                        out += [None] * len(some)
+        if error is not None and not any(out):
+            raise error
         return out
 
 

@@ -64,7 +64,7 @@ class Reranker:
     """Reranking by the first provider given (remote, then cross-encoder), else by cosine.
 
     A provider is a function of (query, list of texts) to scores and runs on Arrow batches; where it
-    fails, the prior score stands.
+    fails, the prior score stands, and `rerank_failed` of a hit says so.
     """
 
     def __init__(self, remote=None, cross_encoder=None):
@@ -84,7 +84,8 @@ class Reranker:
             except Exception:  # an unavailable model must not fail the search
                 return pd.Series([None] * len(texts), dtype="float64")
 
-        return ranked(hits.withColumn("rerank_score", F.coalesce(given(F.col(text_col)), F.col(prior))), "rerank_score", key, top_k)
+        told = hits.withColumn("rerank_score", given(F.col(text_col))).withColumn("rerank_failed", F.col("rerank_score").isNull())
+        return ranked(told.withColumn("rerank_score", F.coalesce("rerank_score", F.col(prior))), "rerank_score", key, top_k)
 
 
 def linear_similarity(token: Column, vector: Column, token_weight: float = 0.3, vector_weight: float = 0.7) -> Column:

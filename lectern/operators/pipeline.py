@@ -20,11 +20,11 @@ def parse_documents(docs: DataFrame, connect: bool = True, clean: bool = True, i
 
 
 def ingest(docs: DataFrame, make=None, strategy: str = "recursive", config: Config | None = None, include_tables: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks with vectors; include_tables: rows (id, data) whose Markdown joins the texts."""
+    """Chunks with vectors; include_tables: rows (id, page_num, pos, data) whose Markdown joins the texts, in the order of their places."""
     config = config or Config()
     rows = parse_documents(docs, connect=False, id_col=id_col, text_col=text_col)
     if include_tables is not None:
-        marked = include_tables.groupBy(id_col).agg(F.array_join(F.collect_list(T.table_markdown(F.col("data"))), "\n\n").alias("__tables"))
+        marked = include_tables.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[c for c in ("page_num", "pos") if c in include_tables.columns], "data"))), lambda t: T.table_markdown(t["data"])), "\n\n").alias("__tables"))
         rows = rows.join(marked, id_col, "left").withColumn("text", F.concat_ws("\n\n", "text", "__tables")).drop("__tables")
     options = {"limit": config.chunk_tokens} if strategy == "recursive" else {}
     return embed.vectorise(chunk.chunk(rows, strategy, id_col, "text", **options), make or (lambda: embed.HashingEmbedder()))

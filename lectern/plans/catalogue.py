@@ -714,18 +714,23 @@ def store_delete(spark, sf):
     return kept.read().select("doc_id", "lang")
 
 
-@query("SELECT doc_id, 'kb' AS kb_id, 64 AS dimension FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("SELECT doc_id, 'kb' AS kb_id, 'name' AS docnm_kwd, 64 AS dimension, md5(text) AS digest, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM documents JOIN embeddings ON vec_id = doc_id")
 def store_chunks(spark, sf):
     """Chunks with their vectors written to the store under the store's names, and read back."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.expr("vec_id = doc_id")).select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("embedding").alias("vector"))
     kept = store.ChunkStore(spark, store.scratch(spark))
     kept.upsert(store.chunk_rows(rows, "kb", "name", 64))
-    return kept.read().select("doc_id", "kb_id", F.size("q_64_vec").alias("dimension"))
+    total = F.aggregate(V.as_double(F.col("q_64_vec")), F.lit(0.0), lambda s, x: s + x)
+    return kept.read().select("doc_id", "kb_id", "docnm_kwd", F.size("vector").alias("dimension"), F.md5("content").alias("digest"), r6(total, "total"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY lang")
+@query("SELECT lang, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') AND NOT (lang = 'fr' AND source = 'src1') GROUP BY lang")
 def store_count(spark, sf):
-    return table(spark, sf, "documents").where(vector.conditions({"source": ["src1", "src2"]})).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of a store by language, after one language of one source was deleted."""
+    kept = store.ChunkStore(spark, store.scratch(spark))
+    kept.upsert(table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "lang", "source"))
+    kept.delete({"lang": "fr", "source": "src1"})
+    return kept.read().where(vector.conditions({"source": ["src1", "src2"]})).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(O.TUMBLING)

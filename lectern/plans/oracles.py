@@ -1,4 +1,4 @@
-"""DuckDB queries with the rows of the catalogue's queries, written apart from them."""
+"""DuckDB queries with the rows of the catalogue's queries, written apart from them; word lists and noise patterns, which are given, are shared."""
 
 from __future__ import annotations
 

@@ -22,9 +22,10 @@ def scratch(spark: SparkSession) -> str:
     """A new folder for tables that a query makes: in spark.checkpoint.dir, or a local one in a local session."""
     import tempfile
 
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.gettempdir()
     return f"{at}/store-{uuid.uuid4().hex}"

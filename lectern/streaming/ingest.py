@@ -22,13 +22,14 @@ def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, checkpoin
 
     def write(batch: DataFrame, epoch: int) -> None:
         named = batch.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), files.kind(F.col("path")).alias("file_type"), "content")
-        loaded = files.load(named.withColumn("file_name", F.col("path")))
+        loaded = files.load(named.withColumn("file_name", F.col("path"))).persist()  # files are parsed once, for their status and their chunks
         if status is not None:
             told = loaded.groupBy(F.col("file_name").alias("doc_id")).agg(F.max("error").alias("error"))
             told.select("doc_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")).alias("state"), "error", F.lit(epoch).alias("epoch")).write.mode("overwrite").parquet(f"{status}/epoch={epoch}")
         docs = loaded.where("error is null").groupBy(F.col("file_name").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_num", "text")))["text"], "\n\n").alias("text"))
         rows = chunk.process(docs, strategy)
         store.upsert(embed.usable(embed.vectorise(rows, make)) if make else rows)
+        loaded.unpersist()
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

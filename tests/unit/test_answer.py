@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import answer, embed, vector
+from lectern.operators import answer, embed, prompt, vector
 from lectern.sources import store
 
 
@@ -16,11 +16,11 @@ def test_answers(spark):
     rows = answer.contexts(hits, asked, talk)
     got = {r.question: r for r in answer.answers(rows, template="conversation", hits=hits).collect()}
     assert "first" in got["a?"].prompt and "用户: hi\n助手: ho" in got["a?"].prompt and got["a?"].answer == "first"
-    assert got["b?"].context == answer.NO_DOCUMENTS == got["b?"].answer and got["b?"].history == ""
+    assert got["b?"].context == prompt.EMPTY == got["b?"].answer and got["b?"].history == ""
     told = answer.answers(rows, lambda prompts: [p[-7:] for p in prompts])
     assert {r.answer for r in told.collect()} == {"Answer:"}
-    one = spark.range(1).select(answer.with_roles(system=F.lit("s"), tool=F.lit(""), user=F.lit("u")).alias("m")).select(answer.prompt_text(F.col("m")).alias("t")).first().t
-    assert one == "[system]\ns\n\n[user]\nu"
+    one = spark.range(1).select(answer.with_roles(system=F.lit("s"), tool=F.lit(""), user=F.lit("u")).alias("m"), answer.prompt_text(F.lit("filled"), "be brief").alias("t"), answer.prompt_text(F.lit("filled"), "").alias("u")).first()
+    assert [m.role for m in one.m] == ["system", "user"] and (one.t, one.u) == ("be brief\n\nfilled", "filled")
 
 
 def test_stream():
@@ -31,7 +31,7 @@ def test_stream():
         raise OSError("gone")
 
     lines = [json.loads(x) for x in answer.stream("q", broken())]
-    assert [x["type"] for x in lines] == ["start", "answer", "error"] and "gone" in lines[-1]["message"]
+    assert [x["type"] for x in lines] == ["start", "answer", "error"] and "gone" in lines[-1]["content"] and {len(x) >= 2 and "content" in x for x in lines} == {True}
 
 
 def test_remote_embedding():
@@ -45,6 +45,8 @@ def test_remote_embedding():
 
     remote = embed.Remote("http://x", "m", batch=2, wait=0, send=send)
     assert remote.encode(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]] and [len(c) for c in calls] == [2, 1, 1]
+    some = embed.Remote("http://x", "m", batch=1, tries=1, wait=0, dimensions=1, send=lambda body: {"data": [{"embedding": [1.0]}]} if body["input"] != ["b"] and body["dimensions"] == 1 else 1 / 0)
+    assert some.encode(["a", "b", "c"]) == [[1.0], None, [1.0]]  # only the texts of the call that failed are without
     down = embed.Remote("http://x", "m", tries=2, wait=0, send=lambda body: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         down.encode(["a"])
