@@ -13,22 +13,29 @@ from lectern.sources import files
 from lectern.sources.store import ChunkStore
 
 
-def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, checkpoint: str, make=None, strategy: str = "recursive", status: str | None = None):
+def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, checkpoint: str, make=None, strategy: str = "recursive", status: str | None = None, events: str | None = None):
     """A started query that parses, cleans, chunks, embeds and upserts every new file of a folder; documents are known by their whole path.
 
-    status: a folder to which (doc_id, state, error, epoch) of every file is added, `done` or `failed`.
+    status: a folder to which (doc_id, state, error, epoch) of every file is added, `done` or `failed`. events: a folder to which what happens
+    to files is added as it does, for `status.follow`; a batch that is run again tells it again.
     """
     source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
+    def tell(rows: DataFrame, event, error) -> None:
+        if events is not None:
+            rows.select("doc_id", event.alias("event"), error.cast("string").alias("error"), F.current_timestamp().alias("at")).write.mode("append").parquet(events)
+
     def write(batch: DataFrame, epoch: int) -> None:
+        tell(batch.select(F.col("path").alias("doc_id")), F.lit("started"), F.lit(None))
         named = batch.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), files.kind(F.col("path")).alias("file_type"), "content")
         loaded = files.load(named.withColumn("file_name", F.col("path"))).persist()  # files are parsed once, for their status and their chunks
+        told = loaded.groupBy(F.col("file_name").alias("doc_id")).agg(F.max("error").alias("error"))
         if status is not None:
-            told = loaded.groupBy(F.col("file_name").alias("doc_id")).agg(F.max("error").alias("error"))
             told.select("doc_id", F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")).alias("state"), "error", F.lit(epoch).alias("epoch")).write.mode("overwrite").parquet(f"{status}/epoch={epoch}")
         docs = loaded.where("error is null").groupBy(F.col("file_name").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_num", "text")))["text"], "\n\n").alias("text"))
         rows = chunk.process(docs, strategy)
         store.upsert(embed.usable(embed.vectorise(rows, make)) if make else rows)
+        tell(told, F.when(F.col("error").isNull(), F.lit("done")).otherwise(F.lit("failed")), F.col("error"))
         loaded.unpersist()
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

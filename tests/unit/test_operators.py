@@ -211,11 +211,12 @@ def test_store_and_stream(spark, tmp_path):
     (incoming / "a.txt").write_text("A first file that has some words to keep.")
     live = ChunkStore(spark, str(tmp_path / "live"))
     for _ in range(2):
-        ingest.ingest_stream(spark, str(incoming), live, str(tmp_path / "cp"), embed.HashingEmbedder, status=str(tmp_path / "status")).awaitTermination()
+        ingest.ingest_stream(spark, str(incoming), live, str(tmp_path / "cp"), embed.HashingEmbedder, status=str(tmp_path / "status"), events=str(tmp_path / "events")).awaitTermination()
         (incoming / "b.txt").write_text("And a second file came later on.")
     paths = {f"file:{incoming}/{n}.txt" for n in "ab"}  # whole paths: files of one name in two folders are two documents
     assert {r.doc_id for r in live.read().collect()} == paths
     assert {(r.doc_id, r.state) for r in spark.read.parquet(str(tmp_path / "status")).collect()} == {(p, "done") for p in paths}
+    assert {(r.doc_id, r.event) for r in spark.read.parquet(str(tmp_path / "events")).collect()} == {(p, e) for p in paths for e in ("started", "done")}
 
 
 def test_synonyms(spark, tmp_path):
