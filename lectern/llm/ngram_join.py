@@ -46,6 +46,8 @@ BATCH_BYTES = 4 << 20
 COMMON = 16
 #: Classes in one block of a tile.
 BLOCK = 64
+#: Rows (id, tile) that are sent to all tasks rather than joined by a shuffle of all texts.
+SENT = 50_000
 
 
 def _sets(texts: pa.Array, w: int):
@@ -325,8 +327,10 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     placed, _ = sized(_spread(placed, sized(total)[0], ["component"]))  # id, component, band, total: null up to BLOCK
 
     def verified(tiled: DataFrame) -> DataFrame:
-        """Links (a, b) found in tiles: rows (id, tile)."""
-        sent = tiled.join(texts, "id").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
+        """Links (a, b) found in tiles: rows (id, tile). Few rows go to the texts, else all texts would be shuffled for them."""
+        tiled, n = sized(tiled)
+        dealt = texts.join(F.broadcast(tiled), "id") if n <= SENT else tiled.join(texts, "id")
+        sent = dealt.repartition(partitions(spark), "tile").sortWithinPartitions("tile")
         return sent.select("tile", "id", "text").mapInArrow(_verify(w, percent, den), "a long, b long")
 
     def block(count) -> Column:
