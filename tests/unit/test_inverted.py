@@ -5,6 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+from lectern.functions import vectors as V
 from lectern.operators import hybrid, inverted, lexical, questions
 from tests.unit.test_catalogue import plan
 
@@ -115,3 +117,28 @@ def test_fallback_and_pages(spark, index):
     second = questions.retrieval(found, asked, index, 2, 2)
     assert {r["rank"] for r in first.collect()} <= {1, 2} and {r["rank"] for r in second.collect()} <= {3, 4} and first.count() and second.count()
     assert questions.document_counts(found, "fell_back").count() == 2
+
+
+def test_texts_of_one_file_are_tokenised_in_many_tasks_and_once(spark, docs, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        built = inverted.InvertedIndex.build(docs.coalesce(1), f"{tmp_path}/i")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "i/documents").glob("part-*"))) > 1
+    assert rows(built.documents().withColumn("score", F.size("terms"))) == rows(lexical.lengths(docs).withColumn("score", F.col("length")))
+
+
+def test_a_filter_of_terms_computes_them_once(spark):
+    df = spark.createDataFrame([("The the les",), (None,)], "text string")
+    asked = F.array(*[F.lit(t) for t in ("the", "the", "zzz")])
+    shared = df.select(V.token_similarity(asked, T.tokens(F.col("text"))).alias("s"))
+    assert [r.s and round(r.s, 6) for r in shared.collect()][0] == 0.666667
+    for part in plan(shared).split("array_contains(")[1:]:
+        assert "regexp" not in part.split(",")[0]
+
+
+def test_letters_whose_lower_case_is_ascii_part_words(spark):
+    df = spark.createDataFrame([("\u212aelvin \u0130stanbul A\u0130B x\u4e00\u4e01y 12a3",), ("\u00e9 a . \u4e00",)], "text string")
+    found = [(sorted(r.t), r.h) for r in df.select(T.tokens(F.col("text")).alias("t"), T.has_tokens(F.col("text")).alias("h")).collect()]
+    assert found == [(sorted(["\u4e00\u4e01", "elvin", "stanbul", "12", "3"]), True), ([], False)]
