@@ -63,7 +63,8 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     placed = placed.withColumn("__bin", F.floor(number(point) / width))
     if first is not None:
         placed = placed.withColumn("__row", F.xxhash64(*[F.col(c) for c in points.columns]))
-    found = placed.join(spans, [*keys, "__level", "__bin"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high)))
+    # both sides grow with their tables: neither is sent whole to the driver and all tasks, however small it is when packed
+    found = placed.join(spans.hint("merge"), [*keys, "__level", "__bin"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high)))
     if first is None:
         return found.drop("__level", "__bin")
     own = [c for c in points.columns]

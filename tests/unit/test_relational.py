@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.operators import lexical, parse, relational
+from lectern.plans.catalogue import QUERIES
 from tests.unit.test_catalogue import plan
 
 PAIRWISE = ("BroadcastNestedLoopJoin", "CartesianProduct")
@@ -94,3 +95,8 @@ def test_json(spark):
     packed = df.where("i = 13").select(parse.json_sections(F.col("t"), 20).alias("s")).first().s
     assert packed[0] == json.dumps({f"item_{i}": 12 for i in range(20)}) and len(packed) == 150
     assert "Python" not in plan(df.select(parse.json_sections(F.col("t"))))
+
+
+def test_range_joins_send_no_side_whole(spark):
+    for name in ("orders_in_transit", "first_in_transit"):
+        assert "Broadcast" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
