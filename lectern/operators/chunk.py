@@ -222,7 +222,10 @@ def semantic_chunks(docs: DataFrame, make: Callable[[], object], threshold: floa
     sentences = rows.select(id_col, "__row", F.posexplode_outer(said).alias("__i", "s")).where("s is not null")
     made = embed.vectorise(sentences, make, "s", "__v")
     before = Window.partitionBy("__row").orderBy("__i")
-    near = F.when(F.col("__i") == 0, 1.0).otherwise(F.coalesce(V.cosine(F.lag("__v").over(before), F.col("__v")), F.lit(0.0)))
+    made = made.withColumn("__u", F.lag("__v").over(before))
+    # one root of both squares: rounded twice, a cosine that is the threshold itself would be less
+    length = F.sqrt(V.dot(F.col("__u"), F.col("__u")) * V.dot(F.col("__v"), F.col("__v")))
+    near = F.when(F.col("__i") == 0, 1.0).otherwise(F.coalesce(V.cosine(F.col("__u"), F.col("__v"), length, F.lit(1.0)), F.lit(0.0)))
     told = made.withColumn("near", near).groupBy("__row", id_col).agg(F.array_sort(F.collect_list(F.struct("__i", "s", "near"))).alias("__s"))
     pieces = told.select(id_col, fold_sentences(F.transform("__s", lambda x: F.struct(x["s"].alias("s"), x["near"].alias("near"))), threshold, least).alias("__pieces"))
     return _rows(pieces, id_col)

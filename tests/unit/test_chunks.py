@@ -1,5 +1,6 @@
 """Chunkers as folds against plain Python, on chosen and on random texts."""
 
+import math
 import random
 
 import pytest
@@ -119,3 +120,15 @@ def test_no_python_in_any_strategy(frame):
         assert "Python" not in text and "Exchange" not in text, name
     # clean_text's NFKC alone crosses to Python
     assert plan(chunk.process(frame)).count("ArrowEvalPython") <= 1
+
+
+def test_a_likeness_that_is_the_threshold_joins(spark):
+    pairs = [(a, b, c, d) for a in range(5) for b in range(5) for c in range(9) for d in range(9) if (a or b) and (c or d)]
+    exact = [(x, math.isqrt((x[0] ** 2 + x[1] ** 2) * (x[2] ** 2 + x[3] ** 2))) for x in pairs]
+    exact = [(x, r) for x, r in exact if r * r == (x[0] ** 2 + x[1] ** 2) * (x[2] ** 2 + x[3] ** 2)]
+    off = [(x, r) for x, r in exact if (n := x[0] * x[2] + x[1] * x[3]) and n / (math.sqrt(x[0] ** 2 + x[1] ** 2) * math.sqrt(x[2] ** 2 + x[3] ** 2)) < n / r]
+    assert off
+    (a, b, c, d), r = off[0]
+    text = "a" * a + "e" * b + "x" * 80 + ". " + "a" * c + "e" * d + "x" * 80 + "."
+    out = chunk.semantic_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), lambda: embed.LetterCounts("ae"), (a * c + b * d) / r)
+    assert out.count() == 1
