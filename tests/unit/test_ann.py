@@ -1,5 +1,6 @@
 """The stored vector index against exact search."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +44,14 @@ def test_odd_tables(spark, tmp_path):
     assert [r.vec_id for r in index.search(few.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 3).collect()] == [1]
     with pytest.raises(ValueError):
         ann.VectorIndex.build(few, f"{tmp_path}/g", parts=5)
+
+
+def test_recall_holds_where_candidates_are_a_small_share(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(6000, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.VectorIndex.build(rows, f"{tmp_path}/i", lists=4)
+    asked = rows.where("vec_id % 300 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = {(r.query_id, r.vec_id) for r in index.search(asked, 10, probes=4, refine=60).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = {(q, int(i)) for q in range(0, 6000, 300) for i in np.argsort(-(unit @ unit[q]))[:10]}
+    assert len(found & exact) >= 0.9 * len(exact)
