@@ -142,3 +142,22 @@ def test_letters_whose_lower_case_is_ascii_part_words(spark):
     df = spark.createDataFrame([("\u212aelvin \u0130stanbul A\u0130B x\u4e00\u4e01y 12a3",), ("\u00e9 a . \u4e00",)], "text string")
     found = [(sorted(r.t), r.h) for r in df.select(T.tokens(F.col("text")).alias("t"), T.has_tokens(F.col("text")).alias("h")).collect()]
     assert found == [(sorted(["\u4e00\u4e01", "elvin", "stanbul", "12", "3"]), True), ([], False)]
+
+
+@pytest.mark.parametrize("variant", ["okapi", "plus", "l"])
+@pytest.mark.parametrize("combine", ["sum", "max"])
+def test_best_of_many_questions_are_those_of_all_scores(spark, docs, index, monkeypatch, variant, combine):
+    monkeypatch.setattr(inverted, "PASS", 20)
+    asked = docs.where("doc_id < 12").select(F.col("doc_id").alias("question"), F.substring("text", 1, 60).alias("text"))
+    rows = inverted.question_terms(asked)
+    order = lambda r: (-round(r.score, 9), r.doc_id is not None, r.doc_id or 0)
+    every, best = {}, {}
+    for r in index.scores(rows, variant, combine).collect():
+        every.setdefault(r.question, []).append(r)
+    for r in index.scores(rows, variant, combine, 7).collect():
+        best.setdefault(r.question, []).append(r)
+    shown = lambda rs: [(r.doc_id, round(r.score, 8), r.matched) for r in sorted(rs, key=order)]
+    assert best.keys() == every.keys() and len(best) > 5
+    assert all(shown(best[q]) == shown(every[q])[:7] for q in every)
+    text = plan(index.scores(rows, variant, combine, 7))
+    assert "MapInArrow" in text and "HashAggregate" not in text
