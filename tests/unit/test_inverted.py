@@ -161,3 +161,21 @@ def test_best_of_many_questions_are_those_of_all_scores(spark, docs, index, monk
     assert all(shown(best[q]) == shown(every[q])[:7] for q in every)
     text = plan(index.scores(rows, variant, combine, 7))
     assert "MapInArrow" in text and "HashAggregate" not in text
+
+
+def test_postings_are_sorted_by_one_number(spark, monkeypatch):
+    """Sorts by radix need one number; terms with one hash and lengths beyond the order's make blocks that are right nevertheless."""
+    import pyarrow as pa
+    import pyspark
+
+    ordered = inverted._ordered(spark.createDataFrame([(1, 3, "the"), (2, 1 << 21, "der"), (None, 2, "the"), (3, 1, "les")], "id long, length int, term string"))
+    assert re.search(r"Sort \[key#\d+L ASC NULLS FIRST\], false", plan(ordered))
+    for term, lengths in (("the", [2, 3]), ("der", [1 << 21])):
+        some = ordered.where(F.col("term") == term).orderBy("length").collect()
+        assert [r.length for r in some] == lengths and [r.key & inverted.LONGEST for r in some] == [min(x, inverted.LONGEST) for x in lengths]
+        assert {r.key >> 57 for r in some} == {inverted.zlib.crc32(term.encode()) % inverted.BUCKETS}
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 5})())
+    rows = [(7 << 57, "a", 4, 1), (7 << 57, "b", 4, 2), (7 << 57, "a", 9, 3), (7 << 57, "a", 5, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int32(), pa.int64()])], names=["key", "term", "length", "id"])
+    (made,) = inverted._blocks([batch])
+    assert [(r["bucket"], r["term"], r["part"], r["least"], r["most"], r["n"], r["ids"]) for r in made.to_pylist()] == [(7, "a", 5, 4, 4, 1, [1]), (7, "b", 5, 4, 4, 1, [2]), (7, "a", 5, 5, 9, 2, [3, 4])]
