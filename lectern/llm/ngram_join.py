@@ -17,10 +17,11 @@ hashes. Two texts link when percent_den * |A & B| >= percent * |A | B|, tested o
 5. Tiles come in three turns. First each block by itself: every text is sent once. Then, in groups of several
    blocks, the heads of the parts found so far, one for each. What is joined by then is contracted: blocks of one
    part need no tile with each other. Last, tiles of two blocks (of the same or near bands) for what is still apart,
-   which in a group of near copies is next to nothing. So a text is sent about twice, not once for each block.
+   which in a group of near copies is next to nothing. What has to go to many tiles for that goes as a bitmap of some eight
+   bits a shingle, and only sets whose bitmaps allow a link go on as texts. So a text is sent about twice, not once for each block.
 
-Nothing is capped or sampled. The step that grows fastest is the last turn: parts of one group that stay
-apart are compared block by block, in tiles of their own. Memory per task: a batch of texts, or two blocks of them.
+Nothing is capped or sampled. The step that grows fastest is the last turn: bitmaps of parts of one
+group that stay apart are compared block by block, in tiles of their own. Memory per task: a batch of texts, or two blocks of them.
 
 Defined cases: a null text is an empty one; texts without words have no shingles and link with
 nothing; rows with one id and different texts take the component of their own text, and are one where
@@ -61,6 +62,24 @@ def _sets(texts: pa.Array, w: int):
             yield i + k, np.unique(W.windows(h[at[k] : at[k + 1]], w))
 
 
+def _packed(doc: np.ndarray, n: int) -> bytes:
+    """Ascending numbers under n: how often each occurs, or, where that is shorter (as with many buckets), the numbers; the last byte says which."""
+    own = np.uint16 if n <= 1 << 16 else np.uint32
+    if n <= len(doc) * np.dtype(own).itemsize:
+        per = np.bincount(doc, minlength=n)
+        wide = np.uint8 if per.max() < 256 else np.uint32
+        if n * np.dtype(wide).itemsize <= len(doc) * np.dtype(own).itemsize:
+            return per.astype(wide).tobytes() + (b"c" if wide is np.uint8 else b"C")
+    return doc.astype(own).tobytes() + (b"d" if own is np.uint16 else b"D")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """The numbers of `_packed`."""
+    kind = {b"c": np.uint8, b"C": np.uint32, b"d": np.uint16, b"D": np.uint32}[data[-1:]]
+    x = np.frombuffer(data, kind, (len(data) - 1) // np.dtype(kind).itemsize)
+    return np.repeat(np.arange(len(x), dtype=np.uint32), x) if data[-1:] in b"cC" else x.astype(np.uint32)
+
+
 def _fits(inter, a, b, percent: int, den: int):
     return (den + percent) * inter >= percent * (a + b)
 
@@ -95,8 +114,7 @@ def _requests(w: int, buckets: int):
         ends = dict(zip(some.tolist(), zip(first_entry.tolist(), [*first_entry[1:].tolist(), len(by)], strict=True), strict=True))
         for k in sorted(ends.keys() | set(hot_where.tolist())):
             hot, mine = hot_where == k, by[slice(*ends.get(k, (0, 0)))]
-            per = np.bincount(doc[mine], minlength=len(sets))
-            yield home, k, fp[mine].tobytes(), per.astype(np.uint8 if per.max() < 256 else np.uint32).tobytes(), hot_fp[hot].tobytes(), hot_n[hot].tobytes(), None, None, None
+            yield home, k, fp[mine].tobytes(), _packed(doc[mine], len(sets)), hot_fp[hot].tobytes(), hot_n[hot].tobytes(), None, None, None
         at = np.flatnonzero(common)
         own = np.where(known, n, -1 - n)  # a null id is marked by a negative size
         yield home, home % buckets, token[at].tobytes(), doc[at].astype(np.uint32).tobytes(), None, None, np.stack([np.asarray(x.fill_null(0).to_numpy(zero_copy_only=False), np.int64) for x in (ids, batch.column(2))], axis=1).tobytes(), own.tobytes(), np.ascontiguousarray(sums).tobytes()
@@ -124,7 +142,7 @@ _ANSWER_NAMES = [x.split()[0] for x in _ANSWER.split(", ")]
 def _answers(batches):
     """Counts the fingerprints of each bucket dealt to this task; homes get back those seen twice or more.
 
-    Rows come sorted by bucket: one bucket at a time is held, as the bytes it came in (about 4.5 for a shingle).
+    Rows come sorted by bucket: one bucket at a time is held, as the bytes it came in (4.5 to 6 for a shingle).
     """
 
     def rows(items):
@@ -172,14 +190,10 @@ def _count(bucket: int, sent: list[dict]):
     del by, weight, new, total
     high, at, hot_at = np.uint64(bucket) << np.uint64(32), 0, n
     for x, fp, hot in zip(sent, fps, hot_fps, strict=True):
-        for wide in (np.uint8, np.uint32):
-            if len(x["counts"]) % np.dtype(wide).itemsize == 0 and int((per := get(x["counts"], wide)).sum(dtype=np.int64)) == len(fp):
-                break
         mine = times[at : at + len(fp)]
         again = np.flatnonzero(mine > 1)
         if len(again) or len(hot):
-            doc = np.repeat(np.arange(len(per), dtype=np.uint32), per)
-            yield {"home": x["home"], "docs": doc[again].tobytes(), "tokens": (high | fp[again]).tobytes(), "times": mine[again].tobytes(), "hot_tokens": (high | hot).tobytes(), "hot_times": times[hot_at : hot_at + len(hot)].tobytes()}
+            yield {"home": x["home"], "docs": _unpacked(x["counts"])[again].tobytes(), "tokens": (high | fp[again]).tobytes(), "times": mine[again].tobytes(), "hot_tokens": (high | hot).tobytes(), "hot_times": times[hot_at : hot_at + len(hot)].tobytes()}
         at, hot_at = at + len(fp), hot_at + len(hot)
 
 
@@ -285,6 +299,60 @@ def _verify(w: int, percent: int, den: int):
     return run
 
 
+def _maps(w: int):
+    """(id, n, map) of texts with words: size and parity bitmap of each one's set, in eight times as many bits as it has shingles, or more."""
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for r, s in _sets(batch.column(1), w):
+                if len(s):
+                    out.append((ids[r], len(s), _bitmaps([s], 1 << max(8, math.ceil(math.log2(8 * len(s)))))[0].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["id", "n", "map"])
+
+    return run
+
+
+def may_link(parts: np.ndarray, n: np.ndarray, maps: list[bytes], percent: int, den: int) -> np.ndarray:
+    """Whether each set may link with one of another part, by sizes and bitmaps; no set that does is told that it may not."""
+    maps = [np.frombuffer(x, np.uint64) for x in maps]
+    width = min(map(len, maps))
+    # halves of a bitmap folded together are the bitmap of half the width
+    maps = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in maps])
+    may = np.zeros(len(n), bool)
+    for k in range(1, len(n)):
+        y = np.flatnonzero((parts[:k] != parts[k]) & _fits(np.minimum(n[:k], n[k]), n[:k], n[k], percent, den))
+        apart = np.bitwise_count(maps[y] ^ maps[k]).sum(axis=1, dtype=np.int64)
+        y = y[_fits((n[y] + n[k] - apart) // 2, n[y], n[k], percent, den)]
+        may[y] = True
+        may[k] |= len(y) > 0
+    return may
+
+
+def _worth(percent: int, den: int):
+    """(id, tile) of rows (tile, id, part, n, map), sorted by tile, that may link in their tile."""
+
+    def run(batches):
+        held, now = [], None
+
+        def flush():
+            ids, parts, n, maps = zip(*held, strict=True)
+            good = np.flatnonzero(may_link(np.array(parts), np.array(n, np.int64), maps, percent, den))
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in good], pa.int64()), pa.array([now] * len(good), pa.string())], names=["id", "tile"])
+
+        for batch in batches:
+            for tile, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != now:
+                    if held:
+                        yield flush()
+                    held, now = [], tile
+                held.append(row)
+        if held:
+            yield flush()
+
+    return run
+
+
 def _spread(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Joins to rows (with an id) the one row of facts for their keys, without sending a large group to one task.
 
@@ -300,7 +368,7 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
 
     class_id: smallest id with the very same set; component_id: smallest id reachable by links; text_key:
     xxhash64 of the text, which tells rows with one id and different texts apart.
-    Shuffles about 4.5 bytes a shingle, then only what is seen twice.
+    Shuffles 4.5 to 6 bytes a shingle (the more buckets, the more), then only what is seen twice.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -326,10 +394,14 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
     total = groups.groupBy("component").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > BLOCK)
     placed, _ = sized(_spread(placed, sized(total)[0], ["component"]))  # id, component, band, total: null up to BLOCK
 
+    def with_text(rows: DataFrame) -> DataFrame:
+        """Rows with an id, and the texts of it. Few rows go to the texts, else all texts would be shuffled for them."""
+        rows, n = sized(rows)
+        return texts.join(F.broadcast(rows), "id") if n <= SENT else rows.join(texts, "id")
+
     def verified(tiled: DataFrame) -> DataFrame:
-        """Links (a, b) found in tiles: rows (id, tile). Few rows go to the texts, else all texts would be shuffled for them."""
-        tiled, n = sized(tiled)
-        dealt = texts.join(F.broadcast(tiled), "id") if n <= SENT else tiled.join(texts, "id")
+        """Links (a, b) found in tiles: rows (id, tile)."""
+        dealt = with_text(tiled)
         sent = dealt.repartition(partitions(spark), "tile").sortWithinPartitions("tile")
         return sent.select("tile", "id", "text").mapInArrow(_verify(w, percent, den), "a long, b long")
 
@@ -363,14 +435,18 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80, den: int
         parted, _ = sized(_spread(parted, filled, ["component", "band", "part"]).fillna({"kind": "mixed"}))
         kinds, _ = sized(parted.groupBy("component", "band", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
         mine = _spread(parted, kinds.where("blocks > 1"), ["component", "band", "kind"])
-        mine = mine.select("id", "component", "band", "kind", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int").alias("mine"))
+        mine = mine.select("id", "component", "band", "kind", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)).cast("int").alias("mine"), "part")
         # the other blocks of the group in the same and the next two bands, but for those of the same part
         other = kinds.select(F.col("component").alias("oc"), F.col("band").alias("ob"), F.col("kind").alias("ok"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oi"))
         near = mine.join(other, F.expr("component = oc and ob between band - 2 and band + 2 and (kind = 'mixed' or ok = 'mixed' or kind <> ok)"))
         name = lambda b, k, i: F.struct(F.col(b).alias("b"), F.col(k).alias("k"), F.col(i).alias("i"))
         one, two = name("band", "kind", "mine"), name("ob", "ok", "oi")
         tile = F.concat_ws(",", "component", F.to_json(F.least(one, two)), F.to_json(F.greatest(one, two)))
-        links = links.unionByName(verified(near.select("id", tile.alias("tile"))))
+        # every id goes to many tiles: as a bitmap, and as its text to those alone where it may link
+        maps = cut(with_text(parted.select("id").distinct()).select("id", "text").mapInArrow(_maps(w), "id long, n long, map binary"))
+        sent = near.select("id", "part", tile.alias("tile")).join(maps, "id").repartition(partitions(spark), "tile").sortWithinPartitions("tile")
+        worth = sent.select("tile", "id", "part", "n", "map").mapInArrow(_worth(percent, den), "id long, tile string")
+        links = links.unionByName(verified(worth.distinct()))
     found = components(links)
 
     out = table.select("id", "key", "n", "c1", "c2").join(classes, ["c1", "c2", "n"], "left")

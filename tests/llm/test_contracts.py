@@ -5,8 +5,10 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,34 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == set(brute_links(docs.collect(), 4, 85))
 
 
+def test_ngram_join_requests_stay_small_with_many_buckets():
+    """What is sent for a shingle doesn't grow with the number of buckets, which grows with the input."""
+    words = np.random.default_rng(3).integers(0, 10**6, (400, 30))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([" ".join(map(str, x)) for x in words]), pa.array(range(400))], names=["id", "text", "key"])
+    for buckets in (1, 20_000):
+        sent = 0
+        with mock.patch("pyspark.TaskContext.get", return_value=mock.Mock(partitionId=lambda: 0)):
+            for out in ngram_join._requests(5, buckets)([batch]):
+                sent += sum(len(a) + len(b) for a, b, ids in zip(*(out.column(c).to_pylist() for c in (2, 3, 6))) if ids is None)
+        assert sent <= 8 * 400 * 26
+
+
+def test_ngram_join_packed_numbers():
+    for doc, n in ([[0], 70_000], [[1, 1, 5], 9], [[0, 1, 1, 2, 3], 4], [[2] * 300, 3], [[], 5], [[7, 69_999], 70_000]):
+        assert ngram_join._unpacked(ngram_join._packed(np.array(doc, np.int64), n)).tolist() == doc
+
+
+def test_ngram_join_bitmaps_keep_all_links():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > share], rng.integers(0, 2**63, int(300 * share)).astype(np.uint64)])) for share in rng.random(60) * 0.3]
+    maps = [ngram_join._bitmaps([x], 1024 << (k % 3))[0].tobytes() for k, x in enumerate(sets)]
+    parts, n = np.arange(60) // 2, np.array([len(x) for x in sets])
+    linked = [any(parts[i] != parts[j] and 180 * len(np.intersect1d(x, y)) >= 80 * (len(x) + len(y)) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    may = ngram_join.may_link(parts, n, maps, 80, 100)
+    assert 0 < sum(linked) and may[linked].all() and not may.all()
+
+
 def test_ngram_join_parts_apart(spark, monkeypatch):
     """One group of several families that share rare shingles but don't link, and links between texts of different blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
