@@ -335,3 +335,62 @@ def test_lm(spark, docs, monkeypatch):
         if k is not None:
             assert abs(rare[k].score - x.score) < 1e-3 * abs(x.score) and rare[k].n_known == x.n_known
     assert attention_lm.score(cases.empty(spark), path).count() == 0
+
+
+def test_lm_hears_all_ids(monkeypatch):
+    path, rng = queries.tokenizer("byte_bpe_50k.tiktoken"), np.random.default_rng(3)
+    sub, c, block = attention_lm.Subwords.of(path), attention_lm.CLASSES, attention_lm.BLOCK
+    cls = rng.integers(0, attention_lm.INNER - 1, sub.size + 1).astype(np.uint8)
+    cls[-1] = end = c - 1
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 90_000, n)) for n in (0, 3, 70)] + ["ab " + "xyzq" * 200 + " cd"]
+    texts.append(" ".join(f"w{k}" for k in range(3000)))  # several tiles
+    inner = [[[], *([int(i) for i in cls[sub.cut([w.encode()])[0][1:]]] for w in t.split()), []] for t in texts]
+    shared, none = SimpleNamespace(value=cls), SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint8), np.zeros(0, np.int64)))
+    tiles = list(attention_lm._tiles(path, shared, none, "heard", inner=True)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    rows = [(e, x, np.frombuffer(y, np.uint8)) for b in tiles for (e, x), y in zip(attention_lm._rows(b), b.column(2).to_pylist(), strict=True)]
+    assert all((y == attention_lm.STOP).sum() == len(e) + len(x) for e, x, y in rows)
+    inputs, targets, owner = attention_lm.layout([x for _, x, _ in rows], [e for e, _, _ in rows])
+    sizes = np.array([(len(e), len(x)) for e, x, _ in rows]).T
+    inside = attention_lm.Inside([y for _, _, y in rows], *sizes)
+    # each row hears every id of its words and of the row before, once for each time that it stands there
+    row, at = 0, {}
+    for text, k in [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 1)]:
+        first = k * attention_lm.TILE
+        for b in range(0, min(attention_lm.TILE, len(inner[text]) - 1 - first), block):
+            row = np.flatnonzero(owner >= 0)[len(at)]
+            want = Counter()
+            for place in range(max(0, first + b - block), min(first + b + block, len(inner[text]) - 1)):
+                want.update((place - first - b + block, i + c + 1) for i in inner[text][place])
+            at[row] = want
+    assert len(at) == (owner >= 0).sum()
+    use = np.array(list(at))
+    keys, word, times = inside.of(use)
+    for r, ks, ws, ts in zip(use, keys, word, np.exp(times), strict=True):
+        got = Counter()
+        for i, j, n in zip(ks.tolist(), ws.tolist(), ts.tolist(), strict=True):
+            if i != c:
+                got[(j, i)] += round(n)
+        assert got == at[r]
+    # equal ids as one key are heard as they are one by one, and gradients are those of the scores
+    w = {k: x.astype(np.float64) for k, x in attention_lm.first_weights(rng.integers(0, 50, (c, c)).astype(float)).items()}
+    w["o"] *= 10
+    scores = attention_lm.log_scores(w, inputs, targets, owner, inside)
+    monkeypatch.setattr(attention_lm, "MANY", 10**9)
+    single = attention_lm.Inside([y for _, _, y in rows], *sizes)
+    assert single.times is None and np.allclose(scores, attention_lm.log_scores(w, inputs, targets, owner, single), atol=1e-5)
+    assert np.abs(scores - attention_lm.log_scores(w, inputs, targets, owner)).max() > 1e-3
+    use = use[1:6]
+    mine = np.where(np.isin(np.arange(len(owner)), use), owner, -1)
+    for x in (inside, single):
+        keys, *more = attention_lm.heard(inputs, use, x)
+        g = attention_lm.gradient(w, keys, inputs[use], targets[use], *more)
+        n = (targets[use] != c).sum()
+        for name in ("q", "k", "v", "o", "far"):
+            place = np.unravel_index(np.argmax(np.abs(g[name][c + 1 :] if name in "kv" else g[name])), (g[name][c + 1 :] if name in "kv" else g[name]).shape)
+            place = (place[0] + c + 1, place[1]) if name in "kv" else place
+            old, both = w[name][place], []
+            for eps in (1e-4, -1e-4):
+                w[name][place] = old + eps
+                both.append(-attention_lm.log_scores(w, inputs, targets, mine, x).sum() / n)
+            w[name][place] = old
+            assert abs((both[0] - both[1]) / 2e-4 - g[name][place]) < 1e-3 * abs(g[name][place]) + 1e-6, name
