@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import answer, embed, prompt, vector
 from lectern.sources import store
+from tests.unit.test_catalogue import plan
 
 
 def test_answers(spark):
@@ -83,3 +84,32 @@ def test_knn_batch_in_blocks(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "WindowGroupLimit" in plan
     assert {r.query_id: r.vec_id for r in got.where("rank = 1").collect()} == {i: i for i in range(10)} and got.count() == 20
+
+
+def test_knn_batch_scores_as_cosine_does(spark, monkeypatch):
+    """Pairs are found by products of matrices in tiles; scores, ties, nulls and odd vectors are those of the plain join, to the last bit."""
+    import random
+
+    from pyspark.sql import Window
+
+    from lectern.functions import vectors as V
+
+    rng = random.Random(4)
+    x = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.gauss(0, 1)]) for _ in range(4)], i % 3) for i in range(300)]
+    x += [(400 + i, v, 0) for i, v in enumerate(([0.0] * 4, [0.0] * 4, None, [1.0], [], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 0.0, 0.0], [1e-300] * 4, [1.0, None, 1.0, 1.0], [2.0]))]
+    x += [(500 + i, x[7][1], 1) for i in range(40)]
+    rows = spark.createDataFrame(x, "vec_id long, embedding array<double>, label int").repartition(3)
+    asked = rows.where("vec_id < 30 or vec_id >= 400").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    pairs = rows.join(asked, F.size("embedding") == F.size("query_vector")).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    for name, n in (("ROWS", 32), ("TILE", 8), ("PAIRS", 100), ("HELD", 50)):
+        monkeypatch.setattr(vector, name, n)
+    shown = lambda df: sorted(map(str, df.select("query_id", "vec_id", "score").collect()))
+    for k in (1, 5, 400):
+        got = vector.knn_batch(rows, asked, k)
+        assert shown(got) == shown(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        assert "Join" not in plan(got) and "zip_with" not in plan(got)
+    least = asked.withColumn("least", F.when(F.col("query_id") < "q2", 0.3).otherwise(-0.2))
+    over = pairs.join(least.select("query_id", "least"), "query_id").where("score >= least")
+    assert shown(vector.within(rows, least, "least")) == shown(over)
+    assert vector.knn_batch(rows.limit(0), asked, 3).count() == vector.knn_batch(rows, asked.limit(0), 3).count() == 0
