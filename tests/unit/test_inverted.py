@@ -179,3 +179,12 @@ def test_postings_are_sorted_by_one_number(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int32(), pa.int64()])], names=["key", "term", "length", "id"])
     (made,) = inverted._blocks([batch])
     assert [(r["bucket"], r["term"], r["part"], r["least"], r["most"], r["n"], r["ids"]) for r in made.to_pylist()] == [(7, "a", 5, 4, 4, 1, [1]), (7, "b", 5, 4, 4, 1, [2]), (7, "a", 5, 5, 9, 2, [3, 4])]
+
+
+def test_dealer_search_has_all_hits_over_the_threshold(spark, index):
+    """1,500 vectors reach the threshold, more than 1,024; those of a question that falls back are all told too."""
+    vectors = spark.range(1500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") / 15000.0).alias("embedding"))
+    asked = spark.createDataFrame([(1, "the", [1.0, 0.0]), (2, "der", [0.2, 1.0]), (3, "x", [-1.0, 0.0])], "question int, text string, vector array<double>")
+    found = questions.dealer_search(index, vectors, asked, threshold=0.9, fallback=0.17).groupBy("question", "fell_back").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+    assert {tuple(r) for r in found.collect()} == {(1, False, 1500, 1500), (2, True, 1500, 1500)}
+    assert questions.dealer_search(index, vectors, asked, 100, threshold=0.9).where("question = 1").count() == 100
