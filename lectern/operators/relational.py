@@ -72,6 +72,53 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     return best.select(*own, "__i.*")
 
 
+def stabbed(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, least: str) -> DataFrame:
+    """(point, n, least): for each different point how many intervals low <= point <= high hold it, and the least value of a column of theirs; points in none are left out.
+
+    Intervals aren't joined with all their points. Time is cut into about as many bins as there are points. The bins inside of an interval are put together from
+    few aligned runs of 1, 2, 4, ... bins, and every run is summed over its intervals; in the two bins at its ends, intervals are summed by
+    the end that lies there. A point then meets the runs it lies in and the ends in its bin: rows grow with intervals plus points. Points must be finite.
+    """
+    kinds = dict(points.dtypes + intervals.dtypes)
+    number = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6) if kinds[c].startswith(("timestamp", "date")) else F.col(c).cast("double")
+    asked = points.select(point).where(F.col(point).isNotNull()).distinct()
+    first, last, n = asked.agg(F.min(number(point)), F.max(number(point)), F.count(F.lit(1))).first()
+    first, last = first or 0.0, last or 0.0
+    width = max((last - first) / max(n, 1), 2.0**FINEST)
+    place = lambda c: F.floor((c - F.lit(first)) / F.lit(width)).cast("long")
+    end = int((last - first) // width) + 2  # no point has this bin
+    own = intervals.where(F.col(low) <= F.col(high)).select(F.col(low).alias("__a"), F.col(high).alias("__b"), F.col(least).alias("__v"), number(low).alias("__x"), number(high).alias("__y"))
+    own = own.where((F.col("__y") >= first) & (F.col("__x") <= last))
+    own = own.select("__a", "__b", "__v", place(F.greatest("__x", F.lit(first - width))).alias("__i"), place(F.least("__y", F.lit(last + width))).alias("__j"))
+    summed = lambda df, *keys: df.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.min("__v").alias("__v"))
+    one = F.lit(1).cast("long").alias("__n")
+    none = lambda c: F.lit(None).cast(intervals.schema[c].dataType)
+    apart = F.col("__i") < F.col("__j")
+    level = lambda k: F.lit(k).cast("int").alias("__level")
+    ends = summed(own.where(apart).select("__i", "__a", one, "__v"), "__i", "__a").select(level(0), F.col("__i").alias("__bin"), "__a", none(high).alias("__b"), "__n", "__v")
+    ends = ends.unionByName(summed(own.where(apart).select("__j", "__b", one, "__v"), "__j", "__b").select(level(0), F.col("__j").alias("__bin"), none(low).alias("__a"), "__b", "__n", "__v"))
+    ends = ends.unionByName(summed(own.where(~apart).select("__i", "__a", "__b", one, "__v"), "__i", "__a", "__b").select(level(0), F.col("__i").alias("__bin"), "__a", "__b", "__n", "__v"))
+    # bins l to r - 1 lie inside; of the runs of 2 ** k bins from l to r, an odd first and an odd last one belong to no longer run
+    inside = own.select((F.greatest("__i", F.lit(-1)) + 1).alias("__l"), F.least("__j", F.lit(end)).alias("__r"), "__v").where("__l < __r")
+    inside = summed(inside.select("__l", "__r", one, "__v"), "__l", "__r")
+    levels = list(range(end.bit_length() + 1))
+    up = lambda k: -F.shiftright(-F.col("__l"), k)
+    down = lambda k: F.shiftright(F.col("__r"), k)
+    runs = []
+    for k in levels:
+        some = up(k) < down(k)
+        runs.append(F.when(some & (up(k) % 2 == 1), F.struct(level(k), up(k).alias("__bin"))))
+        runs.append(F.when(some & (down(k) % 2 == 1), F.struct(level(k), (down(k) - 1).alias("__bin"))))
+    made = inside.select("__n", "__v", F.explode(F.filter(F.array(*runs), lambda x: x.isNotNull())).alias("__run")).select("__run.*", "__n", "__v")
+    made = summed(made, "__level", "__bin").select("__level", "__bin", none(low).alias("__a"), none(high).alias("__b"), "__n", "__v")
+    placed = asked.select(point, F.explode(F.transform(F.array(*map(F.lit, levels)), lambda k: F.struct(k.alias("__level"), place(number(point)).alias("__at")))).alias("__run"))
+    placed = placed.select(point, F.col("__run.__level").alias("__level"), F.expr("shiftright(__run.__at, __run.__level)").alias("__bin"))
+    # neither side is sent whole to all tasks
+    found = placed.join(ends.unionByName(made).hint("merge"), ["__level", "__bin"])
+    found = found.where((F.col("__a").isNull() | (F.col(point) >= F.col("__a"))) & (F.col("__b").isNull() | (F.col(point) <= F.col("__b"))))
+    return found.groupBy(point).agg(F.sum("__n").alias("n"), F.min("__v").alias("least"))
+
+
 def rank_all(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """df with the rank, from 1, of every row in the whole order, which must end in a unique key.
 

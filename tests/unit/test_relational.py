@@ -100,3 +100,24 @@ def test_json(spark):
 def test_range_joins_send_no_side_whole(spark):
     for name in ("orders_in_transit", "first_in_transit"):
         assert "Broadcast" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_stabbed(spark):
+    """Counts and least values equal those over all pairs, and no side is sent whole."""
+    rng = random.Random(8)
+    points = [(rng.choice([None, rng.uniform(-50, 50), float(rng.randint(-5, 5))]),) for _ in range(300)]
+    spans = [(k, a := rng.choice([rng.uniform(-60, 60), float(rng.randint(-5, 5))]), a + rng.choice([0.0, 1e-9, rng.uniform(0, 1), rng.uniform(0, 500), -1.0])) for k in range(400)] + [(None, 1.0, 2.0), (-5, None, 3.0)]
+    p, s = spark.createDataFrame(points, "x double"), spark.createDataFrame(spans, "k int, a double, b double")
+    for some in (points, points[:1], [(3.0,)], []):
+        got = {r.x: (r.n, r.least) for r in relational.stabbed(spark.createDataFrame(some, "x double"), s, "x", "a", "b", "k").collect()}
+        want = {}
+        for x in {x for x, in some if x is not None}:
+            held = [k for k, a, b in spans if a is not None and a <= x <= b]
+            if held:
+                want[x] = (len(held), min((k for k in held if k is not None), default=None))
+        assert got == want
+    wide = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 50 + 900).cast("double").alias("b"))
+    days = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    found = relational.stabbed(days, wide, "x", "a", "b", "k")
+    assert found.agg(F.sum("n")).first()[0] == 2000 * 901
+    assert "__run" in plan(found) and not any(q in plan(found) for q in (*PAIRWISE, "Broadcast"))
