@@ -55,3 +55,15 @@ def test_recall_holds_where_candidates_are_a_small_share(spark, tmp_path):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     exact = {(q, int(i)) for q in range(0, 6000, 300) for i in np.argsort(-(unit @ unit[q]))[:10]}
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_index_search_is_a_scan_without_shuffled_vectors(spark, tmp_path):
+    """Shares and exact scores of many rows are products of matrices in the tasks that read them; only ids and numbers are shuffled."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    index = ann.VectorIndex.build(rows, f"{tmp_path}/i", lists=4)
+    asked = rows.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = index.search(asked, 3, probes=4, refine=200)
+    text = plan(found)
+    assert "MapInArrow" in text and not any(x in text for x in ("zip_with", "transform(", "SortMergeJoin", "Inner"))
+    exact = vector.knn_batch(rows, asked, 3)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in exact.collect()}
